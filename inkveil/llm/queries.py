@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm.encoding import encode_documents
+from inkveil.llm.language import FOLDS as LANGUAGE_FOLDS
+from inkveil.llm.language import HELD_OUT as LANGUAGE_HELD_OUT
+from inkveil.llm.language import identify_languages, train_languages
 from inkveil.llm.packing import pack_documents
+from inkveil.llm.quality_classifier import FOLDS as QUALITY_FOLDS
+from inkveil.llm.quality_classifier import HELD_OUT as QUALITY_HELD_OUT
+from inkveil.llm.quality_classifier import score_quality, train_quality
+from inkveil.llm.storage import id_bucket
+from inkveil.llm.toxicity import FOLDS as TOXICITY_FOLDS
+from inkveil.llm.toxicity import HELD_OUT as TOXICITY_HELD_OUT
+from inkveil.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +41,33 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    held_out = (id_bucket("doc_id", TOXICITY_FOLDS) == TOXICITY_HELD_OUT).alias("held_out")
+    return score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_languages(docs)
+    held_out = (id_bucket("doc_id", LANGUAGE_FOLDS) == LANGUAGE_HELD_OUT).alias("held_out")
+    return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out, "language.*")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    held_out = (id_bucket("doc_id", QUALITY_FOLDS) == QUALITY_HELD_OUT).alias("held_out")
+    return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
+    "op6_toxicity": op6_toxicity,
+    "op7_language": op7_language,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
