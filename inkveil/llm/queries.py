@@ -16,6 +16,7 @@ from inkveil.llm.packing import pack_documents
 from inkveil.llm.quality_classifier import FOLDS as QUALITY_FOLDS
 from inkveil.llm.quality_classifier import HELD_OUT as QUALITY_HELD_OUT
 from inkveil.llm.quality_classifier import score_quality, train_quality
+from inkveil.llm.simhash import near_duplicates
 from inkveil.llm.storage import id_bucket
 from inkveil.llm.toxicity import FOLDS as TOXICITY_FOLDS
 from inkveil.llm.toxicity import HELD_OUT as TOXICITY_HELD_OUT
@@ -41,6 +42,11 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), words=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -65,6 +71,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
+    "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op10_quality_classifier": op10_quality_classifier,
