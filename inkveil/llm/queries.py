@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.llm import oracles
 from inkveil.llm.encoding import encode_documents
 from inkveil.llm.language import FOLDS as LANGUAGE_FOLDS
 from inkveil.llm.language import HELD_OUT as LANGUAGE_HELD_OUT
@@ -16,6 +17,7 @@ from inkveil.llm.packing import pack_documents
 from inkveil.llm.quality_classifier import FOLDS as QUALITY_FOLDS
 from inkveil.llm.quality_classifier import HELD_OUT as QUALITY_HELD_OUT
 from inkveil.llm.quality_classifier import score_quality, train_quality
+from inkveil.llm.quality_rules import quality_rules
 from inkveil.llm.simhash import near_duplicates
 from inkveil.llm.storage import id_bucket
 from inkveil.llm.toxicity import FOLDS as TOXICITY_FOLDS
@@ -42,6 +44,10 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), words=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -71,10 +77,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
+    "op4_quality_rules": op4_quality_rules,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": oracles.QUALITY_RULES}
