@@ -18,6 +18,7 @@ from inkveil.llm.quality_classifier import FOLDS as QUALITY_FOLDS
 from inkveil.llm.quality_classifier import HELD_OUT as QUALITY_HELD_OUT
 from inkveil.llm.quality_classifier import score_quality, train_quality
 from inkveil.llm.quality_rules import quality_rules
+from inkveil.llm.secrets import find_secrets, labelled_samples, render, train_markov
 from inkveil.llm.simhash import near_duplicates
 from inkveil.llm.storage import id_bucket
 from inkveil.llm.toxicity import FOLDS as TOXICITY_FOLDS
@@ -67,6 +68,16 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out, "language.*")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, train_markov(labelled_samples(docs)))
+    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(render(F.col("base_spans")), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, _table(spark, sf_dir, "labels"))
@@ -81,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
