@@ -13,6 +13,7 @@ from inkveil.llm.encoding import encode_documents
 from inkveil.llm.language import FOLDS as LANGUAGE_FOLDS
 from inkveil.llm.language import HELD_OUT as LANGUAGE_HELD_OUT
 from inkveil.llm.language import identify_languages, train_languages
+from inkveil.llm.neighbours import nearest_neighbours
 from inkveil.llm.packing import pack_documents
 from inkveil.llm.quality_classifier import FOLDS as QUALITY_FOLDS
 from inkveil.llm.quality_classifier import HELD_OUT as QUALITY_HELD_OUT
@@ -68,6 +69,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out, "language.*")
 
 
+def op8_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_secrets(docs, train_markov(labelled_samples(docs)))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
+    "op8_projected_neighbours": op8_projected_neighbours,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
