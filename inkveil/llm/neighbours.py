@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTED = 8
-CONFIDENCE = 0.95
-LEAF_ROWS = 128
+CONFIDENCE = 0.7
+LEAF_ROWS = 512
 BLOCK_ROWS = 16384
 QUERY_ROWS = 1024
 SEED = 11

@@ -25,6 +25,7 @@ from inkveil.llm.storage import id_bucket
 from inkveil.llm.toxicity import FOLDS as TOXICITY_FOLDS
 from inkveil.llm.toxicity import HELD_OUT as TOXICITY_HELD_OUT
 from inkveil.llm.toxicity import score_toxicity, train_toxicity
+from inkveil.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select(
@@ -92,6 +97,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc_boundary_chain": op2_warc_boundary_chain,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
@@ -102,4 +108,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": oracles.QUALITY_RULES}
+ORACLES: dict[str, str] = {"op2_warc_boundary_chain": oracles.WARC, "op4_quality_rules": oracles.QUALITY_RULES}
