@@ -18,10 +18,20 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_RATIO = 15.0  # nats
+BACK_OFF = 5.0
 FIRST, SYMBOLS = 33, 94  # printable ASCII
 SAMPLE_DOCS = 2000  # documents whose words are samples of ordinary identifiers
 RANDOM_STRINGS = 4000
+LEAST_MEAN = 0.5  # nats a pair of characters
 MASK = "[SECRET]"
+#: Words that programmers join into identifiers; samples of ordinary identifiers besides the corpus's own words.
+IDENTIFIER_WORDS = (
+    "get set is has add remove delete create update find search load save read write open close start stop run build make parse format render send receive fetch push pop count total "
+    "user account customer order item product price name title value key index list map array table row column field record file path folder directory url link page view model data "
+    "request response message event handler listener callback service client server session connection database query result error warning status state config option setting parameter "
+    "default current previous next first last min max size length width height color date time day month year id type class object string number integer boolean information balance "
+    "manager factory helper utils common internal external public private static abstract base parent child node tree graph path word text line character buffer stream input output"
+)
 
 
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,7 +53,12 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .when(F.col("i") % 4 == 2, F.concat_ws("-", "one", "two"))
         .otherwise(F.concat(F.lower("one"), F.lit("/"), F.coalesce("two", F.lit(""))))
     )
-    return random.unionByName(word.select(joined.alias("value"), F.lit(False).alias("random")))
+    known = F.split(F.lit(IDENTIFIER_WORDS), " ")
+    n_known = len(IDENTIFIER_WORDS.split())
+    three = [F.get(known, ((F.col("id") * k + F.col("id") / n_known) % n_known).cast("int")) for k in (1, 7, 13)]
+    camel = F.concat(three[0], F.initcap(three[1]), F.initcap(three[2]))
+    program = spark.range(RANDOM_STRINGS).select(F.when(F.col("id") % 3 == 0, camel).when(F.col("id") % 3 == 1, F.concat_ws("_", *three)).otherwise(F.upper(F.concat_ws("_", *three))).alias("value"), F.lit(False).alias("random"))
+    return random.unionByName(program).unionByName(word.select(joined.alias("value"), F.lit(False).alias("random")))
 
 
 def _code(value: Column, i: Column) -> Column:
@@ -59,9 +74,17 @@ def train_markov(samples: DataFrame) -> list[float]:
     inside = F.col("p.a").between(0, SYMBOLS - 1) & F.col("p.b").between(0, SYMBOLS - 1)
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.where(inside).groupBy("random", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).collect()}
     totals: dict[tuple[bool, int], int] = {}
-    for (kind, a, _), n in counts.items():
+    single: dict[tuple[bool, int], int] = {}
+    for (kind, a, b), n in counts.items():
         totals[kind, a] = totals.get((kind, a), 0) + n
-    chance = lambda kind, a, b: (counts.get((kind, a, b), 0) + 0.5) / (totals.get((kind, a), 0) + 0.5 * SYMBOLS)
+        single[kind, b] = single.get((kind, b), 0) + n
+    size = {kind: sum(n for (k, _), n in single.items() if k == kind) for kind in (True, False)}
+
+    def chance(kind: bool, a: int, b: int) -> float:
+        """Of symbol b after a; rare pairs lean on how frequent b is anywhere."""
+        alone = (single.get((kind, b), 0) + 0.5) / (size[kind] + 0.5 * SYMBOLS)
+        return (counts.get((kind, a, b), 0) + BACK_OFF * alone) / (totals.get((kind, a), 0) + BACK_OFF)
+
     return [math.log(chance(True, a, b) / chance(False, a, b)) if counts else 0.0 for a in range(SYMBOLS) for b in range(SYMBOLS)]
 
 
@@ -103,7 +126,8 @@ def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text", b
         "__tokens": _spans(text, CANDIDATE, 3),
     }).withColumn(base, F.array_sort(F.concat("__assign", "__access", "__hex")))
     free = lambda x: ~F.exists(F.col(base), lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    added = F.filter("__tokens", lambda x: free(x) & (_ratio(x["value"], table) >= LEAST_RATIO))
+    least = lambda x: F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (F.length(x["value"]) - 1))
+    added = F.filter("__tokens", lambda x: free(x) & (_ratio(x["value"], table) >= least(x)))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     both = found.withColumn(spans, F.when(F.size("__tokens") == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), added))))
     return both.withColumns({base: bare(F.col(base)), spans: bare(F.col(spans))}).drop("__assign", "__access", "__hex", "__tokens")

@@ -188,7 +188,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def leave() -> None:
         """The record goes on in a later block, or ends before this block's entry."""
         if start is not None and parts:
-            out.add(key[0], base + start, False, base + begun, b"".join(parts))
+            out.add(key[0], base + start, False, base + begun, b"".join(parts))  # ends with what parts two segments
 
     for now, at, segment, begins, (block_base, entry, owner) in _placed(batches, "base", "entry", "owner"):
         if now != key:
@@ -227,7 +227,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         known = order.join(entries, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "nth").drop("nth")
     parts = known.select("file", "block", "base", "entry", "owner", "value").mapInArrow(_walk, "file string, at bigint, whole boolean, place bigint, data binary")
     pieces = parts.where("NOT whole").groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("place", "data"))).alias("p"))
-    joined = pieces.select("file", "at", F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["data"])).alias("data"))
+    whole_text = F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["data"]))
+    joined = pieces.select("file", "at", whole_text.alias("data")).withColumn("data", F.substring("data", F.lit(1), F.octet_length("data") - _JUMP))
     rows = parts.where("whole").select("file", "at", "data").unionByName(joined)
     header = F.substring_index(F.col("data").cast("string"), END, 1)
     size = field(F.col("header"), "Content-Length").cast("bigint")
