@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkveil.functions.organizations import is_noisy_capture
 from inkveil.functions.spans import contains_span, overlap
@@ -94,9 +95,12 @@ def resolve(candidates: Column) -> Column:
 
 def resolve_overlaps(candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """:func:`resolve` for every document; documents are independent groups of spans."""
-    fields = [c for c in candidates.columns if c != id_col]
-    grouped = candidates.groupBy(id_col).agg(F.collect_list(F.struct(*fields)).alias("all"))
-    return grouped.select(id_col, F.posexplode(resolve(F.col("all"))).alias("rank", "c")).select(id_col, "rank", "c.*")
+    fields = [f for f in candidates.schema if f.name != id_col]
+    maps = [f.name for f in fields if isinstance(f.dataType, T.MapType)]  # maps have no order: they travel as entries
+    entries = candidates.withColumns({c: F.map_entries(c) for c in maps}) if maps else candidates
+    grouped = entries.groupBy(id_col).agg(F.collect_list(F.struct(*(f.name for f in fields))).alias("all"))
+    kept = grouped.select(id_col, F.posexplode(resolve(F.col("all"))).alias("rank", "c")).select(id_col, "rank", "c.*")
+    return kept.withColumns({c: F.map_from_entries(c) for c in maps}) if maps else kept
 
 
 def review_list(candidates: DataFrame, id_col: str = "doc_id", most: int = MOST_REVIEWED) -> DataFrame:
