@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions.organizations import alias_cores, canonical_score
+from inkveil.functions.rejects import is_false_organization, is_false_person, is_false_place
 from inkveil.functions.spans import occurrences
+from inkveil.operators.components import alias_components
 from inkveil.operators.replace import with_entries
 
 
@@ -50,3 +53,37 @@ def alias_prefixed_locations(mappings: DataFrame, key: str = "map_id") -> DataFr
     aliases = mappings.where("type = 'organization'").select(key, F.col("original").alias("alias")).distinct()
     compound = halves.join(aliases, [key, "alias"], "left_semi").join(places.select(key, F.col("original").alias("place")), [key, "place"], "left_semi")
     return mappings.join(compound.select(key, "original", F.lit("location").alias("type")).distinct(), [key, "original", "type"], "left_anti").select(*mappings.columns)
+
+
+def without_noise(mappings: DataFrame) -> DataFrame:
+    """Mappings whose original can be what its type says."""
+    noise = (
+        F.when(F.col("type") == "person", is_false_person(F.col("original")))
+        .when(F.col("type") == "organization", is_false_organization(F.col("original")))
+        .when(F.col("type") == "location", is_false_place(F.col("original"), F.lit("")))
+        .otherwise(False)
+    )
+    return mappings.where(~noise)
+
+
+def alias_edges(mappings: DataFrame, key: str = "map_id") -> DataFrame:
+    """(key, a, b): organizations of one map that share an alias core, each linked to the least original with that core.
+
+    Pairs that must not be merged are left out. A core links its names by a star, not by all pairs.
+    """
+    blocked = F.coalesce(F.col("do_not_merge"), F.array().cast("array<string>"))
+    own = mappings.where("type = 'organization'").select(key, "original", "entity_id", blocked.alias("blocked"), F.explode(alias_cores(F.col("original"))).alias("core"))
+    first = own.groupBy(key, "core").agg(F.min(F.struct("original", "entity_id", "blocked")).alias("f"))
+    linked = own.join(first, [key, "core"]).where(F.col("original") != F.col("f.original"))
+    free = ~F.coalesce(F.array_contains("blocked", F.col("f.entity_id")), F.lit(False)) & ~F.coalesce(F.array_contains(F.col("f.blocked"), F.col("entity_id")), F.lit(False))
+    return linked.where(free).select(key, F.col("f.original").alias("a"), F.col("original").alias("b")).distinct()
+
+
+def merge_aliases(mappings: DataFrame, key: str = "map_id") -> DataFrame:
+    """``mappings`` with one mask for every group of organizations that share alias cores: that of the canonical name."""
+    groups = alias_components(alias_edges(mappings, key), key).select(key, F.col("node").alias("original"), "component")
+    members = mappings.join(groups, [key, "original"])
+    best = members.groupBy(key, "component").agg(F.max_by("masked", F.struct(canonical_score(F.col("original")).alias("s"), "original")).alias("group_mask"))
+    masks = groups.join(best, [key, "component"]).select(key, "original", F.lit("organization").alias("type"), "group_mask")
+    joined = mappings.join(masks, [key, "original", "type"], "left")
+    return joined.withColumn("masked", F.coalesce("group_mask", "masked")).select(*mappings.columns)

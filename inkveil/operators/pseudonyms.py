@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.ordinals import ordinal_text
-from inkveil.functions.organizations import simple_legal_suffix
+from inkveil.functions.organizations import brand, company_body, industry, institution_mask, simple_legal_suffix
 from inkveil.functions.places import location_core, location_suffix
 
 PROJECT_SUFFIXES = ("工程", "项目")
@@ -45,10 +45,18 @@ def mask_projects(projects: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def mask_organizations(organizations: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Organizations (id, ord, text, entity) masked as the ordinal of their subject and a generic legal form."""
-    subjects = organizations.withColumn("subject", F.coalesce("entity", "text"))
-    numbered = ordinals(subjects, [id_col], "subject", "ord")
-    return numbered.select(id_col, "ord", F.lit("organization").alias("type"), F.col("text").alias("original"), F.concat(ordinal_text(F.col("ordinal")), simple_legal_suffix(F.col("text"))).alias("masked"))
+    """Organizations (id, ord, text, entity) with their masks.
+
+    An institution keeps its first character and kind. A company is masked as the ordinal of its subject, its industry if
+    the name states one, and a generic legal form; the subject is the recognised entity, else the brand.
+    """
+    own = F.coalesce("entity", brand(F.col("text")), "text")
+    companies = organizations.withColumns({"institution": institution_mask(F.col("text")), "subject": own})
+    numbered = ordinals(companies.where("institution IS NULL"), [id_col], "subject", "ord")
+    mask = F.concat(ordinal_text(F.col("ordinal")), industry(company_body(F.col("text"))), simple_legal_suffix(F.col("text")))
+    masked = numbered.withColumn("masked", mask).select(id_col, "ord", "text", "masked")
+    every = masked.unionByName(companies.where("institution IS NOT NULL").select(id_col, "ord", "text", F.col("institution").alias("masked")))
+    return every.select(id_col, "ord", F.lit("organization").alias("type"), F.col("text").alias("original"), "masked")
 
 
 #: Fixed order of mapping types in a map.

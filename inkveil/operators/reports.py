@@ -72,3 +72,33 @@ def run_statistics(stats: DataFrame) -> DataFrame:
     """One row over the runs of a batch: single values or ``mixed``, sums that are null without evidence."""
     one = lambda c: F.when(F.countDistinct(c) == 1, F.max(c)).when(F.countDistinct(c) > 1, "mixed").alias(c)
     return stats.agg(one("mode"), one("model_id"), one("status"), F.count("*").alias("document_count"), *(F.sum(c).alias(c) for c in ("call_count", "duration_ms", "total_token_count")))
+
+
+FORBIDDEN_KEYS = ("text", "original", "masked", "redacted_text", "restored_text", "path", "source_file")
+
+
+def unsafe_keys(reports: DataFrame, id_col: str, report: str, forbidden: tuple[str, ...] = FORBIDDEN_KEYS) -> DataFrame:
+    """(id, key): keys of JSON reports, at any depth, that could carry personal text."""
+    keys = F.regexp_extract_all(F.col(report), F.lit(r'"((?:[^"\\\\]|\\\\.)*)"\s*:'), F.lit(1))
+    return reports.select(id_col, F.explode(F.array_distinct(keys)).alias("key")).where(F.lower("key").isin(*forbidden))
+
+
+def stable_hash(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, hash): SHA-256 over a group's rows as JSON lines in a fixed order of rows and columns."""
+    fields = sorted(c for c in rows.columns if c not in keys)
+    line = F.to_json(F.struct(*fields))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)), line.alias("line")))), lambda x: x["line"])
+    return rows.groupBy(*keys).agg(F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("hash"))
+
+
+def context_mismatches(runs: DataFrame, baseline: str, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, fields): what of a run's context differs from the baseline's; equal runs are left out."""
+    base = runs.where(F.col(id_col) == baseline).limit(1).select(*(F.col(f).alias(f"__{f}") for f in fields))
+    differs = F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"__{f}")), f) for f in fields)))
+    return runs.where(F.col(id_col) != baseline).crossJoin(F.broadcast(base)).select(id_col, differs.alias("fields")).where(F.size("fields") > 0)
+
+
+def missing_evidence(runs: DataFrame, required: list[str]) -> DataFrame:
+    """One row: the required measures that some run lacks, in their order."""
+    lacking = [F.when(F.count_if(F.col(c).isNull()) > 0, c) for c in required]
+    return runs.agg(F.array_compact(F.array(*lacking)).alias("missing"))

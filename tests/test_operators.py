@@ -166,3 +166,59 @@ def test_dropped_files_are_redacted_once(spark, tmp_path):
     for _ in range(2):
         redact_drops(spark, f"{tmp_path}/in", "doc_id bigint, text string", f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
     assert {(r.doc_id, r.redacted) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, "mail ***"), (2, "none")}
+
+
+def test_rejects(spark):
+    from inkveil.functions import rejects
+
+    people = {"张三": False, "欧阳娜娜": False, "杨利进": False, "被告人": True, "张3": True, "罗某手": True, "李某": False, "一二三四五": True, "买买提·艾力江": False, "河北张": True, "的人": True, "施工队": True}
+    got = spark.createDataFrame([(k,) for k in people], "t string").select("t", rejects.is_false_person(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == people
+    orgs = {"有限公司": True, "家具有限公司": True, "合同一": True, "严重违反公司": True, "华为技术有限公司": False, "张三公司": True, "我公司": True, "石家庄市公司": True, "甲乙丙运输有限公司": False, "甲乙运输有限公司": True, "某某（abc": True}
+    got = spark.createDataFrame([(k,) for k in orgs], "t string").select("t", rejects.is_false_organization(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == orgs
+    places = {("石家庄市", "住"): False, ("石家庄市", "在"): True, ("案涉小区", ""): True, ("各县市", ""): True, ("某省", ""): True, ("工程区", ""): True, ("棉一社区居委会", ""): False, ("社区居委会", ""): True, ("县", ""): True}
+    got = spark.createDataFrame(list(places), "t string, b string").select("t", "b", rejects.is_false_place(F.col("t"), F.col("b")).alias("f")).collect()
+    assert {(r.t, r.b): r.f for r in got} == places
+
+
+def test_organization_algebra(spark):
+    from inkveil.functions import organizations as O
+
+    names = spark.createDataFrame([("河北甲乙科技有限公司",), ("石家庄市甲乙科技（北京）有限公司",), ("中国银行北京分行",), ("金杜律师事务所",)], "t string")
+    rows = {r.t: r for r in names.select("t", O.brand(F.col("t")).alias("b"), O.industry(O.company_body(F.col("t"))).alias("i"), O.legal_suffix(F.col("t")).alias("s"), O.institution_mask(F.col("t")).alias("m")).collect()}
+    assert (rows["河北甲乙科技有限公司"].b, rows["河北甲乙科技有限公司"].i, rows["河北甲乙科技有限公司"].s) == ("甲乙", "科技", "有限公司")
+    assert rows["石家庄市甲乙科技（北京）有限公司"].b == "甲乙"
+    assert rows["中国银行北京分行"].m == "中某分行" and rows["金杜律师事务所"].m == "金某律师事务所" and rows["河北甲乙科技有限公司"].m is None
+    text = F.lit("河北甲乙科技有限公司（以下简称“甲乙公司”）与丙公司。原名另说。")
+    assert spark.range(1).select(O.explicit_aliases(text, F.lit("河北甲乙科技有限公司"))).first()[0] == ["甲乙公司"]
+
+
+def test_noise_and_alias_merges(spark):
+    rows = [("m", 0, "organization", "河北甲乙科技有限公司", "甲科技公司", "e1", None), ("m", 1, "organization", "甲乙公司", "乙公司", "e2", None), ("m", 2, "organization", "丙丁有限公司", "丙公司", "e3", ["e4"]), ("m", 3, "organization", "丙丁集团", "丁集团", "e4", None), ("m", 4, "person", "被告人", "x", None, None)]
+    m = spark.createDataFrame(rows, "map_id string, ord int, type string, original string, masked string, entity_id string, do_not_merge array<string>")
+    assert {r.original for r in postprocess.without_noise(m).collect()} == {r[3] for r in rows[:4]}
+    got = {r.original: r.masked for r in postprocess.merge_aliases(m).collect()}
+    assert got["甲乙公司"] == "甲科技公司" and got["河北甲乙科技有限公司"] == "甲科技公司" and got["丙丁有限公司"] == "丙公司" and got["丙丁集团"] == "丁集团"
+
+
+def test_review_edits(spark):
+    from inkveil.operators import review
+
+    m = spark.createDataFrame([("m", 0, "person", "a", "A", None), ("m", 1, "person", "b", "B", None), ("m", 2, "person", "c", "B", None)], "map_id string, ord int, type string, original string, masked string, entity_id string")
+    e = spark.createDataFrame([("m", 0, "delete", "a", None, None), ("m", 1, "keep", "a", None, None), ("m", 2, "modify", "b", "BB", None), ("m", 3, "add", "d", "D", "person"), ("m", 4, "delete", "c", None, None), ("m", 5, "add", "b2", "x", "person")], "map_id string, nth int, action string, original string, masked string, type string")
+    assert {(r.original, r.masked) for r in review.apply_edits(m, e).collect()} == {("a", "A"), ("b", "BB"), ("d", "D"), ("b2", "x")}
+    assert [(r.masked, r.originals) for r in review.ambiguous_masks(m).collect()] == [("B", ["b", "c"])]
+    assert {r.masked for r in review.rename_group(m, spark.createDataFrame([("m", "B", "Z")], "map_id string, masked string, new_mask string")).collect()} == {"A", "Z"}
+    batch = spark.createDataFrame([(1, 0, "a", "late"), (0, 5, "a", "early")], "batch_ord int, ord int, original string, masked string")
+    assert review.merge_batch_maps(batch).first().masked == "early"
+
+
+def test_report_privacy_and_context(spark):
+    r = spark.createDataFrame([(1, '{"gold": {"Text": "x", "n": 1}, "list": [{"path":"p"}]}'), (2, '{"n": "text: no"}')], "id int, report string")
+    assert {tuple(x) for x in reports.unsafe_keys(r, "id", "report").collect()} == {(1, "Text"), (1, "path")}
+    runs = spark.createDataFrame([("a", "g1", 1, 5), ("b", "g2", None, 4), ("c", "g1", 1, 6)], "run string, gold string, f1 int, ms int")
+    assert [(x.run, x.fields) for x in reports.context_mismatches(runs, "a", "run", ["gold", "f1"]).collect()] == [("b", ["gold", "f1"])]
+    assert reports.missing_evidence(runs, ["ms", "f1"]).first().missing == ["f1"]
+    one, two = (reports.stable_hash(runs.orderBy(o), ["gold"], ["run"]).orderBy("gold").collect() for o in ("run", F.desc("run")))
+    assert one == two
