@@ -140,22 +140,22 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("file").orderBy("block")  # a row for each block of a file
     sizes = found.where("size IS NOT NULL").select("file", "block", "size")
     bases = sizes.withColumn("base", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    links = found.where("size IS NULL").join(bases, ["file", "block"]).select("file", "block", "base", (F.col("base") + F.col("start")).alias("at"), (F.col("base") + F.col("leaves")).alias("to"), (F.col("base") + F.col("last")).alias("last"))
+    links = found.where("size IS NULL").hint("merge").join(bases, ["file", "block"]).select("file", "block", "base", (F.col("base") + F.col("start")).alias("at"), (F.col("base") + F.col("leaves")).alias("to"), (F.col("base") + F.col("last")).alias("last"))
     links = materialize(links)
-    jumps = links.select("file", "at", "to")
+    jumps = links.select("file", "at", "to").hint("merge")  # candidates grow with the archives: they are never broadcast
     reached, before = links.where("at = 0").select("file", "at"), -1
     for _ in range(MOST_ROUNDS):
         further = reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
-        reached = materialize(reached.unionByName(further.join(links.select("file", "at"), ["file", "at"], "left_semi")).distinct())
+        reached = materialize(reached.unionByName(further.join(links.select("file", "at").hint("merge"), ["file", "at"], "left_semi")).distinct())
         now = reached.count()
         if now == before:
             break
         before = now
         ahead = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
-        jumps = materialize(jumps.join(ahead, ["file", "to"]).select("file", "at", F.col("beyond").alias("to")))
-    chains = links.join(reached, ["file", "at"], "left_semi")
+        jumps = materialize(jumps.join(ahead.hint("merge"), ["file", "to"]).select("file", "at", F.col("beyond").alias("to"))).hint("merge")
+    chains = links.join(reached.hint("merge"), ["file", "at"], "left_semi")
     per_block = chains.groupBy("file", "block").agg(F.min("at").alias("at"), F.max("last").alias("last"))
-    full = bases.join(per_block, ["file", "block"], "left")
+    full = bases.join(per_block.hint("merge"), ["file", "block"], "left")
     owner = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return materialize(full.select("file", "block", "base", (F.col("at") - F.col("base")).alias("entry"), owner.alias("owner")))
 
