@@ -99,3 +99,39 @@ def conflicting_names(names: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def valid_payload(payload: Column) -> Column:
     return F.from_json(payload, PAYLOAD).isNotNull() & F.is_valid_utf8(payload)
+
+
+DETAILED = "entities array<struct<entity_id:string,entity_type:string,primary_text:string,variants:array<string>,confidence:double>>, do_not_merge array<struct<left_id:string,right_id:string>>"
+IDENTITY_MARKERS = ("又名", "曾用名", "别名", "化名", "绰号", "即", "原名")
+IDENTITY_REACH = 48
+
+
+def parse_detailed(rows: DataFrame, id_col: str = "doc_id", payload: str = "payload") -> DataFrame:
+    """(id, entity_id, type, name, nth, confidence, blocked) of the detailed payload form; of repeated ids the first
+    entity counts, confidences are held within 0 and 1, ``blocked`` lists the ids that an entity must not merge with."""
+    parsed = rows.select(id_col, F.from_json(F.col(payload), DETAILED).alias("p"))
+    blocks = lambda e: F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col("p.do_not_merge"), F.array()), lambda b: F.when(b["left_id"] == e["entity_id"], b["right_id"]).when(b["right_id"] == e["entity_id"], b["left_id"]))))
+    entities = parsed.select(id_col, F.posexplode(F.transform("p.entities", lambda e: F.struct(e.alias("e"), blocks(e).alias("blocked")))).alias("place", "x"))
+    first = entities.groupBy(id_col, F.col("x.e.entity_id").alias("entity_id")).agg(F.min_by("x", "place").alias("x")).where("entity_id <> ''")
+    names = F.array_distinct(F.filter(F.concat(F.array("x.e.primary_text"), F.coalesce("x.e.variants", F.array())), lambda n: n.isNotNull() & (n != "") & (F.length(n) <= MOST_LENGTH)))
+    confidence = F.least(F.greatest(F.coalesce("x.e.confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return first.select(id_col, "entity_id", F.col("x.e.entity_type").alias("type"), F.posexplode(F.slice(names, 1, MOST_NAMES)).alias("nth", "name"), confidence.alias("confidence"), F.col("x.blocked").alias("blocked"))
+
+
+def merge_passes(first: DataFrame, second: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, entity_id, type, name): the first pass's groups, each second-pass entity joined to the first of them that it
+    shares a name and type with, or else kept as a group of its own under a new id."""
+    shared = second.join(first.select(id_col, "type", "name", F.col("entity_id").alias("into")), [id_col, "type", "name"])
+    target = shared.groupBy(id_col, "entity_id").agg(F.min("into").alias("into"))
+    moved = second.join(target, [id_col, "entity_id"], "left").withColumn("entity_id", F.coalesce("into", F.concat(F.lit("second-"), "entity_id")))
+    columns = [id_col, "entity_id", "type", "name"]
+    every = first.select(*columns, F.lit(0).alias("pass")).unionByName(moved.select(*columns, F.lit(1).alias("pass")))
+    return every.groupBy(id_col, "type", "name").agg(F.min_by("entity_id", F.struct("pass", "entity_id")).alias("entity_id")).select(*columns)
+
+
+def identity_evidence(text: Column, left: Column, right: Column) -> Column:
+    """Both names stand within IDENTITY_REACH characters of one sentence, with a word that equates them."""
+    between = "[^。！？；\\n]{0," + str(IDENTITY_REACH) + "}?"
+    marker = "(?:" + "|".join(IDENTITY_MARKERS) + ")"
+    q = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    return F.regexp_like(text, F.concat(q(left), F.lit(between + marker + between), q(right))) | F.regexp_like(text, F.concat(q(right), F.lit(between + marker + between), q(left)))

@@ -102,3 +102,10 @@ def missing_evidence(runs: DataFrame, required: list[str]) -> DataFrame:
     """One row: the required measures that some run lacks, in their order."""
     lacking = [F.when(F.count_if(F.col(c).isNull()) > 0, c) for c in required]
     return runs.agg(F.array_compact(F.array(*lacking)).alias("missing"))
+
+
+def unsafe_values(reports: DataFrame, id_col: str, report: str) -> DataFrame:
+    """(id, issue): string values of JSON reports that look like Chinese text or an absolute path."""
+    values = F.regexp_extract_all(F.col(report), F.lit(r':\s*"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1))
+    issue = lambda v: F.when(v.rlike("[一-龥]{2,}"), "chinese_text").when(v.rlike(r"^(?:/|[A-Za-z]:\\\\|~/|file:)"), "absolute_path")
+    return reports.select(id_col, F.explode(F.array_distinct(F.array_compact(F.transform(values, issue)))).alias("issue"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions.ordinals import ordinal_text
+from inkveil.operators.pseudonyms import ordinals
+
 
 def apply_edits(mappings: DataFrame, edits: DataFrame, key: str = "map_id") -> DataFrame:
     """``mappings`` after ``edits`` (key, nth, action, original, masked, type): the last edit of an original decides.
@@ -34,3 +37,24 @@ def merge_batch_maps(maps: DataFrame, base_first: str = "batch_ord") -> DataFram
     """One map of several documents' maps: of equal originals the entry of the earliest document, then the first."""
     order = Window.partitionBy("original").orderBy(base_first, "ord")
     return maps.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+ORDINAL = "(?:[甲乙丙丁戊己庚辛壬癸]|[0-9]{2,9})"
+
+
+def renumber(mappings: DataFrame, key: str = "map_id") -> DataFrame:
+    """``mappings`` whose masks' ordinals count on without gaps: groups with one mask are numbered by first appearance
+    within their type, persons within their surname, and the ordinal in the mask is replaced."""
+    stem = F.when(F.col("type") == "person", F.regexp_extract("masked", "^(.某)", 1)).otherwise("")
+    numbered = ordinals(mappings.withColumn("__stem", stem), [key, "type", "__stem"], "masked", "ord", "__n")
+    place = F.when(F.col("type") == "person", F.concat(F.lit("^.某"), F.lit(ORDINAL + "$"))).otherwise(F.lit("^" + ORDINAL))
+    new = F.when(F.col("type") == "person", F.concat("__stem", ordinal_text(F.col("__n")))).otherwise(F.concat(ordinal_text(F.col("__n")), F.regexp_replace("masked", "^" + ORDINAL, "")))
+    return numbered.withColumn("masked", F.when(F.regexp_like(F.col("masked"), place), new).otherwise(F.col("masked"))).select(*mappings.columns)
+
+
+def classify_rows(edited: DataFrame, original: DataFrame, key: str = "map_id") -> DataFrame:
+    """(key, original, state) of a reviewed map against the automatic one: unchanged, modified, added or deleted."""
+    left, right = original.select(key, "original", F.col("masked").alias("was")), edited.select(key, "original", F.col("masked").alias("now"))
+    joined = left.join(right, [key, "original"], "full")
+    state = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("was") == F.col("now"), "unchanged").otherwise("modified")
+    return joined.select(key, "original", state.alias("state"))

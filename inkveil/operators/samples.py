@@ -50,3 +50,53 @@ def binding(rows: DataFrame, key: str, target: str) -> DataFrame:
 def next_ordinals(used: DataFrame, key: str, ordinal: str) -> DataFrame:
     """(key, next): one more than the largest ordinal in use."""
     return used.groupBy(key).agg((F.max(ordinal) + 1).alias("next"))
+
+
+def effective_delta(existing: DataFrame, incoming: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(state, n): incoming samples that are created, updated or unchanged; the last of an incoming key counts (by nth)."""
+    last = incoming.groupBy(key).agg(F.max_by(F.struct(*values), "nth").alias("new"))
+    old = existing.select(key, F.struct(*values).alias("old"))
+    joined = last.join(old, key, "left")
+    state = F.when(F.col("old").isNull(), "created").when(F.col("old").eqNullSafe(F.col("new")), "unchanged").otherwise("updated")
+    return joined.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def few_shot(rows: DataFrame, per_action: int = 8) -> DataFrame:
+    """The newest samples of each action, at most ``per_action``, for prompts."""
+    order = Window.partitionBy("action").orderBy(F.desc("updated_at"), F.desc("original"))
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_action)
+
+
+def protected_name(original: Column, surnames: str) -> Column:
+    """A short common person name, which one deletion must not block everywhere."""
+    return original.rlike(f"^[{surnames}][一-龥]{{1,2}}$")
+
+
+CASE_NAME = r"^(?!\.{1,2}$)[^/\\:*?\"<>|\x00-\x1f]{1,120}$"
+
+
+def valid_case_name(name: Column) -> Column:
+    """A folder name without separators, reserved characters or surrounding space."""
+    return name.rlike(CASE_NAME) & (name == F.btrim(name))
+
+
+def thread_id(url: Column) -> Column:
+    """The number that a thread's address ends with; null if it ends otherwise."""
+    return F.nullif(F.regexp_extract(url, r"/(\d{5,30})/?$", 1), F.lit(""))
+
+
+def suggest_locations(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(folder, matched, confidence, state): folders by how many wanted file names they hold; the best one is ``unique``
+    or, with equals, ``ambiguous``. ``found`` has (folder, name), ``wanted`` has name."""
+    names = wanted.select("name").distinct()
+    total = names.count()
+    ranked = found.join(names, "name", "left_semi").groupBy("folder").agg(F.count_distinct("name").alias("matched"))
+    best = ranked.agg(F.max("matched").alias("top"), F.max_by(F.lit(1), "matched"))
+    top = ranked.crossJoin(F.broadcast(best.select("top"))).where("matched = top").drop("top")
+    state = F.when(F.count("*").over(Window.partitionBy(F.lit(0))) == 1, "unique").otherwise("ambiguous")
+    return top.select("folder", "matched", F.round(F.col("matched") / max(total, 1), 2).alias("confidence"), state.alias("state"))
+
+
+def workflow_state(saved: Column, has_map: Column, bound: Column, restored: Column) -> Column:
+    """How far a case has come."""
+    return F.when(restored, "restored").when(bound & has_map, "bound").when(has_map, "redacted").when(saved, "saved").otherwise("new")
