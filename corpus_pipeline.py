@@ -19,6 +19,9 @@ from inkveil.llm.simhash import near_duplicates
 from inkveil.llm.storage import materialize
 from inkveil.llm.toxicity import score_toxicity, train_toxicity
 
+#: Differing bits of 64 at which documents are near copies here: a changed word or two in a text of some length.
+NEAR_BITS, MOST_IN_KEY = 3, 128
+
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and their host's verdict keep."""
@@ -35,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group (one row of it); rows without an id stay."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = near_duplicates(docs, distance=NEAR_BITS, most=MOST_IN_KEY).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 

@@ -6,10 +6,15 @@ length l, the first l parts differ in at most l * distance / SEGMENTS bits toget
 parts and distance two the chain's first two parts must be equal: they are the join key (about 26 bits, one key for each
 part of the ring), and the longer prefixes of the chain are checked before the full Hamming distance.
 
+For distance three a ring of four parts is used, whose chains have an equal first part and a second one that differs in
+at most one bit: the key is both, once with each bit of the second part left out (about 31 bits, 64 keys).
+
 Only distinct fingerprints are compared. Within a key, groups of more than MOST_IN_KEY fingerprints (masses of near
 copies) would give pairs by the square of their number; they are linked exactly in another way, in proportion to their
-number: two fingerprints differ in at most two bits just when they share a point at most one bit away from either, so
-each sends itself to its 65 points and is linked to the least fingerprint of each point.
+number. Two fingerprints differ in at most two bits just when they share a point at most one bit away from either, so
+each sends itself to its 65 points and is linked to the least fingerprint of each point. At distance three the point is
+one bit away from one and two bits away from the other: each also goes to its points two bits away, and everything at a
+point is linked to the least fingerprint that is at most one bit away from it.
 """
 
 from __future__ import annotations
@@ -85,24 +90,60 @@ def equal_prefix(segments: int, distance: int) -> int:
     return max(n for n in range(1, segments + 1) if n * distance < segments)
 
 
-def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, most: int = MOST_IN_KEY) -> DataFrame:
-    """Links (a, b) whose connected components are those of "differs in at most ``distance`` bits".
-
-    ``prints`` has distinct values in column ``fp``. ``distance`` is 2 at most: the way of large groups needs that.
-    """
-    if not 1 <= distance <= 2 or distance >= segments:
-        raise ValueError("distance must be 1 or 2, and less than the number of segments")
-    equal = equal_prefix(segments, distance)
-    parts = _parts(F.col("fp"), segments)
+def _keys(value: Column, segments: int, distance: int) -> tuple[list[Column], int]:
+    """The keys of a fingerprint as (part, mask, key), and how many parts of a chain they cover."""
+    parts, widths, equal = _parts(value, segments), _widths(segments), equal_prefix(segments, distance)
+    begin = [sum(widths[:i]) for i in range(segments)]
     keys = []
     for i in range(segments):
         key = parts[i]
         for k in range(1, equal):
             key = key.bitwiseOR(parts[(i + k) % segments])
-        keys.append(F.struct(F.lit(i).alias("part"), key.alias("key")))
-    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp")
-    sized = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    small = keyed.join(sized.where(F.col("n") <= most), ["part", "key"]).groupBy("part", "key").agg(F.collect_list("fp").alias("fps"))
+        if equal > 1:
+            keys.append(F.struct(F.lit(i).alias("part"), F.lit(-1).alias("mask"), key.alias("key")))
+            continue
+        j = (i + 1) % segments  # the next part may differ in one bit, which is left out
+        for bit in range(begin[j], begin[j] + widths[j]):
+            rest = ~(1 << bit) & ((1 << 64) - 1)
+            masked = parts[j].bitwiseAND(F.lit(rest - (1 << 64) if rest >> 63 else rest))
+            keys.append(F.struct(F.lit(i).alias("part"), F.lit(bit).alias("mask"), key.bitwiseOR(masked).alias("key")))
+    return keys, equal
+
+
+def _bit(i: int) -> Column:
+    return F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("bigint")
+
+
+def _point_links(large: DataFrame, distance: int) -> DataFrame:
+    """Links among masses of fingerprints, in proportion to their number."""
+    ones = F.array(*(_bit(i) for i in range(64)))
+    near = large.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), ones)).alias("flip"))
+    point = near.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp")
+    if distance == 1:
+        ring = near.where("flip <> 0").select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).join(large.select(F.col("fp").alias("point")), "point")
+        return ring.select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b"))
+    members = point
+    if distance == 3:
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.slice(ones, i + 2, 63 - i), lambda y: y.bitwiseOR(F.get(ones, i)))))
+        far = large.select("fp", F.explode(pairs).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp")
+        members = point.unionByName(far)
+    least = point.groupBy("point").agg(F.min("fp").alias("a"))
+    return members.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+
+
+def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int | None = None, most: int = MOST_IN_KEY) -> DataFrame:
+    """Links (a, b) whose connected components are those of "differs in at most ``distance`` bits".
+
+    ``prints`` has distinct values in column ``fp``. ``distance`` is 3 at most: the way of large groups needs that.
+    """
+    segments = segments or (SEGMENTS if distance < 3 else 4)
+    if not 1 <= distance <= 3 or distance >= segments or (equal_prefix(segments, distance) == 1 and 2 * distance >= 2 * segments):
+        raise ValueError("distance must be 1, 2 or 3, and less than the number of segments")
+    keys, equal = _keys(F.col("fp"), segments, distance)
+    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.mask", "k.key", "fp")
+    on = ["part", "mask", "key"]
+    sized = keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
+    small = keyed.join(sized.where(F.col("n") <= most), on).groupBy(*on).agg(F.collect_list("fp").alias("fps"))
     left = small.select("part", F.col("fps").alias("all"), F.explode("fps").alias("a"))
     pairs = left.select("part", "a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
@@ -116,22 +157,12 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int
                 holds = holds & (total <= n * distance // segments)
         chain = chain | holds
     verified = pairs.where(chain).where(F.bit_count(diff) <= distance).select("a", "b")
-    large = keyed.join(sized.where(F.col("n") > most), ["part", "key"], "left_semi").select("fp").distinct()
-    flips = [F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("bigint") for i in range(64)]
-    near = large.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), F.array(*flips))).alias("flip"))
-    if distance == 1:
-        star = near.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-        ring = star.where("flip <> 0").join(large.select(F.col("fp").alias("point")), "point")
-        linked = ring.select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b"))
-    else:
-        point = near.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp")
-        least = point.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a <> last")
-        linked = point.join(least.select("point", "a"), "point").where("a <> fp").select("a", F.col("fp").alias("b"))
-    return verified.unionByName(linked).distinct()
+    large = keyed.join(sized.where(F.col("n") > most), on, "left_semi").select("fp").distinct()
+    return verified.unionByName(_point_links(large, distance)).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int = SEGMENTS, most: int = MOST_IN_KEY
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int | None = None, most: int = MOST_IN_KEY
 ) -> DataFrame:
     """One row per document: id, fp (bigint), component_id (the smallest id of its group of linked fingerprints).
 

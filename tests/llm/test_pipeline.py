@@ -32,7 +32,7 @@ def test_stages_one_by_one(spark, tmp_path):
 
     before, after = ids["SimHash near-dedup"]
     groups = defaultdict(list)
-    for r in simhash.near_duplicates(seen["SimHash near-dedup"][0]).collect():
+    for r in simhash.near_duplicates(seen["SimHash near-dedup"][0], distance=corpus_pipeline.NEAR_BITS).collect():
         groups[r.component_id].append(r.doc_id)
     assert after == {min(g) for g in groups.values()} and seen["SimHash near-dedup"][1].count() == len(after)
     texts = [r.text for r in seen["SimHash near-dedup"][1].collect()]

@@ -183,18 +183,19 @@ def test_near_duplicates_match_brute_force(spark):
         assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
 
 
-def test_links_by_pigeonring_and_by_shared_points_agree_with_brute_force(spark):
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_links_by_pigeonring_and_by_shared_points_agree_with_brute_force(spark, distance):
     rng = np.random.default_rng(6)
     values = set()
     for _ in range(12):
         center = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(2))
         for _ in range(50):
             v = center
-            for _ in range(int(rng.integers(5))):
+            for _ in range(int(rng.integers(6))):
                 v ^= 1 << int(rng.integers(64))
             values.add(v)
     signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
-    roots = components(values)
+    roots = components(values, distance)
     groups = defaultdict(set)
     for v, r in roots.items():
         groups[r].add(signed[v])
@@ -202,7 +203,7 @@ def test_links_by_pigeonring_and_by_shared_points_agree_with_brute_force(spark):
     table = spark.createDataFrame([(v,) for v in signed.values()], "fp bigint")
     for most in (2, 1000):
         found = defaultdict(set)
-        for r in simhash.min_labels(simhash.link_fingerprints(table, most=most)).collect():
+        for r in simhash.min_labels(simhash.link_fingerprints(table, distance, most=most)).collect():
             found[r.label].add(r.node)
         assert {frozenset(g) for g in found.values()} == want
 
