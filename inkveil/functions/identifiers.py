@@ -52,11 +52,10 @@ def map_case_number(number: Column, seed: int = 0) -> Column:
     differently in every document and run. Numbers of the supreme court, and those without a province, stay.
     """
     shift = 1 + seed % (len(PROVINCES) - 1)
-    swapped = number
-    for i, p in reversed(list(enumerate(PROVINCES))):  # the first province of the list that occurs decides
-        other = PROVINCES[(i + shift) % len(PROVINCES)]
-        swapped = F.when(number.contains(p), F.replace(number, F.lit(p), F.lit(other))).otherwise(swapped)
-    return F.when(number.contains("最高法") | number.contains("最高院"), number).otherwise(swapped)
+    listed = F.split(F.lit(",".join(PROVINCES)), ",")
+    first = F.get(F.filter(listed, lambda p: number.contains(p)), 0)  # in the list's order
+    swapped = F.replace(number, first, F.translate(first, PROVINCES, PROVINCES[shift:] + PROVINCES[:shift]))
+    return F.when(number.rlike("最高法|最高院"), number).otherwise(F.coalesce(swapped, number))
 
 
 def strip_court_signatures(text: Column) -> Column:

@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import identifiers as I
-from inkveil.functions.spans import match_spans
+from inkveil.functions.spans import empty_spans, match_spans
 
 
 def _is_id(value: Column) -> Column:
     return value.rlike("^(?:" + I.ID_NUMBER + ")$")
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    """A cheap necessary condition, so that most texts are passed over without the whole pattern."""
+    if kind == "email":
+        return text.contains("@")
+    if kind == "case_number":
+        return text.contains("（") | text.contains("(")
+    return text.rlike("[0-9]")
+
+
 def type_spans(text: Column, kind: str) -> Column:
     """Spans of one type, filtered by its shape and extended over a label just before it."""
     pattern, source, confidence = I.DETECTORS[kind]
-    spans = match_spans(text, pattern)
+    spans = F.when(_may_hold(text, kind), match_spans(text, pattern)).otherwise(empty_spans())
     if kind == "unified_social_credit_code":
         spans = F.filter(spans, lambda x: ~_is_id(x["value"]) & x["value"].rlike(I.CREDIT_CODE_SHAPE))
     if kind == "bank_account":
@@ -28,9 +37,8 @@ def type_spans(text: Column, kind: str) -> Column:
     def row(x: Column) -> Column:
         reach = F.least(x["start"], F.lit(I.LABEL_REACH))
         before = F.substring(text, x["start"] - reach + 1, reach)
-        label = F.lit(0)
-        for word in sorted(I.LABELS[kind], key=len):
-            label = F.when(before.endswith(word), len(word)).otherwise(label)
+        words = sorted(I.LABELS[kind], key=len, reverse=True)
+        label = F.length(F.regexp_extract(before, "(" + "|".join(words) + ")$", 1)) if words else F.lit(0)
         start = x["start"] - label
         procedure = F.regexp_extract(x["value"], I.CASE_NUMBER, 1) if kind == "case_number" else F.lit(None).cast("string")
         return F.struct(
