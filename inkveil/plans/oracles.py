@@ -129,7 +129,7 @@ ORACLES: dict[str, str] = {
         select doc_id, type, name, count(*) as n, min(i)::BIGINT as first_start from o group by all""",
     "repaired_payloads": "select doc_id, case when doc_id % 12 < 6 + length(doc_id::VARCHAR) + 20 then 2 end::BIGINT as n_persons from documents",
     "division_terms": """
-        select * from (values ('河北省','130000000000','河北省','province',0.95),('石家庄市','130100000000','石家庄市','city',0.95),('长安区','130102000000','长安区','county',0.95),('建北街道','130102001000','建北街道','township',0.95),
+        select term, code, canonical_name, level, confidence::DOUBLE as confidence from (values ('河北省','130000000000','河北省','province',0.95),('石家庄市','130100000000','石家庄市','city',0.95),('长安区','130102000000','长安区','county',0.95),('建北街道','130102001000','建北街道','township',0.95),
         ('棉一社区居委会','130102001001','棉一社区居委会','village',0.95),('广东省','440000000000','广东省','province',0.95),('深圳市','440300000000','深圳市','city',0.95),('广西壮族自治区','450000000000','广西壮族自治区','province',0.95),
         ('河北','130000000000','河北省','province',0.85),('石家庄','130100000000','石家庄市','city',0.85),('广东','440000000000','广东省','province',0.85),('深圳','440300000000','深圳市','city',0.85),('广西','450000000000','广西壮族自治区','province',0.85))
         t(term, code, canonical_name, level, confidence)""",
