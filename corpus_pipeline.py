@@ -20,7 +20,7 @@ from inkveil.llm.storage import materialize
 from inkveil.llm.toxicity import score_toxicity, train_toxicity
 
 #: Differing bits of 64 at which documents are near copies here: a changed word or two in a text of some length.
-NEAR_BITS, MOST_IN_KEY = 3, 128
+NEAR_BITS, MOST_IN_KEY = 3, 48
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

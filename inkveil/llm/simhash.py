@@ -144,19 +144,27 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int
     on = ["part", "mask", "key"]
     sized = keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
     small = keyed.join(sized.where(F.col("n") <= most), on).groupBy(*on).agg(F.collect_list("fp").alias("fps"))
-    left = small.select("part", F.col("fps").alias("all"), F.explode("fps").alias("a"))
-    pairs = left.select("part", "a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    pieces = [F.bit_count(p) for p in _parts(diff, segments)]
-    chain = F.lit(False)
-    for i in range(segments):
-        holds, total = F.col("part") == i, F.lit(0)
-        for n in range(1, segments + 1):
-            total = total + pieces[(i + n - 1) % segments]
-            if n > equal:
-                holds = holds & (total <= n * distance // segments)
-        chain = chain | holds
-    verified = pairs.where(chain).where(F.bit_count(diff) <= distance).select("a", "b")
+    left = small.select("part", "mask", F.col("fps").alias("all"), F.explode("fps").alias("a"))
+    begin = [sum(_widths(segments)[:i]) for i in range(segments)]
+
+    def linked(b: Column) -> Column:
+        """Along the chain that the key begins, then in all bits; a pair under several masks counts under one."""
+        diff = F.col("a").bitwiseXOR(b)
+        pieces = [F.bit_count(p) for p in _parts(diff, segments)]
+        chain = F.lit(False)
+        for i in range(segments):
+            holds, total = F.col("part") == i, F.lit(0)
+            for n in range(1, segments + 1):
+                total = total + pieces[(i + n - 1) % segments]
+                if n > equal:
+                    holds = holds & (total <= n * distance // segments)
+            if equal == 1:
+                j = (i + 1) % segments
+                holds = holds & ((pieces[j] > 0) | (F.col("mask") == begin[j]))
+            chain = chain | holds
+        return (b > F.col("a")) & (F.bit_count(diff) <= distance) & chain
+
+    verified = left.select("a", F.explode(F.filter("all", linked)).alias("b"))
     large = keyed.join(sized.where(F.col("n") > most), on, "left_semi").select("fp").distinct()
     return verified.unionByName(_point_links(large, distance)).distinct()
 
