@@ -21,33 +21,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.arrow_text import ranges, text_offsets
 from inkveil.llm.components import min_labels
+from inkveil.llm.minhash import shingle_hashes, signature_column, similar_links
 from inkveil.llm.storage import materialize
 
 SEGMENTS = 5
 DISTANCE = 2
 MOST_IN_KEY = 48
 SHINGLE_WORDS = 5
+#: Jaccard similarity of five-word shingles from which on texts are near copies whatever their fingerprints.
+SIMILARITY = 0.8
 
 
 def _fingerprint(text: bytes, words: int) -> int:
-    parts = text.lower().split()
-    if not parts:
+    hashes = shingle_hashes(text, words)
+    if not hashes:
         return 0
-    if len(parts) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), 42)]
-    else:
-        line = b" ".join(parts)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        begin = np.cumsum(sizes) - sizes
-        end = (begin + sizes - 1)[words - 1 :]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(begin.tolist(), end.tolist(), strict=False)]
     count = np.zeros(64, np.int64)
     packed = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     for lo in range(0, len(packed), 8192):
@@ -170,17 +163,29 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int | None = None, most: int = MOST_IN_KEY
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int | None = None, most: int = MOST_IN_KEY, similarity: float | None = None
 ) -> DataFrame:
     """One row per document: id, fp (bigint), component_id (the smallest id of its group of linked fingerprints).
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows each get a row; null ids get
     the group of their fingerprint and never name one, so a group of null ids alone has a null component_id. An empty
     table gives no rows. Other columns of ``docs`` are not read.
+
+    Texts whose shingle sets have a Jaccard similarity of ``similarity`` or more are linked too, however many bits their
+    fingerprints differ in. It is SIMILARITY for shingles of SHINGLE_WORDS words when not given; for others, and with
+    zero, fingerprints alone decide.
     """
-    prints = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
+    if similarity is None and words == SHINGLE_WORDS:
+        similarity = SIMILARITY
+    columns = [F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")]
+    if similarity:
+        columns += [F.xxhash64(text_col).alias("at"), signature_column(F.col(text_col), words).alias("s")]
+    prints = materialize(docs.select(*columns))
     classes = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
-    labels = min_labels(link_fingerprints(classes.select("fp"), distance, segments, most)).withColumnRenamed("node", "fp")
+    links = link_fingerprints(classes.select("fp"), distance, segments, most)
+    if similarity:
+        links = similar_links(prints.select("fp", "at", "s.*"), docs, text_col, words, similarity, links)
+    labels = min_labels(links).withColumnRenamed("node", "fp")
     linked = classes.join(labels, "fp")
     roots = linked.groupBy("label").agg(F.min("first_id").alias("root_id"))
     named = labels.join(roots, "label").select("fp", "root_id")

@@ -1,11 +1,12 @@
 """The pipeline's stages and its whole run against what they must do."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from inkveil.llm import quality_rules, secrets, simhash
+from inkveil.llm import minhash, quality_rules, secrets, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -71,3 +72,34 @@ def test_run_keeps_whole_documents(spark):
     out = corpus_pipeline.run(spark, SF)
     per = out.groupBy("doc_id").agg(F.max("piece").alias("p"), F.count("*").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("length").alias("sum"))
     assert per.where("n <> p + 1 OR end <> sum").count() == 0 and per.count() > 500
+
+
+def test_near_copies_of_brute_force_jaccard(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (24, 60, 150, 400, 900)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for step in (30, 45, 60, 80):  # about 1 - 10 / step of all shingles in common
+            for _ in range(3):
+                at = rng.randrange(step)
+                texts.append(" ".join(f"x{rng.randrange(10**6)}" if i % step == at else w for i, w in enumerate(b)))
+    shingles = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    bits = [simhash._fingerprint(t.encode(), 5) for t in texts]
+    far = [(i, j) for i, j in near if (bits[i] ^ bits[j]).bit_count() > corpus_pipeline.NEAR_BITS]
+    assert len(far) > 10
+    for i, j in near + [(i, j) for i in range(len(texts)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= corpus_pipeline.NEAR_BITS]:
+        lo, hi = sorted((root(i), root(j)))
+        parent[hi] = lo
+    want = {root(i) for i in range(len(texts))}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for block, rows in ((minhash.BLOCK, minhash.BROADCAST_ROWS), (3, 0)):
+        monkeypatch.setattr(minhash, "BLOCK", block), monkeypatch.setattr(minhash, "BROADCAST_ROWS", rows)
+        assert {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()} == want
