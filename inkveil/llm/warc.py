@@ -75,6 +75,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows.select(F.concat(fields, F.lit(END), body).alias("value")).write.option("lineSep", END).text(path)
 
 
+def _pin_blocks(spark: SparkSession) -> None:
+    """Spark cuts files anew for each job, by the cores there are at that time. From now on this session cuts them for as
+    many as now, so that both reads of an archive find the same blocks if executors are lost or join in between."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+
+
 def _segments(spark: SparkSession, path: str) -> DataFrame:
     """What lies between candidates, in order within each block of a file."""
     lines = spark.read.option("lineSep", END + MAGIC.decode()).text(path)
@@ -192,6 +200,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for now, at, segment, begins, (block_base, entry, owner) in _placed(batches, "base", "entry", "owner"):
         if now != key:
+            if block_base is None:
+                raise RuntimeError(f"{now[0]} is cut at {now[1]} now, but was not when its chain was followed: read it again")
             leave()
             key, base, expected = now, block_base, entry
             start, begun, end, parts = (None if owner is None else owner - base), at, None, []
@@ -217,14 +227,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Only records that the chain of record lengths from a file's start reaches are read. A file that does not begin with a
     record has none; after a broken link the rest of a file is left out, and so is a last record whose end is missing.
+    Files are read twice; if the second read cuts them at other places than the first, it fails.
     """
+    _pin_blocks(spark)
     entries = _entries(spark, path)
     segments = _segments(spark, path)
     if entries.count() <= BROADCAST_ROWS:  # one row for each block, of some 128 MB
-        known = segments.join(F.broadcast(entries), ["file", "block"])
+        known = segments.join(F.broadcast(entries), ["file", "block"], "left")
     else:
         order = segments.withColumn("nth", F.monotonically_increasing_id())
-        known = order.join(entries, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "nth").drop("nth")
+        known = order.join(entries, ["file", "block"], "left").repartition("file", "block").sortWithinPartitions("file", "block", "nth").drop("nth")
     parts = known.select("file", "block", "base", "entry", "owner", "value").mapInArrow(_walk, "file string, at bigint, whole boolean, place bigint, data binary")
     pieces = parts.where("NOT whole").groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("place", "data"))).alias("p"))
     whole_text = F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["data"]))

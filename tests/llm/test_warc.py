@@ -61,3 +61,21 @@ def test_files_that_are_no_archives_and_broken_ends(spark, tmp_path):
     (tmp_path / "other.txt").write_bytes(("garbage " + record).encode())
     got = [(r.file.rsplit("/", 1)[-1], r.at) for r in warc.read_warc(spark, str(tmp_path)).collect()]
     assert sorted(got) == [("broken.warc", 0), ("whole.warc", 0), ("whole.warc", len(record)), ("whole.warc", 2 * len(record))]
+
+
+@pytest.mark.parametrize("rows", [warc.BROADCAST_ROWS, 0])
+def test_cluster_that_changes_between_the_reads(spark, monkeypatch, rows):
+    cores, least, most, cost = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {n: spark.conf.get(n, None) for n in (cores, least, most, cost)}
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
+    try:
+        spark.conf.unset(least), spark.conf.set(cost, "0"), spark.conf.set(cores, "2")
+        lazy = warc.round_trip(pages(spark))
+        spark.conf.set(cores, "9")  # the second read would be cut finer
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in lazy.collect()), key=repr) == expected()
+        spark.conf.set(most, "2k")
+        with pytest.raises(Exception, match="read it again"):
+            lazy.select("*").collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
