@@ -67,16 +67,21 @@ def without_noise(mappings: DataFrame) -> DataFrame:
 
 
 def alias_edges(mappings: DataFrame, key: str = "map_id") -> DataFrame:
-    """(key, a, b): organizations of one map that share an alias core, each linked to the least original with that core.
+    """(key, a, b): links of organizations of one map that share an alias core and may be merged, connected like all pairs.
 
-    Pairs that must not be merged are left out. A core links its names by a star, not by all pairs.
+    A core links its names by a star, not by all pairs: to the least of the names that block none, or else the least. Only
+    names that must not be merged with that one are paired with all others of the core.
     """
     blocked = F.coalesce(F.col("do_not_merge"), F.array().cast("array<string>"))
     own = mappings.where("type = 'organization'").select(key, "original", "entity_id", blocked.alias("blocked"), F.explode(alias_cores(F.col("original"))).alias("core"))
-    first = own.groupBy(key, "core").agg(F.min(F.struct("original", "entity_id", "blocked")).alias("f"))
-    linked = own.join(first, [key, "core"]).where(F.col("original") != F.col("f.original"))
-    free = ~F.coalesce(F.array_contains("blocked", F.col("f.entity_id")), F.lit(False)) & ~F.coalesce(F.array_contains(F.col("f.blocked"), F.col("entity_id")), F.lit(False))
-    return linked.where(free).select(key, F.col("f.original").alias("a"), F.col("original").alias("b")).distinct()
+    first = own.groupBy(key, "core").agg(F.min(F.struct((F.size("blocked") > 0).alias("blocks"), "original", "entity_id", "blocked")).alias("f"))
+    holds = lambda names, one: F.coalesce(F.array_contains(names, one), F.lit(False))
+    free = lambda x: ~holds(F.col("blocked"), F.col(f"{x}.entity_id")) & ~holds(F.col(f"{x}.blocked"), F.col("entity_id"))
+    met = own.join(first, [key, "core"])
+    star = met.where((F.col("original") != F.col("f.original")) & free("f")).select(key, F.col("f.original").alias("a"), F.col("original").alias("b"))
+    apart = met.where(~free("f")).select(key, "core", F.struct("original", "entity_id", "blocked").alias("o"))
+    others = own.join(apart, [key, "core"]).where((F.col("original") != F.col("o.original")) & free("o"))
+    return star.unionByName(others.select(key, F.least("original", "o.original").alias("a"), F.greatest("original", "o.original").alias("b"))).distinct()
 
 
 def merge_aliases(mappings: DataFrame, key: str = "map_id") -> DataFrame:

@@ -1,7 +1,10 @@
 """Candidates, gazetteer, pseudonyms, evaluation, registry, samples, files and streams on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from inkveil.functions.organizations import alias_cores
 from inkveil.operators import audit, candidates, components, evaluation, gazetteer, postprocess, pseudonyms, registry, reports, samples
 from inkveil.plans import fixtures
 from inkveil.sources import files
@@ -222,3 +225,28 @@ def test_report_privacy_and_context(spark):
     assert reports.missing_evidence(runs, ["ms", "f1"]).first().missing == ["f1"]
     one, two = (reports.stable_hash(runs.orderBy(o), ["gold"], ["run"]).orderBy("gold").collect() for o in ("run", F.desc("run")))
     assert one == two
+
+
+def test_alias_links_connect_what_all_unblocked_pairs_do(spark):
+    rng = random.Random(2)
+    names = ["丙丁有限公司", "丙丁集团", "丙丁科技有限公司", "河北丙丁有限公司", "丙丁实业集团"]
+    maps = [("parent", [("丙丁有限公司", ["e1", "e2"]), ("丙丁集团", []), ("河北丙丁有限公司", [])])]
+    maps += [(f"m{i}", [(n, rng.sample([f"e{k}" for k in range(5)], rng.choice((0, 1, 2, 3)))) for n in names]) for i in range(30)]
+    rows = [(m, n, "organization", f"e{i}", b) for m, group in maps for i, (n, b) in enumerate(group)]
+    table = spark.createDataFrame(rows, "map_id string, original string, type string, entity_id string, do_not_merge array<string>").persist()
+    cores = {(r.map_id, r.original): set(r.c) for r in table.select("map_id", "original", alias_cores(F.col("original")).alias("c")).collect()}
+    edges = {(r.map_id, r.a, r.b) for r in postprocess.alias_edges(table).collect()}
+
+    def groups(pairs, group):
+        label = {n: n for n, _ in group}
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label = {n: new if x == old else x for n, x in label.items()}
+        return {frozenset(n for n in label if label[n] == x) for x in label.values()}
+
+    for m, group in maps:
+        at = {n: (f"e{i}", b) for i, (n, b) in enumerate(group)}
+        free = [(x, y) for x in at for y in at if x < y and cores[m, x] & cores[m, y] and at[x][0] not in at[y][1] and at[y][0] not in at[x][1]]
+        got = [(a, b) for k, a, b in edges if k == m]
+        assert {tuple(sorted(p)) for p in got} <= set(free) and groups(got, group) == groups(free, group)
+    assert groups([(a, b) for k, a, b in edges if k == "parent"], maps[0][1]) == {frozenset({"丙丁有限公司"}), frozenset({"丙丁集团", "河北丙丁有限公司"})}
