@@ -90,12 +90,19 @@ def find_terms(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", t
     """(id, start, end, and the dictionary's columns): every occurrence of every term, nested and overlapping ones too.
 
     A dictionary of at most ``most`` terms (checked) goes to every task as one automaton, which reads a text once. A
-    larger one is joined on terms' first characters.
+    larger one is joined on terms' first characters, and only its terms of fewer than KEY_CHARS go to the automaton.
     """
     kept = dictionary.where(F.length("term") > 0)
     words = [r[0] for r in kept.select("term").distinct().limit(most + 1).collect()]
     if len(words) > most:
-        return _join_terms(docs, kept, id_col, text_col)
+        brief = kept.where(F.length("term") < KEY_CHARS)  # as many as there are characters, at most
+        scanned = _scan_terms(docs, brief, [r[0] for r in brief.select("term").distinct().collect()], id_col, text_col)
+        return _join_terms(docs, kept, id_col, text_col).unionByName(scanned)
+    return _scan_terms(docs, kept, words, id_col, text_col)
+
+
+def _scan_terms(docs: DataFrame, dictionary: DataFrame, words: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Every occurrence of ``words``, the dictionary's terms, by one automaton."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +118,7 @@ def find_terms(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(term, pa.string())], names=[id_col, "start", "term"])
 
     found = docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {id_type}, start int, term string")
-    return found.join(F.broadcast(kept), "term").select(id_col, "start", (F.col("start") + F.length("term")).alias("end"), *dictionary.columns)
+    return found.join(F.broadcast(dictionary), "term").select(id_col, "start", (F.col("start") + F.length("term")).alias("end"), *dictionary.columns)
 
 
 def _join_terms(docs: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:

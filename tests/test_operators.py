@@ -227,6 +227,14 @@ def test_report_privacy_and_context(spark):
     assert one == two
 
 
+def test_large_dictionary_keeps_one_character_terms(spark):
+    docs = spark.createDataFrame([(1, "京A京"), (2, None), (3, "😀北京"), (4, "京")], "doc_id bigint, text string")
+    words = spark.createDataFrame([("京",), ("北京",), ("😀",), ("",)], "term string")
+    for most in (1000, 1):
+        found = gazetteer.find_terms(docs, words, most=most).collect()
+        assert sorted((r.doc_id, r.start, r.end, r.term) for r in found) == [(1, 0, 1, "京"), (1, 2, 3, "京"), (3, 0, 1, "😀"), (3, 1, 3, "北京"), (3, 2, 3, "京"), (4, 0, 1, "京")]
+
+
 def test_alias_links_connect_what_all_unblocked_pairs_do(spark):
     rng = random.Random(2)
     names = ["丙丁有限公司", "丙丁集团", "丙丁科技有限公司", "河北丙丁有限公司", "丙丁实业集团"]
