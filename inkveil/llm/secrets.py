@@ -20,7 +20,7 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST_RATIO = 15.0  # nats
 BACK_OFF = 5.0
 FIRST, SYMBOLS = 33, 94  # printable ASCII
-SAMPLE_DOCS = 2000  # documents whose words are samples of ordinary identifiers
+PROGRAM_DOCS = 2000  # documents to whose words the identifiers made of IDENTIFIER_WORDS are added once
 RANDOM_STRINGS = 4000
 LEAST_MEAN = 0.5  # nats a pair of characters
 MASK = "[SECRET]"
@@ -34,31 +34,38 @@ IDENTIFIER_WORDS = (
 )
 
 
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(value, random): strings made from digests, and identifiers made from the words of about SAMPLE_DOCS documents,
-    which a hash of the id picks."""
-    spark, n = docs.sparkSession, max(1, docs.count())
+def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(value, random, n): strings made from digests, and identifiers made from the words of all documents.
+
+    Identifiers of the corpus are counted in parts that overlap in the character where they are joined, so that equal parts
+    are one row with their number ``n``; the pairs of symbols in them are those of the whole identifiers. Those made of
+    IDENTIFIER_WORDS count once for every PROGRAM_DOCS documents, so that they keep their share in a corpus of any size.
+    """
+    spark, times = docs.sparkSession, max(1, docs.count() // PROGRAM_DOCS)
     digest = F.sha2(F.concat(F.lit("random string "), F.col("id").cast("string")), 256)
     mixed = F.base64(F.unhex(digest))
     shape = F.col("id") % 4
     made = F.when(shape == 0, mixed).when(shape == 1, digest).when(shape == 2, F.upper(F.regexp_replace(mixed, "[+/=]", ""))).otherwise(F.regexp_replace(mixed, "[+/=]", "_"))
     random = spark.range(RANDOM_STRINGS).select(made.alias("value"), F.lit(True).alias("random"))
-    chance = F.pmod(F.xxhash64(id_col, F.lit("identifiers")), F.lit(1 << 30)) / (1 << 30)
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("[A-Za-z]{2,}"), F.lit(0))
-    picked = docs.where(chance < SAMPLE_DOCS / n).limit(3 * SAMPLE_DOCS).select(words.alias("w"))
-    word = picked.select(F.posexplode("w").alias("i", "one"), F.col("w").alias("w")).select("one", F.get("w", F.col("i") + 1).alias("two"), "i")
-    joined = (
-        F.when(F.col("i") % 4 == 0, F.concat_ws("_", "one", "two"))
-        .when(F.col("i") % 4 == 1, F.concat("one", F.initcap(F.coalesce("two", F.lit("")))))
-        .when(F.col("i") % 4 == 2, F.concat_ws("-", "one", "two"))
-        .otherwise(F.concat(F.lower("one"), F.lit("/"), F.coalesce("two", F.lit(""))))
-    )
+
+    def parts(one: Column, i: Column) -> Column:
+        """Of a word and the next one (if any), joined by turns as one_two, oneTwo, one-two and one/two."""
+        two = F.get("w", i + 1)
+        sep = F.when(i % 4 == 0, "_").when(i % 4 == 2, "-").otherwise("/")
+        low = F.when(i % 4 == 3, F.lower(one)).otherwise(one)
+        camel = F.array(one, F.concat(F.right(one, F.lit(1)), F.upper(F.left(two, F.lit(1)))), F.initcap(two))
+        joined = F.array(F.when(two.isNull() & (i % 4 != 3), low).otherwise(F.concat(low, sep)), F.concat(sep, two))
+        return F.array_compact(F.when(i % 4 == 1, camel).otherwise(joined))
+
+    split = docs.select(words.alias("w")).select(F.explode(F.transform("w", parts)).alias("v")).select(F.explode("v").alias("value"))
+    corpus = split.groupBy("value").agg(F.count("*").alias("n")).select("value", F.lit(False).alias("random"), "n")
     known = F.split(F.lit(IDENTIFIER_WORDS), " ")
     n_known = len(IDENTIFIER_WORDS.split())
     three = [F.get(known, ((F.col("id") * k + F.col("id") / n_known) % n_known).cast("int")) for k in (1, 7, 13)]
     camel = F.concat(three[0], F.initcap(three[1]), F.initcap(three[2]))
     program = spark.range(RANDOM_STRINGS).select(F.when(F.col("id") % 3 == 0, camel).when(F.col("id") % 3 == 1, F.concat_ws("_", *three)).otherwise(F.upper(F.concat_ws("_", *three))).alias("value"), F.lit(False).alias("random"))
-    return random.unionByName(program).unionByName(word.select(joined.alias("value"), F.lit(False).alias("random")))
+    return random.withColumn("n", F.lit(1).cast("bigint")).unionByName(program.withColumn("n", F.lit(times).cast("bigint"))).unionByName(corpus)
 
 
 def _code(value: Column, i: Column) -> Column:
@@ -69,10 +76,10 @@ def train_markov(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios (random against ordinary) of every pair of symbols. Only the counts of the fixed number of
     pairs come to the driver; without samples every ratio is zero."""
     pairs = samples.where(F.length("value") > 1).select(
-        "random", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.struct(_code(F.col("value"), i).alias("a"), _code(F.col("value"), i + 1).alias("b")))).alias("p")
+        "random", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.struct(_code(F.col("value"), i).alias("a"), _code(F.col("value"), i + 1).alias("b")))).alias("p")
     )
     inside = F.col("p.a").between(0, SYMBOLS - 1) & F.col("p.b").between(0, SYMBOLS - 1)
-    counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.where(inside).groupBy("random", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).collect()}
+    counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.where(inside).groupBy("random", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n")).collect()}
     totals: dict[tuple[bool, int], int] = {}
     single: dict[tuple[bool, int], int] = {}
     for (kind, a, b), n in counts.items():

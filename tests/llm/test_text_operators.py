@@ -257,3 +257,26 @@ def test_empty_tables(spark, empty):
     assert quality_rules.quality_rules(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
     assert secrets.find_secrets(empty, secrets.train_markov(secrets.labelled_samples(empty))).count() == 0
+
+
+def test_identifier_pairs_are_counted_over_all_documents(spark):
+    text = "Alpha beta GAMMA delta epsilonX zeta " * 3 + "last"
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, text).when(F.col("id") % 3 == 1, "one").alias("text"))
+    counts = Counter()
+    for one in (text, "one"):
+        words = re.findall("[A-Za-z]{2,}", one)
+        for i, (a, b) in enumerate(zip(words, [*words[1:], None], strict=True)):
+            shape = i % 4
+            value = a + (b.capitalize() if b else "") if shape == 1 else a.lower() + "/" + (b or "") if shape == 3 else (a + "_-"[shape // 2] + b if b else a)
+            for pair in zip(value, value[1:], strict=False):
+                counts[pair] += 3000
+    samples = secrets.labelled_samples(docs)
+    got = Counter()
+    for r in samples.where("NOT random").collect():
+        for pair in zip(r.value, r.value[1:], strict=False):
+            got[pair] += r.n
+    empty = Counter()
+    for r in secrets.labelled_samples(docs.limit(0)).where("NOT random").collect():
+        for pair in zip(r.value, r.value[1:], strict=False):
+            empty[pair] += r.n * (9000 // secrets.PROGRAM_DOCS)
+    assert got - empty == counts
