@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from inkveil.llm import ngrams
 from inkveil.llm.arrow_text import ranges, text_bytes
+from inkveil.llm.sampling import pick_ids, sample_texts
 from inkveil.llm.storage import id_bucket
 
 ORDERS = (3, 4)
 BITS = 16
 ROUNDS = 4
 SAMPLE_PER_LANGUAGE = 500  # bound on the rows that a language's table is counted over
-SAMPLE_CHARS = 8000  # longer texts are not used for fitting (all are identified)
+SAMPLE_BYTES = 4 << 20  # bound on their texts together
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -58,7 +59,7 @@ def _word_scores(v: ngrams.WordView, tables: np.ndarray) -> np.ndarray:
         bucket, valid = ngrams.grams(v, n, BITS)
         at = np.flatnonzero(valid)
         total[at + 1] += tables.T[bucket[at]]
-    return np.add.reduceat(total, v.starts, axis=0) if len(v.starts) else np.empty((0, len(tables)), np.float32)
+    return ngrams.per_word(v, total)
 
 
 def _expect(scores: np.ndarray, at: np.ndarray, owner: np.ndarray, allowed: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,16 +113,11 @@ def proportions(model: Languages, v: ngrams.WordView) -> np.ndarray:
 
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Tables from at most about SAMPLE_PER_LANGUAGE rows of each language outside the held-out fold
-    (``crc32(id as text) mod 4 = 2``); a hash of the id picks them."""
+    """Tables from at most SAMPLE_PER_LANGUAGE rows and SAMPLE_BYTES of each language outside the held-out fold
+    (``crc32(id as text) mod 4 = 2``), whatever their lengths; a hash of the id picks them."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (id_bucket(id_col, FOLDS) != HELD_OUT))
-    share = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    chance = F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    thin = F.lit(False)
-    for name, n in share.items():
-        thin = thin | ((F.col(lang_col) == name) & (chance < SAMPLE_PER_LANGUAGE / n))
-    rows = known.where(F.length(text_col) <= SAMPLE_CHARS).where(thin).select(text_col, lang_col)
-    got = sorted((r[0], r[1]) for r in rows.limit(3 * SAMPLE_PER_LANGUAGE * max(1, len(share))).collect())
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
+    got = sample_texts(rows, pick_ids(rows.select("id", "label"), SAMPLE_PER_LANGUAGE), SAMPLE_BYTES)
     return fit([t for t, _ in got], [n for _, n in got])
 
 

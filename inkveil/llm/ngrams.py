@@ -97,13 +97,18 @@ def word_hashes(v: WordView) -> np.ndarray:
     return h * _MIX
 
 
+def per_word(v: WordView, total: np.ndarray) -> np.ndarray:
+    """Sums of ``total`` over each word's places alone, so that they do not depend on what stands around the word."""
+    if not len(v.starts):
+        return total[:0]
+    return np.add.reduceat(total, np.column_stack([v.starts, v.ends]).ravel(), axis=0)[::2]
+
+
 def word_sums(v: WordView, table: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
     """For each word, the sum of ``table`` over the buckets of its n-grams."""
-    if not len(v.starts):
-        return np.empty(0, np.float64)
     total = np.zeros(len(v.folded), np.float64)
     for n in orders:
         bucket, valid = grams(v, n, bits)
         at = np.flatnonzero(valid)
         total[at + 1] += table[bucket[at]]
-    return np.add.reduceat(total, v.starts)
+    return per_word(v, total)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm import ngrams
 from inkveil.llm.arrow_text import ranges, text_bytes
+from inkveil.llm.sampling import pick_ids, sample_texts
 from inkveil.llm.storage import id_bucket
 
 BITS = 17
@@ -28,13 +29,13 @@ class Settings:
     """How texts become bags, and how a model is fitted."""
 
     letters_only: bool = True  # words of letters and digits, or of all that is not white space
-    window: int = 24  # words of an averaged window; 0: one average over the whole text
+    window: int = 24  # words of an averaged window, an even number; 0: one average over the whole text
     repeats: bool = False  # a word that equals the one before it: a feature of its own, or else no part of the bag
     floor: int = 0  # an average is over at least so many features
     epochs: int = 8
     rate: float = 0.5
     sample_per_class: int = 2000  # bound on the labelled rows that a model is fitted on
-    sample_chars: int = 8000  # longer texts are not used for fitting (all are scored)
+    sample_bytes: int = 6 << 20  # bound on each class's texts together
 
 
 @dataclass(frozen=True)
@@ -49,36 +50,68 @@ def _extra(v: ngrams.WordView, settings: Settings) -> tuple[np.ndarray, np.ndarr
     h = ngrams.word_hashes(v)
     bucket, again = h >> np.uint32(32 - BITS), np.zeros(len(h), bool)
     again[1:] = h[1:] == h[:-1]
+    first = v.first_word[:-1]
+    again[first[first < len(h)]] = False  # a text's first word repeats nothing
     if settings.repeats:
         bucket[again] = 1
         return bucket, np.ones(len(h), bool)
     return bucket, ~again
 
 
-def window_bounds(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Half-overlapping windows: their first and past-the-last words, and each text's first window (n + 1)."""
-    count = np.diff(first)
+def _blocks(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Half windows: their first and past-the-last words, and each text's first one (n + 1). Without a window, whole texts."""
     if not window:
         return first[:-1], first[1:], np.arange(len(first))
     step = max(1, window // 2)
-    each = 1 + np.maximum(0, -(-(count - window) // step))
+    each = np.maximum(1, -(-np.diff(first) // step))
     base = np.append(0, np.cumsum(each))
-    nth = np.arange(base[-1]) - np.repeat(base[:-1], each)
-    lo = np.repeat(first[:-1], each) + nth * step
-    return lo, np.minimum(lo + window, np.repeat(first[1:], each)), base
+    lo = np.repeat(first[:-1], each) + (np.arange(base[-1]) - np.repeat(base[:-1], each)) * step
+    return lo, np.minimum(lo + step, np.repeat(first[1:], each)), base
+
+
+def window_bounds(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last words of half-overlapping windows: every two half windows in a row, or a text's only one."""
+    lo, hi, base = _blocks(first, window)
+    return (lo, hi) if not window else (lo[_windows(base)], hi[np.minimum(_windows(base) + 1, _last(base))])
+
+
+def _windows(base: np.ndarray) -> np.ndarray:
+    """The half window with which each window begins: any but a text's last, or its only one."""
+    begins = np.ones(base[-1], bool)
+    begins[base[1:][np.diff(base) > 1] - 1] = False
+    return np.flatnonzero(begins)
+
+
+def _last(base: np.ndarray) -> np.ndarray:
+    """For each window, the last half window of its text."""
+    return np.repeat(base[1:] - 1, np.maximum(1, np.diff(base) - 1))
+
+
+def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of stretches of ``values``; each depends on its own values alone."""
+    out, full = np.zeros(len(lo), np.float64), hi > lo
+    if full.any():
+        out[full] = np.add.reduceat(np.append(values, 0), np.column_stack([lo[full], hi[full]]).ravel())[::2]
+    return out
 
 
 def logits(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The logit of each text: of its highest window, or of its whole bag."""
+    """The logit of each text: of its highest window, or of its whole bag. It does not depend on the other texts."""
     s = model.settings
     v = ngrams.view(raw, offsets, s.letters_only)
     sums, counts = ngrams.word_sums(v, model.table, ORDERS, BITS), ngrams.gram_counts(v, ORDERS) + 1
     if len(sums):
         bucket, kept = _extra(v, s)
         sums, counts = np.where(kept, sums + model.table[bucket], 0.0), np.where(kept, counts, 0)
-    total, places = np.append(0, np.cumsum(sums)), np.append(0, np.cumsum(counts))
-    lo, hi, base = window_bounds(v.first_word, s.window)
-    mean = (total[hi] - total[lo]) / np.maximum(max(1, s.floor), places[hi] - places[lo])
+    lo, hi, base = _blocks(v.first_word, s.window)
+    total, places = _sums(sums, lo, hi), _sums(counts, lo, hi)
+    if s.window:
+        begin, last = _windows(base), _last(base)
+        both = begin < last
+        total = total[begin] + np.where(both, total[np.minimum(begin + 1, last)], 0.0)
+        places = places[begin] + np.where(both, places[np.minimum(begin + 1, last)], 0.0)
+        base = np.append(0, np.cumsum(np.maximum(1, np.diff(base) - 1)))
+    mean = total / np.maximum(max(1, s.floor), places)
     return np.maximum.reduceat(mean, base[:-1]) + model.bias if len(mean) else mean
 
 
@@ -119,7 +152,7 @@ def fit(texts: list[str], labels: list[int], settings: Settings, seed: int = 7)
         owner_all = np.concatenate(owner)
         order = np.argsort(owner_all, kind="stable")
         per_word = np.bincount(owner_all, minlength=len(v.starts)) if len(owner_all) else np.zeros(0, int)
-        bags.append((np.concatenate(bucket)[order].astype(np.int32), np.append(0, np.cumsum(per_word)), *window_bounds(np.array([0, len(v.starts)]), settings.window)[:2]))
+        bags.append((np.concatenate(bucket)[order].astype(np.int32), np.append(0, np.cumsum(per_word)), *window_bounds(np.array([0, len(v.starts)]), settings.window)))
     for epoch in range(settings.epochs):
         rate = settings.rate * (1 - epoch / settings.epochs)
         for i in rng.permutation(len(bags)):
@@ -157,25 +190,14 @@ def fit(texts: list[str], labels: list[int], settings: Settings, seed: int = 7)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, modulus: int, held: int, id_col: str, text_col: str):
-    """Texts and labels of about ``sample_per_class`` rows of each class at most outside the held-out fold, and the
-    number of labelled rows of each class outside it. A hash of the id thins the labels to that number before the
-    documents are read, so what is broadcast and collected is bounded whatever the tables' sizes are."""
-    known = (
-        labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (id_bucket(id_col, modulus) != held))
-        .groupBy(id_col)
-        .agg(F.max(label).alias("y"))
-    )
-    most = settings.sample_per_class
-    share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    chance = F.pmod(F.xxhash64(id_col, F.lit(label)), F.lit(1 << 30)) / (1 << 30)
-    thin = F.lit(False)
-    for y, n in share.items():
-        thin = thin | ((F.col("y") == y) & (chance < most / n))
-    ids = known.where(thin).limit(3 * most)
-    rows = docs.select(id_col, text_col).where(F.length(text_col).between(1, settings.sample_chars))
-    got = rows.join(F.broadcast(ids), id_col).limit(3 * most).collect()
-    got = sorted((r[id_col], r[text_col], r["y"]) for r in got)
-    return [t for _, t, _ in got], [y for _, _, y in got], share
+    """Texts and labels of at most ``sample_per_class`` rows and ``sample_bytes`` of each class outside the held-out fold,
+    and the number of labelled ids of each class outside it."""
+    learn = F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (id_bucket(id_col, modulus) != held)
+    known = labels.where(learn).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
+    share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    got = sample_texts(rows, pick_ids(known, settings.sample_per_class), settings.sample_bytes)
+    return [t for t, _ in got], [y for _, y in got], share
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, modulus: int, held: int, id_col: str, text_col: str) -> Model:

@@ -4,10 +4,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.llm import language, neighbours, ngrams, quality_classifier, toxicity
+from inkveil.llm import language, neighbours, ngrams, quality_classifier, sampling, subword_model, toxicity
+from inkveil.llm.arrow_text import text_bytes
 from inkveil.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -71,6 +73,143 @@ def test_languages_on_held_out_rows(tables, spark):
     assert {r.language.lang_pred for r in language.identify_languages(tables[2], nothing).collect()} == {"und"}
 
 
+M32 = 0xFFFFFFFF
+
+
+def scalar_words(text, letters_only):
+    """Folded words of a text, byte by byte."""
+    out, word, before = [], bytearray(), 0
+    for b in text.encode() + b" ":
+        c = b + 32 if 65 <= b <= 90 or (before == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97) else b
+        before = b
+        apart = not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) if letters_only else c <= 32
+        if not apart:
+            word.append(c)
+        elif word:
+            out.append(bytes(word))
+            word = bytearray()
+    return out
+
+
+def scalar_mix(h):
+    h ^= h >> 15
+    return h * 0x9E3779B1 & M32
+
+
+def scalar_grams(word, orders, bits):
+    padded, out = b" " + word + b" ", []
+    for n in orders:
+        for i in range(len(padded) - n + 1):
+            h = n
+            for c in padded[i : i + n]:
+                h = (h * 0x01000193 + c) & M32
+            out.append(scalar_mix(h) >> (32 - bits))
+    return out
+
+
+def scalar_logit(model, text):
+    s, words = model.settings, scalar_words(text, model.settings.letters_only)
+    values = []
+    for i, w in enumerate(words):
+        again = i > 0 and words[i - 1] == w
+        if again and not s.repeats:
+            values.append((0.0, 0))
+            continue
+        h = scalar_mix(sum(c * pow(0x01000193, k, 1 << 32) for k, c in enumerate(w)) & M32)
+        bag = [1 if again else h >> (32 - subword_model.BITS), *scalar_grams(w, subword_model.ORDERS, subword_model.BITS)]
+        values.append((sum(float(model.table[b]) for b in bag), len(bag)))
+    step = s.window // 2
+    windows = [values[i : i + s.window] for i in range(0, max(1, len(values) - step), step)] if s.window else [values]
+    return model.bias + max(sum(v for v, _ in w) / max(1, s.floor, sum(n for _, n in w)) for w in windows)
+
+
+TEXTS = [
+    "hello world", "hello hello", "", "hello", "world hello", " \n", "Ünique ÜNIQUE ünique !", "the the the end", "end of it", "日本語 テスト", "× × ÷",
+    *(" ".join(f"w{i * k % 13}" for i in range(n)) for k, n in enumerate((1, 11, 12, 13, 23, 24, 25, 36, 37, 47, 48, 49, 200, 1000))),
+]
+
+
+def arrow(texts):
+    return text_bytes(pa.array(texts, pa.string()))
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_classifier])
+def test_scores_equal_a_scalar_version_whatever_stands_beside_a_text(module):
+    table = np.random.default_rng(4).standard_normal(1 << subword_model.BITS).astype(np.float32)
+    model = subword_model.Model(table, 0.25, module.SETTINGS)
+    alone = [float(subword_model.logits(model, *arrow([t]))[0]) for t in TEXTS]
+    assert np.allclose(alone, [scalar_logit(model, t) for t in TEXTS], rtol=0, atol=1e-9)
+    assert subword_model.logits(model, *arrow(TEXTS)).tolist() == alone
+    back = TEXTS[::-1] + TEXTS[3:]
+    assert subword_model.logits(model, *arrow(back)).tolist() == alone[::-1] + alone[3:]
+
+
+def test_trained_bags_equal_scored_ones():
+    texts = ["good text here again again", "bad words bad words bad", "good good text", "bad bad here"] * 20
+    model = subword_model.fit(texts, [0, 1, 0, 1] * 20, quality_classifier.SETTINGS)
+    z = subword_model.logits(model, *arrow(texts))
+    assert (z[1::2] > 0).all() and (z[::2] < 0).all()
+
+
+def scalar_proportions(model, text):
+    words, k = scalar_words(text, True), len(model.names)
+    if not words:
+        return np.zeros(k)
+    scores = [[sum(float(model.tables[j][b]) for b in scalar_grams(w, language.ORDERS, language.BITS)) for j in range(k)] for w in words]
+
+    def expect(share, allowed):
+        for _ in range(language.ROUNDS):
+            total, fit_ = [0.0] * k, 0.0
+            for row in scores:
+                p = [row[j] + np.log(share[j]) if j in allowed else -np.inf for j in range(k)]
+                top = max(p)
+                e = [np.exp(x - top) for x in p]
+                fit_ += top + np.log(sum(e))
+                total = [t + x / sum(e) for t, x in zip(total, e, strict=True)]
+            share = [max(t / len(words), 1e-6) if j in allowed else 0.0 for j, t in enumerate(total)]
+            share = [x / sum(share) for x in share]
+        return share, fit_
+
+    cost = 0.5 * np.log(len(words) + 1)
+    share, fit_ = expect([1 / k] * k, set(range(k)))
+    rank = sorted(range(k), key=lambda j: -share[j])
+    tried = [(sum(row[rank[0]] for row in scores) - cost, [float(j == rank[0]) for j in range(k)]), (fit_ - k * cost, share)]
+    if tried[0][0] < tried[1][0]:
+        for size in range(2, k):
+            some, likely = expect(share, set(rank[:size]))
+            tried.append((likely - size * cost, some))
+    return np.array(max(tried, key=lambda t: t[0])[1])
+
+
+def test_languages_equal_a_scalar_version_whatever_stands_beside_a_text():
+    rng = np.random.default_rng(8)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop", "d": "mnopqrst"}
+    word = lambda own: "".join(rng.choice(list(letters[own]), rng.integers(2, 8)))
+    model = language.fit([" ".join(word(x) for _ in range(300)) for x in letters for _ in range(3)], [x for x in letters for _ in range(3)])
+    texts = ["", "12", " ".join(word("a") for _ in range(40)), "!"] + [" ".join(word(x) for x in mix for _ in range(n)) for mix, n in (("ab", 20), ("bc", 15), ("abc", 30), ("d", 1), ("abcd", 25), ("c", 200))]
+    view = lambda some: ngrams.view(*arrow(some), True)
+    alone = [language.proportions(model, view([t]))[0] for t in texts]
+    for t, p in zip(texts, alone, strict=True):
+        assert np.allclose(p, scalar_proportions(model, t), atol=2e-3), t[:40]
+    assert np.array_equal(language.proportions(model, view(texts)), np.array(alone))
+    assert np.array_equal(language.proportions(model, view(texts[::-1])), np.array(alone[::-1]))
+
+
+def test_samples_take_texts_of_any_length_and_repeated_ids(spark):
+    long = "zimbo kalu wendo " * 3000
+    rows = [(i, f"alpha beta gamma text {i}", "x") for i in range(60)] + [(101, long, "y"), (None, "omega " * 30, "z")] + [(7, "alpha", "x")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language.train_languages(docs)
+    assert model.names == ["x", "y", "z"]
+    assert language.identify_languages(docs.where("doc_id = 101"), model).first().language.lang_pred == "y"
+    known = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text")
+    few = sampling.sample_texts(texts, sampling.pick_ids(known, 5), 120)
+    assert sum(y == "x" for _, y in few) == 5 and (long, "y") in few  # no text of y fits: its first comes alone
+    assert few == sampling.sample_texts(texts.repartition(7), sampling.pick_ids(known.repartition(3), 5), 120)
+    assert sampling.sample_texts(texts.limit(0), sampling.pick_ids(known.limit(0), 5), 120) == []
+
+
 def test_mixtures_are_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.train_languages(docs)
