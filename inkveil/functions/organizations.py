@@ -11,7 +11,8 @@ from inkveil.functions.rejects import any_of
 NOISY_PREFIXES = ("到的", "从未找", "未找", "直接找", "找", "一中", "二中", "三名", "该聊天", "首先", "原名", "否认其", "否认与")
 NOISY_PARTS = ("的管理", "聊天记录", "主张过", "系关联公司")
 SHORT_ALIAS = 6
-FOLLOWED_BY = r"(?:公司|集团|[一-龥A-Za-z0-9·]{1,16}(?:有限责任公司|股份有限公司|集团有限公司|有限公司|公司))"
+GUARDED_TYPES = ("organization", "individual_business")
+FOLLOWED_BY = r"(?:公司|集团|[一-龥A-Za-z0-9·]{1,16}(?:有限责任公司|股份有限公司|集团有限公司|有限公司|公司|集团))"
 
 
 def simple_legal_suffix(value: Column) -> Column:

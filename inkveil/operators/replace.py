@@ -1,24 +1,56 @@
 """Longest-first replacement, its inverse, and what can be counted and shown about it.
 
-The longest original has priority over all of the text, so originals are replaced one after the other, longest first, by
-marks that no original contains; the marks become masks at the end. That is one linear pass of a JVM string function per
-mapping, and gives the same text as choosing non-overlapping occurrences by length.
+The longest original has priority over all of the text. Small maps are applied in JVM string functions: originals are
+replaced one after the other, longest first, by marks of private-use characters, and the marked text is cut once at its
+marks to put the masks in. Characters of that block which texts or originals hold themselves are escaped before, so that
+no original can match within a mark. Larger shared maps, and maps with short organization names, for which it matters
+what follows in the text, go through an Arrow function: all places are found, the longest kept, and the text is spliced
+once. Both ways give the same text.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.organizations import FOLLOWED_BY, is_short_alias
-from inkveil.functions.spans import count_occurrences, occurrences, quoted
+from inkveil.functions.organizations import FOLLOWED_BY, GUARDED_TYPES, is_short_alias
+from inkveil.functions.spans import count_occurrences, occurrences
 
-OPEN, CLOSE = "\ue000", "\ue001"  # private-use characters, which originals do not contain
-BROADCAST_MAPPINGS = 100_000
+RESERVED = "".join(chr(0xE000 + k) for k in range(64))  # a block of private-use characters
+OPEN, CLOSE, DIGITS, UNIT, HIGH, LOW = RESERVED[0], RESERVED[1], RESERVED[2:12], RESERVED[12], RESERVED[16:24], RESERVED[24:32]
+ANY_RESERVED = f"[{RESERVED[0]}-{RESERVED[-1]}]"
+JVM_ENTRIES = 64
+BROADCAST_MAPPINGS, BROADCAST_BYTES = 100_000, 16 << 20
+AHEAD = 24
+_FOLLOWED = re.compile(FOLLOWED_BY)
 
 
 def _mark(i: Column) -> Column:
-    return F.concat(F.lit(OPEN), i.cast("string"), F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), F.translate(i.cast("string"), "0123456789", DIGITS), F.lit(CLOSE))
+
+
+def _escaped(text: Column) -> Column:
+    """Every character of the reserved block as three: one with which nothing else begins, and its number in two digits."""
+    place = lambda c: F.instr(F.lit(RESERVED), c)
+    unit = lambda c: F.concat(F.lit(UNIT), F.substring(F.lit("".join(h * 8 for h in HIGH)), place(c), F.lit(1)), F.substring(F.lit(LOW * 8), place(c), F.lit(1)))
+    letters = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(ANY_RESERVED), unit(c)).otherwise(c))
+    return F.when(text.rlike(ANY_RESERVED), F.array_join(letters, "")).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    parts = F.split(text, UNIT)
+
+    def one(p: Column) -> Column:
+        place = (F.instr(F.lit(HIGH), F.substring(p, 1, 1)) - 1) * 8 + F.instr(F.lit(LOW), F.substring(p, 2, 1))
+        return F.concat(F.substring(F.lit(RESERVED), place, F.lit(1)), F.substring(p, F.lit(3), F.length(p)))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return F.when(text.contains(UNIT), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
 
 
 def _ordered(entries: Column, key: str, ordinal: str) -> Column:
@@ -27,24 +59,96 @@ def _ordered(entries: Column, key: str, ordinal: str) -> Column:
     return F.transform(rank, lambda x, i: F.struct(x["m"][key].alias("key"), x["m"].alias("m"), i.alias("i")))
 
 
-def replace_marks(text: Column, entries: Column, key: str = "original", ordinal: str = "ord", guard: bool = False) -> tuple[Column, Column]:
-    """The text with a mark for each replaced stretch, and the numbered entries."""
+def replace_marks(text: Column, entries: Column, key: str = "original", ordinal: str = "ord") -> tuple[Column, Column]:
+    """The escaped text with a mark for each replaced stretch, and the numbered entries."""
     ordered = _ordered(entries, key, ordinal)
+    return F.aggregate(ordered, _escaped(text), lambda t, x: F.replace(t, _escaped(x["key"]), _mark(x["i"]))), ordered
+
 
-    def step(t: Column, x: Column) -> Column:
-        plain = F.replace(t, x["key"], _mark(x["i"]))
-        if not guard:
-            return plain
-        careful = F.regexp_replace(t, F.concat(quoted(x["key"]), F.lit(f"(?!{FOLLOWED_BY})")), _mark(x["i"]))
-        return F.when((x["m"]["type"] == "organization") & is_short_alias(x["key"]), careful).otherwise(plain)
+def fill_marks(marked: Column, ordered: Column, value, between=lambda t: t) -> Column:
+    """The marked text with ``value`` of each mark's entry, and ``between`` of what stands between marks."""
+    parts = F.split(marked, OPEN)
 
-    return F.aggregate(ordered, text, step), ordered
+    def one(p: Column) -> Column:
+        i = F.translate(F.substring_index(p, CLOSE, 1), DIGITS, "0123456789").cast("int")
+        return F.concat(F.coalesce(value(F.get(ordered, i)["m"]), F.lit("")), between(_unescaped(F.substring(p, F.instr(p, CLOSE) + 1, F.length(p)))))
 
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return F.concat(between(_unescaped(F.get(parts, F.lit(0)))), F.array_join(rest, ""))
 
-def replace_all(text: Column, entries: Column, key: str = "original", value: str = "masked", ordinal: str = "ord", guard: bool = False) -> Column:
+
+def replace_all(text: Column, entries: Column, key: str = "original", value: str = "masked", ordinal: str = "ord") -> Column:
     """``text`` with the keys of ``entries`` (array of structs) replaced by their values, longest key first."""
-    marked, ordered = replace_marks(text, entries, key, ordinal, guard)
-    return F.aggregate(ordered, marked, lambda t, x: F.replace(t, _mark(x["i"]), x["m"][value]))
+    marked, ordered = replace_marks(text, entries, key, ordinal)
+    return fill_marks(marked, ordered, lambda m: m[value])
+
+
+def splice(text: str, found: Iterable[tuple[int, int]], entries: list[tuple[str, str, bool]]) -> str:
+    """``text`` with entries (key, value, guarded) put in at the places ``found`` (entry, start), lowest entry first.
+
+    A guarded key stays where a longer company name goes on after it.
+    """
+    taken, chosen = bytearray(len(text)), []
+    for i, start in sorted(found):
+        key, value, guarded = entries[i]
+        end = start + len(key)
+        if taken.find(1, start, end) < 0 and not (guarded and _FOLLOWED.match(text, end, end + AHEAD)):
+            taken[start:end] = b"\1" * len(key)
+            chosen.append((start, end, value))
+    out, at = [], 0
+    for start, end, value in sorted(chosen):
+        out += [text[at:start], value]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _places(text: str, entries: list[tuple[str, str, bool]]) -> Iterable[tuple[int, int]]:
+    for i, (key, _, _) in enumerate(entries):
+        at = text.find(key)
+        while at >= 0:
+            yield i, at
+            at = text.find(key, at + 1)
+
+
+def _longest_first(rows: Iterable[dict]) -> list[tuple[str, str, bool]]:
+    ordered = sorted((r for r in rows if r["k"]), key=lambda r: (-len(r["k"]), r["o"]))
+    return [(r["k"], r["v"] or "", bool(r["g"])) for r in ordered]
+
+
+def _spliced_by_shared(text: Column, rows: list[dict]) -> Column:
+    entries = _longest_first(rows)
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        automaton = ahocorasick.Automaton()
+        for i, (key, _, _) in enumerate(entries):
+            if key not in automaton:
+                automaton.add_word(key, i)
+        automaton.make_automaton()
+        found = lambda t: ((i, last + 1 - len(entries[i][0])) for last, i in automaton.iter(t)) if entries else ()
+        return pa.array([None if t is None else splice(t, found(t), entries) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def _spliced_by_row(text: Column, entries: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for t, rows in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
+            own = _longest_first(rows or ())
+            out.append(None if t is None else splice(t, _places(t, own), own))
+        return pa.array(out, pa.string())
+
+    return run(text, entries)
+
+
+def _checked(mappings: DataFrame) -> None:
+    """A shared map has a bounded number of entries and bytes: it goes to every task."""
+    texts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in mappings.schema if f.dataType.simpleString() == "string"]
+    n, size = mappings.agg(F.count("*"), F.sum(sum(texts, F.lit(0).cast("bigint")))).first()
+    if n > BROADCAST_MAPPINGS or (size or 0) > BROADCAST_BYTES:
+        raise ValueError(f"a shared map has at most {BROADCAST_MAPPINGS} entries of {BROADCAST_BYTES} bytes; key larger ones by document")
 
 
 def with_entries(docs: DataFrame, mappings: DataFrame, on: str | None = None, column: str = "__entries") -> DataFrame:
@@ -57,15 +161,27 @@ def with_entries(docs: DataFrame, mappings: DataFrame, on: str | None = None, co
     packed = F.collect_list(F.struct(*fields)).alias(column)
     if on:
         return docs.join(mappings.groupBy(on).agg(packed), on, "left").withColumn(column, F.coalesce(column, F.array()))
-    if mappings.limit(BROADCAST_MAPPINGS + 1).count() > BROADCAST_MAPPINGS:
-        raise ValueError(f"a shared map has at most {BROADCAST_MAPPINGS} entries; key larger ones by document")
+    _checked(mappings)
     return docs.crossJoin(F.broadcast(mappings.agg(packed)))
 
 
+def _applied(docs: DataFrame, mappings: DataFrame, text_col: str, on: str | None, guard: bool, out: str, key: str, value: str) -> DataFrame:
+    guarded = F.col("type").isin(*GUARDED_TYPES) & is_short_alias(F.btrim(F.col(key))) if guard else F.lit(False)
+    slim = mappings.select(*([on] if on else []), F.col(key).alias("k"), F.col(value).alias("v"), F.col("ord").alias("o"), F.coalesce(guarded, F.lit(False)).alias("g"))
+    if on:
+        joined = with_entries(docs, slim, on)
+        done = _spliced_by_row(F.col(text_col), F.col("__entries")) if guard else replace_all(F.col(text_col), F.col("__entries"), "k", "v", "o")
+        return joined.withColumn(out, done).drop("__entries")
+    _checked(slim)
+    rows = [r.asDict() for r in slim.collect()]
+    if len(rows) > JVM_ENTRIES or any(r["g"] for r in rows):
+        return docs.withColumn(out, _spliced_by_shared(F.col(text_col), rows))
+    return with_entries(docs, slim).withColumn(out, replace_all(F.col(text_col), F.col("__entries"), "k", "v", "o")).drop("__entries")
+
+
 def apply_mappings(docs: DataFrame, mappings: DataFrame, text_col: str = "text", on: str | None = None, guard: bool = True, out: str = "redacted") -> DataFrame:
     """``docs`` with the redacted text. Mappings have ord, type, original, masked, and the ``on`` column if given."""
-    joined = with_entries(docs, mappings, on)
-    return joined.withColumn(out, replace_all(F.col(text_col), F.col("__entries"), guard=guard)).drop("__entries")
+    return _applied(docs, mappings, text_col, on, guard, out, "original", "masked")
 
 
 def restore_lookup(mappings: DataFrame, *keys: str) -> DataFrame:
@@ -78,8 +194,7 @@ def restore_lookup(mappings: DataFrame, *keys: str) -> DataFrame:
 def restore(docs: DataFrame, mappings: DataFrame, text_col: str = "redacted", on: str | None = None, out: str = "restored") -> DataFrame:
     """``docs`` with masks replaced by their originals, longest mask first."""
     lookup = restore_lookup(mappings, *([on] if on else []))
-    joined = with_entries(docs, lookup.drop("n_originals", "ambiguous"), on)
-    return joined.withColumn(out, replace_all(F.col(text_col), F.col("__entries"), key="masked", value="original")).drop("__entries")
+    return _applied(docs, lookup, text_col, on, False, out, "masked", "original")
 
 
 def placeholder_counts(docs: DataFrame, mappings: DataFrame, id_col: str = "doc_id", text_col: str = "redacted") -> DataFrame:
@@ -118,5 +233,5 @@ def highlight(docs: DataFrame, mappings: DataFrame, text_col: str = "text", on:
     """``docs`` with the text as HTML, what would be replaced in ``<mark>``."""
     joined = with_entries(docs, mappings, on)
     marked, ordered = replace_marks(F.col(text_col), F.col("__entries"))
-    shown = F.aggregate(ordered, escape_html(marked), lambda t, x: F.replace(t, _mark(x["i"]), F.concat(F.lit("<mark>"), escape_html(x["m"]["original"]), F.lit("</mark>"))))
+    shown = fill_marks(marked, ordered, lambda m: F.concat(F.lit("<mark>"), escape_html(m["original"]), F.lit("</mark>")), escape_html)
     return joined.withColumn(out, shown).drop("__entries")

@@ -1,5 +1,7 @@
 """Identifiers, replacement, restoration and leaks on literal texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,50 @@ def test_masks_are_not_replaced_again(spark):
     assert replace.apply_mappings(docs(spark, "abcd"), m).first().redacted == "cdab"
 
 
+def reference_replace(text, entries):
+    """Longest first over the whole text, found from every place on, never in what is taken."""
+    taken, chosen = [], []
+    for key, value in sorted((e for e in entries if e[0]), key=lambda e: -len(e[0])):
+        for at in range(len(text)):
+            if text.startswith(key, at) and not any(at < e and s < at + len(key) for s, e in taken):
+                taken.append((at, at + len(key))), chosen.append((at, at + len(key), value))
+    for s, e, value in sorted(chosen, reverse=True):
+        text = text[:s] + value + text[e:]
+    return text
+
+
+def test_digits_and_private_use_characters_are_replaced_exactly(spark, monkeypatch):
+    rng = random.Random(2)
+    letters = ["0", "1", "a", "b", "\ue000", "\ue001", "\ue002", "\ue00c", "\ue010", "\ue018", "甲", "😀"]
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(4):
+        keys = list(dict.fromkeys(word(rng.randint(1, 4)) for _ in range(14)))
+        entries = [(k, word(rng.randint(0, 3))) for k in keys]
+        texts = ["", *(word(rng.randint(1, 40)) for _ in range(60)), "abc lives at 0 abc", "\ue000\ue002\ue001"]
+        m = spark.createDataFrame([(i, "x", k, v) for i, (k, v) in enumerate(entries)], MAP)
+        want = [reference_replace(t, entries) for t in texts]
+        for most in (64, 0):
+            monkeypatch.setattr(replace, "JVM_ENTRIES", most)
+            assert [r.redacted for r in replace.apply_mappings(docs(spark, *texts), m).orderBy("doc_id").collect()] == want
+        keyed = m.crossJoin(spark.range(len(texts)).withColumnRenamed("id", "doc_id"))
+        for guard in (True, False):
+            assert [r.redacted for r in replace.apply_mappings(docs(spark, *texts), keyed, on="doc_id", guard=guard).orderBy("doc_id").collect()] == want
+
+
+def test_round_trip_with_digits(spark):
+    m = spark.createDataFrame([(0, "x", "abc", "【0】"), (1, "x", "0", "【1】"), (2, "x", "ab", "【2】")], MAP + "").withColumn("restore_original", F.lit(None).cast("string"))
+    texts = ["abc lives at 0 abc", "ab0abc00", "\ue000\ue002\ue001 0"]
+    red = replace.apply_mappings(docs(spark, *texts), m)
+    assert [r.redacted for r in red.orderBy("doc_id").collect()][:2] == ["【0】 lives at 【1】 【0】", "【2】【1】【0】【1】【1】"]
+    assert [r.restored for r in replace.restore(red, m).orderBy("doc_id").collect()] == texts
+
+
+def test_what_follows_an_alias_is_read_from_the_text_itself(spark):
+    m = spark.createDataFrame([(0, "organization", "华为", "甲"), (1, "organization", "技术有限公司", "乙"), (2, "individual_business", "小米", "丙")], MAP)
+    got = [r.redacted for r in replace.apply_mappings(docs(spark, "华为技术有限公司", "华为和", "小米星辰集团，小米"), m).orderBy("doc_id").collect()]
+    assert got == ["华为乙", "甲和", "小米星辰集团，丙"]
+
+
 def test_short_alias_stays_inside_a_longer_company(spark):
     m = spark.createDataFrame([(0, "organization", "华为", "甲公司")], MAP)
     assert replace.apply_mappings(docs(spark, "华为，华为技术有限公司"), m).first().redacted == "甲公司，华为技术有限公司"
