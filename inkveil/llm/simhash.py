@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.arrow_text import ranges, text_offsets
 from inkveil.llm.components import min_labels
 from inkveil.llm.minhash import shingle_hashes, signature_column, similar_links
-from inkveil.llm.storage import materialize
+from inkveil.llm.storage import join_classes, materialize
 
 SEGMENTS = 5
 DISTANCE = 2
@@ -162,6 +162,24 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int
     return verified.unionByName(_point_links(large, distance)).distinct()
 
 
+def _grouped(rows: DataFrame, words: int, distance: int, segments: int | None, most: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """From rows (id, text, and others): the rows without their texts but with fp; and a row for each distinct fp with its
+    number of rows ``n``, its least ``first`` (id, row) and the ``label`` of its group."""
+    if similarity is None and words == SHINGLE_WORDS:
+        similarity = SIMILARITY
+    columns = [*(c for c in rows.columns if c != "text"), fingerprint_column(F.col("text"), words).alias("fp")]
+    if similarity:
+        columns += [F.xxhash64("text").alias("at"), signature_column(F.col("text"), words).alias("s")]
+    prints = materialize(rows.select(*columns))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", *(["row"] if "row" in rows.columns else []))))
+    classes = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")))
+    links = link_fingerprints(classes.select("fp"), distance, segments, most)
+    if similarity:
+        links = similar_links(prints.select("fp", "at", "s.*"), rows, "text", words, similarity, links)
+    labels = min_labels(links).withColumnRenamed("node", "fp")
+    return prints, materialize(classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int | None = None, most: int = MOST_IN_KEY, similarity: float | None = None
 ) -> DataFrame:
@@ -175,19 +193,26 @@ def near_duplicates(
     fingerprints differ in. It is SIMILARITY for shingles of SHINGLE_WORDS words when not given; for others, and with
     zero, fingerprints alone decide.
     """
-    if similarity is None and words == SHINGLE_WORDS:
-        similarity = SIMILARITY
-    columns = [F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")]
-    if similarity:
-        columns += [F.xxhash64(text_col).alias("at"), signature_column(F.col(text_col), words).alias("s")]
-    prints = materialize(docs.select(*columns))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
-    links = link_fingerprints(classes.select("fp"), distance, segments, most)
-    if similarity:
-        links = similar_links(prints.select("fp", "at", "s.*"), docs, text_col, words, similarity, links)
-    labels = min_labels(links).withColumnRenamed("node", "fp")
-    linked = classes.join(labels, "fp")
-    roots = linked.groupBy("label").agg(F.min("first_id").alias("root_id"))
-    named = labels.join(roots, "label").select("fp", "root_id")
-    final = classes.join(named, "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"))
-    return prints.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints, classes = _grouped(rows, words, distance, segments, most, similarity)
+    groups = classes.groupBy("label").agg(F.min("first.id").alias("component_id"), F.count("*").alias("size"))
+    n_prints, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = join_classes(classes.select("fp", "n", "label"), groups, "label", "size", n_prints).select("fp", "n", "component_id")
+    return join_classes(prints.select("id", "fp"), named, "fp", "n", n_rows).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def first_of_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int | None = None, most: int = MOST_IN_KEY, similarity: float | None = None
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate group: of each group, one row with the smallest id.
+
+    Rows are told apart by a number of their own, not by their ids: different texts with one id are judged each by itself,
+    and of equal rows one stays. Rows without an id stay, all of them. Texts are written once, and shuffled once to be joined to the
+    numbers of the rows that stay.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = numbered.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
+    prints, classes = _grouped(rows, words, distance, segments, most, similarity)
+    firsts = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")).where("__row IS NOT NULL")
+    stay = firsts.unionByName(prints.where("id IS NULL").select(F.col("row").alias("__row")))
+    return numbered.join(stay, "__row", "left_semi").select(*docs.columns)

@@ -1,54 +1,30 @@
-"""Shared-storage materialisation and small column helpers used by every operator here."""
+"""Small helpers used by every operator here; tables are written to the folders of :mod:`inkveil.shared`."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.shared import drop_shared, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Only when a session names no such folder (single-machine tests) is a temporary one made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="inkveil-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/inkveil-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jsc = spark.sparkContext._jsc
-    if jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-
+__all__ = ["drop_shared", "id_bucket", "join_classes", "materialize", "shared_dir"]
 
-def drop_shared(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`shared_dir` once nothing reads it any more."""
-    _remove(spark, path)
-    atexit.unregister(_remove)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to shared storage as Parquet and read it back: the lineage ends there, and a lost
-    executor costs a re-read instead of a recomputation."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MOST_HOT = 10_000
 
 
 def id_bucket(id_col: str | Column, modulus: int) -> Column:
     """``crc32(id as text) mod modulus``; the fold a row belongs to (null ids: fold of the empty text)."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``classes`` (one row for each key, its rows counted in ``size``) that no key can overload.
+
+    Classes of more than one in MOST_HOT of all ``total`` rows are MOST_HOT at most: they are broadcast, so their rows stay
+    where they are. The rows of the others are joined by key. Keys must not be null.
+    """
+    hot = F.col(size) > total // MOST_HOT
+    few = F.broadcast(classes.where(hot))
+    rest = rows.join(F.broadcast(classes.where(hot).select(key)), key, "left_anti").join(classes.where(~hot), key)
+    return rest.unionByName(rows.join(few, key)).drop(size)

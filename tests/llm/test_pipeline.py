@@ -68,6 +68,15 @@ def test_stages_take_odd_rows(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_near_dedup_tells_rows_apart_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = " ".join(f"b{i}" for i in range(59)) + " other"
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "y"), (4, near, "x"), (8, c, "1"), (8, c, "1"), (8, c, "1"), (9, None, "n"), (10, "", "n"), (None, c, "q"), (None, c, "q")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], spark.read.parquet(f"{SF}/documents.parquet").schema).repartition(4)
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    assert sorted(((r.doc_id or 0, r.text, r.source) for r in got), key=repr) == sorted([(5, a, "x"), (3, b, "y"), (8, c, "1"), (9, None, "n"), (0, c, "q"), (0, c, "q")], key=repr)
+
+
 def test_run_keeps_whole_documents(spark):
     out = corpus_pipeline.run(spark, SF)
     per = out.groupBy("doc_id").agg(F.max("piece").alias("p"), F.count("*").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("length").alias("sum"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkveil.llm import encoding, packing, quality_rules, secrets, simhash
+from inkveil.llm import encoding, packing, quality_rules, secrets, simhash, storage
 from inkveil.llm.bpe import read_vocabulary
 
 WORDS = "The alpha of beta, gamma. delta and épsilon zeta-eta theta's 1234 ñandú".split()
@@ -163,7 +163,7 @@ def components(values, distance=2):
     return {v: find(v) for v in values}
 
 
-def test_near_duplicates_match_brute_force(spark):
+def test_near_duplicates_match_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     data = rows()
     base = list(rng.choice(WORDS, 300))
@@ -178,7 +178,8 @@ def test_near_duplicates_match_brute_force(spark):
         if i is not None:
             least[roots[p]] = min(i, least.get(roots[p], i))
     want = Counter((i, prints[i, t], least.get(roots[prints[i, t]])) for i, t, _ in data)
-    for most in (3, 48):
+    for most, hot in ((3, 5), (48, 10_000)):  # with few hot classes, and with all of them
+        monkeypatch.setattr(storage, "MOST_HOT", hot)
         got = simhash.near_duplicates(frame(spark, data), words=3, most=most).collect()
         assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
 
