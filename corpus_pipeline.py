@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.packing import pack_documents
 from inkveil.llm.quality_rules import quality_rules
 from inkveil.llm.secrets import find_secrets, labelled_samples, redact, train_markov
-from inkveil.llm.simhash import SIMILARITY, near_duplicates
+from inkveil.llm.simhash import SIMILARITY, first_of_groups
 from inkveil.llm.storage import materialize
 from inkveil.llm.toxicity import score_toxicity, train_toxicity
 
@@ -37,10 +37,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group (one row of it); rows without an id stay."""
-    first = near_duplicates(docs, distance=NEAR_BITS, most=MOST_IN_KEY, similarity=SIMILARITY).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row with the smallest id of each near-duplicate group; rows without an id stay."""
+    return first_of_groups(docs, distance=NEAR_BITS, most=MOST_IN_KEY, similarity=SIMILARITY)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
