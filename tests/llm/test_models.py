@@ -5,10 +5,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.llm import language, neighbours, ngrams, quality_classifier, sampling, subword_model, toxicity
+from inkveil.llm import language, neighbours, ngrams, quality_classifier, sampling, storage, subword_model, toxicity
 from inkveil.llm.arrow_text import text_bytes
 from inkveil.llm.queries import QUERIES
 
@@ -236,7 +237,7 @@ def test_neighbours_recall_ties_and_unusable_rows(spark):
     table = spark.createDataFrame([*zip(ids, vectors, strict=True), *odd], "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash")).repartition(3)
     want = brute(ids, vectors, 20)
     got = defaultdict(list)
-    for r in neighbours.nearest_neighbours(table, block_rows=100, query_rows=8).collect():
+    for r in neighbours.nearest_neighbours(table, cell_rows=100).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     assert got.keys() == want.keys()
     hits = 0
@@ -252,6 +253,65 @@ def test_neighbours_recall_ties_and_unusable_rows(spark):
     assert [r.rank for r in few] == [1, 2]
 
 
+def embeddings(spark, tmp_path, ids, vectors, parts=8):
+    flat = np.ascontiguousarray(vectors)
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel()))
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": column}), f"{tmp_path}/e.parquet")
+    return spark.read.parquet(f"{tmp_path}/e.parquet").repartition(parts)
+
+
+def test_a_strict_test_gives_the_exact_neighbours_with_copies_ties_and_repeats(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((260, 8)).round(1)
+    mass = np.repeat(rng.standard_normal((2, 8)).round(1), 150, axis=0)  # two vectors are more than half of all rows
+    vectors = np.vstack([base, mass, base[:20] * 2.0, base[:3] * 1e-8, -base[:5] * 64])
+    ids = np.arange(len(vectors))
+    ids[40:60:7] = 500  # an id with several vectors
+    order = rng.permutation(len(ids))
+    again = np.append(order, order[:30])  # rows that repeat
+    pairs = sorted({(int(i), tuple(v)) for i, v in zip(ids, vectors, strict=True)})
+    several = {i for i, _ in pairs if sum(j == i for j, _ in pairs) > 1}
+    want = {}
+    for i, v in pairs:
+        if i % 20 == 0:
+            want.setdefault(i, []).append([(r, j, s) for r, (s, j) in enumerate(sorted(((-float((np.array(w) * np.array(v)).sum()), j) for j, w in pairs if j != i))[:20], 1)])
+    for most, cell, visits in ((10_000, 60, 3), (20, 100, 65536), (20, 10_000, 65536)):
+        monkeypatch.setattr(neighbours, "MOST_HOT", most), monkeypatch.setattr(storage, "MOST_HOT", most), monkeypatch.setattr(neighbours, "VISITS", visits)
+        got = defaultdict(list)
+        for r in neighbours.nearest_neighbours(embeddings(spark, tmp_path, ids[again], vectors[again], 3), confidence=0.999999999, cell_rows=cell).collect():
+            got[r.query_id].append((r.rank, r.vec_id, -r.score))
+        assert got.keys() == want.keys() and 500 in several
+        for i, rows in got.items():
+            assert sorted(rows) in want[i] and (i in several or len(want[i]) == 1)
+
+
+def test_recall_over_many_cells_and_bands(spark, tmp_path):
+    """50,000 rows in cells of 2,000, with leaves of 512: clusters, spread norms and one very long vector."""
+    rng, n = np.random.default_rng(12), 50_000
+    vectors = rng.standard_normal((200, 32))[rng.integers(200, size=n)] + 0.5 * rng.standard_normal((n, 32))
+    vectors *= rng.lognormal(0, 0.5, (n, 1))
+    vectors[7] *= 100
+    vectors = vectors.astype(np.float32)
+    got = defaultdict(set)
+    for r in neighbours.nearest_neighbours(embeddings(spark, tmp_path, np.arange(n), vectors), query_every=100, cell_rows=2000).collect():
+        got[r.query_id].add(r.vec_id)
+    share, wide = [], vectors.astype(float)
+    for i in range(0, n, 100):
+        s = wide @ wide[i]
+        s[i] = -np.inf
+        share.append(len(got[i] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(share) >= 0.9 and np.mean(np.array(share) < 0.5) < 0.02
+
+
+def test_vectors_of_each_length_and_beyond_the_range_of_products(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, -1.0]), (2, [-1e200, 0.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 0.0, 0.0]), (22, [0.0, -1.0, 0.0]), (40, [5.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest_neighbours(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {0: [(1, float("inf")), (2, float("-inf"))], 20: [(21, 1.0), (22, -2.0)]}
+
+
 def test_recall_on_the_embeddings_table(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = table.collect()
