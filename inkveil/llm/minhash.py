@@ -6,8 +6,10 @@ its signatures agree in a share SLACK below the threshold (more than four standa
 by the exact similarity of the two texts' shingle sets.
 
 Candidates are taken in two turns, so that masses of near copies do not give all their pairs. First each text of a band
-meets the least one; then, within bands that still hold more than one component, all texts of different components meet,
-in blocks of BLOCK, and pairs are compared before they are emitted.
+meets the least one. Then, in bands that still hold more than one component, texts of different components meet, in blocks
+of BLOCK: signatures name the texts that may have a partner, and of those the sets themselves are compared within the
+blocks. A pair is looked at in the first band that it shares, and only once its ends are not yet connected in the block;
+what leaves a block is never more than the links of a spanning forest.
 """
 
 from __future__ import annotations
@@ -100,43 +102,114 @@ def jaccard(a: Column, b: Column, words: int) -> Column:
     return run(a, b)
 
 
-def _met(block_pair: Column, least: float) -> Column:
-    """Pairs of different labels whose signatures agree, of (block, label, shingles, sig) rows; of two blocks, pairs across."""
+def _apart(label: np.ndarray, block: np.ndarray, sig: np.ndarray, nth: int, least: float, i: int) -> np.ndarray:
+    """Rows after row ``i`` of another label (and of the other block, where there are two) whose signatures agree with its
+    own in a share ``least``, and in no whole band before the ``nth``."""
+    other = np.flatnonzero((label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) | (block[0] == block[-1]))) + i + 1
+    if not len(other):
+        return other
+    same = sig[other] == sig[i]
+    earlier = same[:, : nth * ROWS].reshape(len(other), nth, ROWS).all(axis=2).any(axis=1)
+    return other[(same.mean(axis=1) >= least) & ~earlier]
+
+
+def _rows(group: pa.ListScalar) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
+    rows = sorted(group.as_py(), key=lambda r: (r["block"], r["shingles"]))
+    return rows, np.array([r["label"] for r in rows]), np.array([r["block"] for r in rows]), np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), -1)
+
+
+def _candidates(groups: Column, nth: Column, least: float) -> Column:
+    """The texts of a group of (block, label, shingles, sig) rows that may have a partner in it."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(lists: pa.Array, bands: pa.Array) -> pa.Array:
+        out = []
+        for group, band in zip(lists, bands.to_pylist(), strict=True):
+            rows, label, block, sig = _rows(group)
+            wanted: set[int] = set()
+            for i in range(len(rows)):
+                near = _apart(label, block, sig, band, least, i).tolist()
+                wanted.update(near, [i] if near else [])
+            out.append([rows[i]["shingles"] for i in wanted])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run(groups, nth)
+
+
+def _forest(groups: Column, nth: Column, least: float, similarity: float) -> Column:
+    """Links of fingerprints that connect the similar texts of a group of (block, label, shingles, sig, fp, set) rows."""
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
-    def run(groups: pa.Array) -> pa.Array:
+    def run(lists: pa.Array, bands: pa.Array) -> pa.Array:
         out = []
-        for group in groups:
-            rows = sorted(group.as_py(), key=lambda r: r["block"])
-            sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), -1)
-            label, block = np.array([r["label"] for r in rows]), np.array([r["block"] for r in rows])
-            pairs, one = [], block[0] == block[-1]
+        for group, band in zip(lists, bands.to_pylist(), strict=True):
+            rows, label, block, sig = _rows(group)
+            sets = [np.frombuffer(r["set"], "<u8") for r in rows]
+            root = {x: x for x in label.tolist()}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            links = []
             for i in range(len(rows)):
-                other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-                other = other if one else other[block[other] != block[i]]
-                near = other[(sig[other] == sig[i]).mean(axis=1) >= least] if len(other) else other
-                pairs += [{"a": min(x, y), "b": max(x, y)} for x, y in ((rows[i]["shingles"], rows[j]["shingles"]) for j in near.tolist())]
-            out.append(pairs)
+                for j in _apart(label, block, sig, band, least, i).tolist():
+                    x, y = find(rows[i]["label"]), find(rows[j]["label"])
+                    if x == y or similarity * max(len(sets[i]), len(sets[j])) > min(len(sets[i]), len(sets[j])):
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                        root[x] = y
+                        links.append({"a": min(rows[i]["fp"], rows[j]["fp"]), "b": max(rows[i]["fp"], rows[j]["fp"])})
+            out.append(links)
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
-    return run(block_pair)
+    return run(groups, nth)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the fingerprints of ``pairs`` (a, b, as hashes of shingle sets) that are similar indeed."""
-    wanted = pairs.select(F.col("a").alias("shingles")).unionByName(pairs.select(F.col("b").alias("shingles"))).distinct()
+def shingle_set_column(text: Column, words: int) -> Column:
+    """The sorted hashes of a text's distinct shingles, eight bytes each."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(np.array(shingle_hashes(t, words), "<u8")).tobytes() for lo, hi in ranges(texts) for t in _each(texts.slice(lo, hi - lo))], pa.binary())
+
+    return run(F.coalesce(text, F.lit("")))
+
+
+def _with_texts(wanted: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(shingles, fp, text) of the ``wanted`` shingle sets (distinct)."""
     places = materialize(sets.select("shingles", "fp", "at").join(wanted, "shingles"))
     ats = places.select("at").distinct()
     if ats.count() <= BROADCAST_ROWS:  # the texts of all other documents are then not shuffled
         ats = F.broadcast(ats)
     texts = docs.select(F.xxhash64(text_col).alias("at"), F.col(text_col).alias("text")).join(ats, "at", "left_semi").dropDuplicates(["at"])
-    named = materialize(places.join(texts, "at").select("shingles", "fp", "text"))
+    return places.join(texts, "at").select("shingles", "fp", "text")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the fingerprints of ``pairs`` (a, b, as hashes of shingle sets) that are similar indeed."""
+    wanted = pairs.select(F.col("a").alias("shingles")).unionByName(pairs.select(F.col("b").alias("shingles"))).distinct()
+    named = materialize(_with_texts(wanted, sets, docs, text_col))
     side = lambda c: named.select(F.col("shingles").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     similar = both.withColumn("__j", jaccard(F.col("text_a"), F.col("text_b"), words)).where(F.col("__j") >= similarity)
     return similar.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).where("a <> b").distinct()
 
 
+def _in_blocks(rows: DataFrame, *carry: str) -> DataFrame:
+    """(nth, all): the rows (band, nth, n, label, shingles, sig) of each band in pairs of blocks of about BLOCK rows, none
+    of one label alone."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("shingles"), blocks).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    grouped = spread.groupBy("band", "nth", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    gathered = grouped.agg(F.collect_list(F.struct("block", "label", "shingles", "sig", *carry)).alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return gathered.where("lo <> hi").select("band", "nth", "all")
+
+
 def similar_links(prints: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float, known: DataFrame) -> DataFrame:
     """``known`` links (a, b) of fingerprints, and such as connect texts of ``similarity`` or more that they leave apart.
 
@@ -146,8 +219,9 @@ def similar_links(prints: DataFrame, docs: DataFrame, text_col: str, words: int,
     sets = materialize(full.select("shingles", F.array_min("fps").alias("fp"), "fps", "at", "sig"))
     equal = sets.where(F.size("fps") > 1).select(F.col("fp").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))
-    bands = sets.select("shingles", F.explode(keys).alias("band")).groupBy("band").agg(F.collect_list("shingles").alias("all")).where(F.size("all") > 1)
-    members = materialize(bands.select("band", F.size("all").alias("n"), F.array_min("all").alias("hub"), F.explode("all").alias("shingles")))
+    banded = sets.select("shingles", F.posexplode(keys).alias("nth", "band"))
+    bands = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("shingles").alias("hub")).where("n > 1")
+    members = materialize(banded.join(bands, "band"))
 
     least = similarity - SLACK
     hubs = members.where("hub <> shingles").select(F.col("hub").alias("a"), F.col("shingles").alias("b")).distinct()
@@ -157,13 +231,16 @@ def similar_links(prints: DataFrame, docs: DataFrame, text_col: str, words: int,
     links = materialize(known.unionByName(equal).unionByName(first).distinct())
 
     labels = min_labels(links)
-    labelled = members.join(sets.select("shingles", "fp", "sig"), "shingles").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = sets.select("shingles", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("shingles", "fp", F.coalesce("label", "fp").alias("label"))
+    labelled = members.drop("hub").join(named, "shingles")
     open_bands = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = labelled.join(open_bands, "band").withColumn("block", F.pmod(F.xxhash64("shingles"), blocks).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    gathered = spread.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "label", "shingles", "sig")).alias("all"))
-    second = materialize(gathered.select(F.explode(_met(F.col("all"), least)).alias("p")).select("p.a", "p.b").distinct())
-    if second.isEmpty():
+    left = materialize(labelled.join(open_bands, "band"))
+    groups = _in_blocks(left.join(sets.select("shingles", "sig"), "shingles"))
+    wanted = materialize(groups.select("band", F.explode(_candidates(F.col("all"), F.col("nth"), least)).alias("shingles")).distinct())
+    if wanted.isEmpty():
         return links
-    return links.unionByName(_verified(second, sets, docs, text_col, words, similarity)).distinct()
+    texts = _with_texts(wanted.select("shingles").distinct(), sets, docs, text_col).select("shingles", shingle_set_column(F.col("text"), words).alias("set"))
+    some = left.drop("n").join(wanted, ["band", "shingles"]).join(wanted.groupBy("band").agg(F.count("*").alias("n")), "band")
+    pairs = _in_blocks(some.join(sets.select("shingles", "sig"), "shingles").join(texts, "shingles"), "fp", "set")
+    second = pairs.select(F.explode(_forest(F.col("all"), F.col("nth"), least, similarity)).alias("p")).select("p.a", "p.b").distinct()
+    return links.unionByName(second)

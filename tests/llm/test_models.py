@@ -276,7 +276,7 @@ def test_a_strict_test_gives_the_exact_neighbours_with_copies_ties_and_repeats(s
         if i % 20 == 0:
             want.setdefault(i, []).append([(r, j, s) for r, (s, j) in enumerate(sorted(((-float((np.array(w) * np.array(v)).sum()), j) for j, w in pairs if j != i))[:20], 1)])
     for most, cell, visits in ((10_000, 60, 3), (20, 100, 65536), (20, 10_000, 65536)):
-        monkeypatch.setattr(neighbours, "MOST_HOT", most), monkeypatch.setattr(storage, "MOST_HOT", most), monkeypatch.setattr(neighbours, "VISITS", visits)
+        monkeypatch.setattr(neighbours, "MOST_HOT", most), monkeypatch.setattr(storage, "MOST_HOT", most), monkeypatch.setattr(storage, "FEW_ROWS", 0), monkeypatch.setattr(neighbours, "VISITS", visits)
         got = defaultdict(list)
         for r in neighbours.nearest_neighbours(embeddings(spark, tmp_path, ids[again], vectors[again], 3), confidence=0.999999999, cell_rows=cell).collect():
             got[r.query_id].append((r.rank, r.vec_id, -r.score))

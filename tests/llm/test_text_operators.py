@@ -179,7 +179,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
             least[roots[p]] = min(i, least.get(roots[p], i))
     want = Counter((i, prints[i, t], least.get(roots[prints[i, t]])) for i, t, _ in data)
     for most, hot in ((3, 5), (48, 10_000)):  # with few hot classes, and with all of them
-        monkeypatch.setattr(storage, "MOST_HOT", hot)
+        monkeypatch.setattr(storage, "MOST_HOT", hot), monkeypatch.setattr(storage, "FEW_ROWS", 0)
         got = simhash.near_duplicates(frame(spark, data), words=3, most=most).collect()
         assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
 
