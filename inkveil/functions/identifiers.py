@@ -61,8 +61,9 @@ def map_case_number(number: Column, seed: int = 0) -> Column:
 def strip_court_signatures(text: Column) -> Column:
     """Drop signature lines of court personnel, and short lines that begin with a role, if a signature line occurs."""
     roles = "|".join(COURT_ROLES)
-    signature = rf"^\s*(?:{roles})[\s：:]*[一-龥·\s]{{2,20}}$"
+    signature = rf"(?U)^\s*(?:{roles})[\s：:]*[一-龥·\s]{{2,20}}$"  # white space of any kind, the ideographic one included
     lines = F.split(text, "\n")
-    begins = lambda x: F.regexp_like(F.btrim(x), F.lit(rf"^(?:{roles})")) & (F.length(F.btrim(x)) < 30)
-    kept = F.filter(lines, lambda x: ~(F.regexp_like(F.btrim(x), F.lit(signature)) | begins(x)))
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    begins = lambda x: F.regexp_like(bare(x), F.lit(rf"^(?:{roles})")) & (F.length(bare(x)) < 30)
+    kept = F.filter(lines, lambda x: ~(F.regexp_like(bare(x), F.lit(signature)) | begins(x)))
     return F.when(F.exists(lines, lambda x: F.regexp_like(x, F.lit(signature))), F.array_join(kept, "\n")).otherwise(text)

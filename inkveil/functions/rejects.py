@@ -68,7 +68,8 @@ def is_false_organization(name: Column) -> Column:
 
 def is_false_place(place: Column, before: Column) -> Column:
     """Not a place although it ends like one; ``before`` is the character in front of it, empty at a text's start."""
-    bare = F.regexp_replace(place, "^(?:涉及所辖|涉及|所辖|各县|各|全|将|及|涉|除特殊企业及|除|等|本|该|此|上|前|后|下)", "")
+    lead = any_of(L.PLACE_LEADS)
+    bare = F.regexp_replace(place, "^" + lead, "")
     body = F.regexp_replace(place, PLACE_SUFFIX + "$", "")
     committee = bare.rlike("(?:村民委员会|居民委员会|村委会|居委会)$")
     rest = (
@@ -76,7 +77,8 @@ def is_false_place(place: Column, before: Column) -> Column:
         | place.rlike("^" + any_of(L.PLACE_REFERENCES)) | bare.rlike("^" + any_of(L.PLACE_REFERENCES))
         | bare.rlike(f"^[一-龥]{PLACE_SUFFIX}$") | bare.rlike("^[一-龥]{2,4}村村$")
         | body.rlike(f"[{L.PLACE_NO_CHARS}]")
-        | ((bare != place) & (bare != ""))
+        | place.rlike("^" + any_of(L.PLACE_NO_STARTS))
+        | place.rlike("^" + lead + ".")
         | ((before != "") & before.rlike(f"[{L.PLACE_BEFORE}]"))
         | (place.startswith("某") & place.rlike("(?:省|市|区|县|镇|乡|街道)$"))
     )

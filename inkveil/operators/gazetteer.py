@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = {"province": 1, "city": 2, "county": 3, "township": 4, "village": 5}
-SUFFIX_WORDS = ("省", "市", "区", "县", "镇", "乡", "村")
+#: Levels, suffixes that are counted in a name, words that are no place by themselves, words of an address.
+LEVELS = {"province": 1, "city": 2, "county": 3, "county_city": 3, "township": 4, "village": 5, "community": 5}
+SUFFIX_WORDS = ("省", "市", "区", "县", "镇", "乡", "街道")
+GENERIC_TERMS = ("省", "市", "区", "县", "镇", "乡", "街道", "社区", "村", "市辖区", "村村民委员会", "村村委会", "社区居民委员会", "社区居委会")
+ADDRESS_WORDS = ("住", "住所地", "户籍地", "经常居住地", "位于", "地址", "所在地", "登记", "户籍")
+NEAR = 20
 KEY_CHARS = 2
 BROADCAST_TERMS = 1_000_000
 
@@ -47,14 +51,35 @@ def suffix_count(name: Column) -> Column:
     """How many administrative suffixes occur in a name, each as often as it occurs."""
     total = F.lit(0)
     for word in SUFFIX_WORDS:
-        total = total + F.length(name) - F.length(F.replace(name, F.lit(word), F.lit("")))
+        total = total + (F.length(name) - F.length(F.replace(name, F.lit(word), F.lit("")))) / len(word)
     return total
 
 
 def short_alias(level: Column, name: Column) -> Column:
-    """A province's or city's name without its suffix; null if nothing of two characters is left."""
-    bare = F.regexp_replace(name, "(?:特别行政区|壮族自治区|回族自治区|维吾尔自治区|自治区|省|市)$", "")
-    return F.when(level.isin("province", "city") & (bare != name) & (F.length(bare) >= 2), bare)
+    """What a division is called for short; null if there is no such name of two characters."""
+    province = F.regexp_extract(name, "^(.{2,})(?:省|自治区|特别行政区)$", 1)
+    city, county = F.regexp_extract(name, "^(.{2,})市$", 1), F.regexp_extract(name, "^(.{2,})[区县市旗]$", 1)
+    alias = F.when(level == "province", province).when(level == "city", city).when(level.isin("county", "county_city"), county)
+    return F.nullif(alias, F.lit(""))
+
+
+def entity_type(level: Column, name: Column) -> Column:
+    """Villages and communities, and their committees, are organizations; all else is a place."""
+    return F.when(level.isin("village", "community") | name.rlike("(?:村民委员会|居民委员会|村委会|居委会)$"), "grassroots_org").otherwise("location")
+
+
+def is_short_local_name(term: Column, level: Column) -> Column:
+    """So short that it is a place only beside an address."""
+    county = level.isin("county", "county_city") & ~term.rlike("[区县市旗]$") & (F.length(term) <= 3)
+    village = level.isin("village", "community") & ~term.rlike("(?:村民委员会|居民委员会|村委会|居委会)$") & (F.length(term) <= 2)
+    return county | village
+
+
+def has_address_context(text: Column, start: Column, end: Column) -> Column:
+    """Words of an address are near: one of ADDRESS_WORDS before, or the levels of an address around."""
+    lo = F.greatest(start - NEAR, F.lit(0))
+    before, window = F.substring(text, lo + 1, start - lo), F.substring(text, lo + 1, end + NEAR - lo)
+    return before.rlike("|".join(ADDRESS_WORDS)) | (window.contains("镇") & window.contains("村")) | (window.contains("街道") & window.contains("社区"))
 
 
 def divisions(rows: DataFrame) -> DataFrame:
@@ -67,23 +92,34 @@ def divisions(rows: DataFrame) -> DataFrame:
 def full_names(table: DataFrame) -> DataFrame:
     """Divisions with the names of their ancestors before their own, level by level."""
     out = table.withColumn("full_name", F.col("name")).withColumn("__up", F.col("parent_code"))
-    for _ in range(len(LEVELS) - 1):
+    for _ in range(max(LEVELS.values()) - 1):
         up = table.select(F.col("code").alias("__up"), F.col("name").alias("__name"), F.col("parent_code").alias("__next"))
         out = out.join(up, "__up", "left").withColumn("full_name", F.concat(F.coalesce("__name", F.lit("")), "full_name")).withColumn("__up", F.coalesce("__next", F.lit(""))).drop("__name", "__next")
     return out.drop("__up")
 
 
-def terms(table: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(term, code, canonical_name, level, confidence): names, short forms and aliases of two characters or more; of
-    equal terms the most confident, then the smallest code."""
-    names = table.select(F.col("name").alias("term"), "code", F.col("name").alias("canonical_name"), "level", F.lit(0.95).alias("confidence"))
-    shorts = table.select(short_alias(F.col("level"), F.col("name")).alias("term"), "code", F.col("name").alias("canonical_name"), "level", F.lit(0.85).alias("confidence"))
-    every = names.unionByName(shorts)
+def terms(table: DataFrame, aliases: DataFrame | None = None, deepest: str = "village") -> DataFrame:
+    """(term, code, canonical_name, level, entity_type, confidence) of divisions (code, name, level, and full_name if it
+    is known) and aliases (alias, canonical_name, division_code, confidence).
+
+    Full names, names and short forms of two characters or more, generic ones left out; full names of townships only when
+    they are the name; aliases with more than one administrative suffix only if they are the name itself or a village's.
+    Levels below ``deepest`` are left out. Of equal terms the most confident, then the smallest code.
+    """
+    full = F.coalesce("full_name", "name") if "full_name" in table.columns else F.col("name")
+    rows = table.select("code", "level", F.btrim("name").alias("name"), F.btrim(full).alias("full")).where(level_rank(F.col("level")) <= LEVELS[deepest])
+    part = lambda term, confidence: rows.select(term.alias("term"), "code", F.col("full").alias("canonical_name"), "level", F.lit(confidence).alias("confidence"))
+    whole = F.when((F.col("full") == F.col("name")) | F.col("level").isin("village", "community", "county", "county_city", "city", "province"), F.col("full"))
+    every = part(whole, 0.98).unionByName(part(F.col("name"), 0.92)).unionByName(part(short_alias(F.col("level"), F.col("name")), 0.9))
     if aliases is not None:
-        own = aliases.join(table.select("code", "level"), aliases["division_code"] == table["code"], "left")
-        every = every.unionByName(own.select(F.col("alias").alias("term"), F.col("division_code").alias("code"), "canonical_name", F.coalesce("level", F.lit("unknown")).alias("level"), "confidence"))
+        own = aliases.join(table.select("code", "level"), aliases["division_code"] == table["code"], "left").withColumn("level", F.coalesce("level", F.lit("unknown")))
+        alias, leaf = F.btrim("alias"), F.element_at(F.split(F.btrim("canonical_name"), "/"), -1)
+        fits = F.col("level").isin("village", "community") | (alias == leaf) | (suffix_count(alias) <= 1)
+        deep = F.lit(deepest == "village") | (level_rank(F.col("level")) <= LEVELS[deepest])
+        every = every.unionByName(own.where(fits & deep).select(alias.alias("term"), F.col("division_code").alias("code"), "canonical_name", "level", "confidence"))
     best = Window.partitionBy("term").orderBy(F.desc("confidence"), "code")
-    return every.where(F.length("term") >= 2).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    kept = every.where((F.length("term") >= 2) & ~F.col("term").isin(*GENERIC_TERMS)).withColumn("__n", F.row_number().over(best)).where("__n = 1")
+    return kept.select("term", "code", "canonical_name", "level", entity_type(F.col("level"), F.col("term")).alias("entity_type"), "confidence")
 
 
 def find_terms(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_TERMS) -> DataFrame:
@@ -133,10 +169,24 @@ def _join_terms(docs: DataFrame, dictionary: DataFrame, id_col: str, text_col: s
     return exact.select(id_col, "start", (F.col("start") + F.length("term")).alias("end"), *dictionary.columns)
 
 
+def admitted(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Occurrences (id, start, end, term, level) but short local names that stand beside no address."""
+    short = is_short_local_name(F.col("term"), F.col("level"))
+    doubtful = found.where(short).join(docs.select(id_col, F.col(text_col).alias("__text")), id_col)
+    return found.where(~short).unionByName(doubtful.where(has_address_context(F.col("__text"), F.col("start"), F.col("end"))).drop("__text"))
+
+
 def resolve_places(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of overlapping places the longest, then the most confident, then the first; different levels may not overlap."""
-    rows = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("l"), (-F.col("confidence")).alias("c"), "start", "end", "term", "code", "level")))
+    """Of places the longest, then the most confident, then the first. One that begins with a kept, longer one of no deeper
+    level goes, and so does one that overlaps a kept one, unless both are townships or above."""
+    rank = level_rank(F.col("level")).alias("rank")
+    rows = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("l"), (-F.col("confidence")).alias("c"), "start", "end", "term", "code", "level", rank)))
     grouped = found.groupBy(id_col).agg(rows.alias("all"))
-    free = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    kept = F.aggregate("all", F.filter("all", lambda _: F.lit(False)), lambda a, x: F.when(free(a, x), F.array_append(a, x)).otherwise(a))
+    direct = lambda x: x["rank"] <= LEVELS["township"]
+
+    def blocked(x: Column, y: Column) -> Column:
+        begins = (x["start"] == y["start"]) & (x["end"] < y["end"]) & (x["rank"] >= y["rank"])
+        return begins | ((x["start"] < y["end"]) & (y["start"] < x["end"]) & ~(direct(x) & direct(y)))
+
+    kept = F.aggregate("all", F.filter("all", lambda _: F.lit(False)), lambda a, x: F.when(F.exists(a, lambda y: blocked(x, y)), a).otherwise(F.array_append(a, x)))
     return grouped.select(id_col, F.explode(kept).alias("p")).select(id_col, "p.start", "p.end", "p.term", "p.code", "p.level")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from inkveil.functions import lexicon as L
+
+#: Literal rows that the tests use.
 ALIAS_EDGES = [("m1", "a", "b"), ("m1", "b", "c"), ("m1", "d", "e"), ("m2", "a", "d"), ("m2", "x", "y"), ("m2", "y", "z"), ("m2", "z", "w"), ("m2", "w", "v"), ("m3", "k", "k2")]
-GOLD_ENTITIES = [
-    ("c1", "e1", "g1", "甲公司", ["e2"]), ("c1", "e2", "g2", "甲公司", ["e1"]), ("c1", "e3", "g3", "乙公司", None), ("c1", "e4", "g3", "丙公司", None),
-    ("c2", "e1", "g1", "甲公司", ["e2"]), ("c2", "e2", "g1", "甲公司", None), ("c3", "e1", None, "甲公司", None),
-]
 DIVISION_ROWS = [
     ("130000000000", "河北省", 0), ("130100000000", "石家庄市", 1), ("130102000000", "长安区", 2), ("130102001000", "建北街道", 3), ("130102001001", "棉一社区居委会", 4),
     ("440000000000", "广东省", 5), ("440300000000", "深圳市", 6), ("440300000000", "深圳市（重复）", 7), ("450000000000", "广西壮族自治区", 8),
@@ -19,9 +19,114 @@ def alias_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ALIAS_EDGES, "map_id string, a string, b string")
 
 
-def gold_entities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GOLD_ENTITIES, "case_id string, entity_id string, alias_group string, masked string, do_not_merge array<string>")
-
-
 def division_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DIVISION_ROWS, "code string, name string, ord int")
+
+
+#: Parts of names; a row's key picks one of each, so that all of them come together with one another.
+SURNAMES = ("张", "欧", "王某", "罗", "李", "安徽", "阿·")
+GIVEN = ("三", "建国", "丽", "某", "手", "1", "全", "提", "方", "小明明明", "", "０", "·", *L.NO_PERSON_WORDS, *L.PERSON_WORKS, *L.PERSON_PARTICLES)
+CORES = ("华泰", "远大", "张三", "某村", "（北京）华泰", "华泰（北京）", "合同三", "等", "系关联公司", *L.ORG_CORE_PRONOUNS, *L.NO_BRANDS, *L.NO_ORG_CORES, *L.ORG_ACTION_VERBS, *L.ORG_SENTENCE_WORDS)
+FRONTS = ("", "大华", "否认其", "长安")
+LEGAL_ENDS = ("有限公司", "公司", "", "集团", "集团有限公司", "股份有限公司")
+LEADS = ("", "石家庄", "某", *L.PLACE_LEADS)
+PLACES = ("长安", "甲", "", "村", "桥东", "社区居民委员会", *L.PLACE_NO_CORES, *L.PLACE_REFERENCES, *L.PLACE_GENERIC, *L.PLACE_NO_STARTS, *L.PLACE_NO_WORDS)
+PLACE_ENDS = ("市", "区", "", "村", "村委会", "自治州")
+BEFORE = ("", "住", "及", "在", "x")
+WRAPS = ("{}", " {}。", "（{}", "{}）", "【{}", "《{}》", "（{}）", "{}及", "{}辩称和", "（（{}", "〈{}")
+ORG_WRAPS = (
+    "{}", "原告{}", "被告2{}，", "与{}", "曾用名{}", "设立的{}", "到{}", "原{}", "张三与{}", "张三和李四及{}", "（{}", "{}）", "【{}", "名{}", "成立注册{}", "再审申请人：{}", "{}公司", "该{}", "石家庄市{}",
+)
+ORG_NAMES = ("河北华泰有限公司", "公司", "华泰（北京）科技有限公司", "分公司", "律师事务所", "", "大华银行", "北京集团", "甲乙", "华泰集团有限公司", "石家庄分公司")
+
+
+def _picked(key: Column, step: int, parts: tuple[str, ...]) -> Column:
+    return F.get(F.array(*map(F.lit, parts)), F.pmod(F.floor(key / step), F.lit(len(parts))).cast("int"))
+
+
+def _composed(key: Column, *parts: tuple[str, ...]) -> Column:
+    steps = [1]
+    for p in parts[:-1]:
+        steps.append(steps[-1] * len(p))
+    return F.concat(*(_picked(key, n, p) for n, p in zip(steps, parts, strict=True)))
+
+
+def person_names(key: Column) -> Column:
+    return _composed(key, SURNAMES, GIVEN)
+
+
+def organization_names(key: Column) -> Column:
+    return _composed(key, FRONTS, CORES, LEGAL_ENDS)
+
+
+def place_names(key: Column) -> Column:
+    return _composed(key, LEADS, PLACES, PLACE_ENDS)
+
+
+def place_fronts(key: Column) -> Column:
+    return _picked(key, 7, BEFORE)
+
+
+def _wrapped(key: Column, wraps: tuple[str, ...], names: tuple[str, ...]) -> Column:
+    return F.replace(_picked(key, 1, wraps), F.lit("{}"), _picked(key, len(wraps), names))
+
+
+def captured_persons(key: Column) -> Column:
+    return _wrapped(key, WRAPS, ("张三", "李及", "王·五", "和", "赵六男女", "（钱七"))
+
+
+def captured_organizations(key: Column) -> Column:
+    return _wrapped(key, ORG_WRAPS, ORG_NAMES)
+
+
+#: Kind, form of a text and what of it is found ("" if nothing); {} is the identifier, which is made from a key.
+IDENTIFIER_FORMS = (
+    ("phone", "电话{}。", "电话{}"), ("phone", "a {} b", "{}"), ("phone", "联系电话{}，手机", "联系电话{}"), ("phone", "+86-{}", "+86-{}"), ("phone", "8{}", ""), ("phone", "{}1", ""), ("phone", "😀x{}y", "{}"),
+    ("id_number", "公民身份号码{}，", "公民身份号码{}"), ("id_number", "id {}", "{}"), ("id_number", "X{}", ""), ("id_number", "身份证号{}x", ""),
+    ("unified_social_credit_code", "统一社会信用代码{}", "统一社会信用代码{}"), ("unified_social_credit_code", "({})", "{}"), ("unified_social_credit_code", "Z{}", ""),
+    ("bank_account", "银行账号{} 邮箱", "银行账号{}"), ("bank_account", "账户{}", "账户{}"), ("bank_account", "no {}-", "{}-"), ("bank_account", "{}123456", ""),
+    ("email", "邮箱{}。", "邮箱{}"), ("email", "电子邮箱{} x", "电子邮箱{}"), ("email", "<{}>", "{}"),
+    ("case_number", "见（2024）冀01民初{}号判决", "（2024）冀01民初{}号"), ("case_number", "(2019)最高法知民终{}号", "(2019)最高法知民终{}号"), ("case_number", "（1999）京执{}", "（1999）京执"), ("case_number", "（3024）冀01民初{}号", ""),
+)
+PROCEDURES = {"民初": "民初", "知民终": "知民终", "京执": "执"}
+LINES = ("审判长  张三", "书记员：李四", "审判员　王五", "正文内容", "法官助理赵六 2024", "  审 判 员 钱七", "审判长在庭上说了很多很多话这一行文字比三十个字还要长所以它不会被当作落款删去", "", "人民陪审员", "执行员·孙八")
+DIVISION_CORES = ("石家庄", "长安", "甲", "市辖", "建北", "大名", "内蒙古", "棉一")
+DIVISION_ENDS = ("省", "自治区", "特别行政区", "", "市", "自治州", "盟", "地区", "区", "县", "市", "旗", "街道", "镇", "乡", "办", "村", "社区", "村委会", "居委会")
+
+
+def identifier(kind: Column, key: Column) -> Column:
+    """An identifier of a kind, its digits made from a key."""
+    digits = lambda n, times: F.lpad(F.pmod(key * times, F.lit(10**n)).cast("string"), n, "0")
+    return (
+        F.when(kind == "phone", F.concat(F.lit("13"), digits(9, 7919)))
+        .when(kind == "id_number", F.concat(F.lit("11010119900307"), digits(3, 7), F.lit("5")))
+        .when(kind == "unified_social_credit_code", F.concat(F.lit("91130100MA"), digits(8, 104729)))
+        .when(kind == "bank_account", F.concat(F.lit("6222"), digits(15, 1)))
+        .when(kind == "email", F.concat(F.lit("u"), key.cast("string"), F.lit("@example.com")))
+        .otherwise(key.cast("string"))
+    )
+
+
+def identifier_text(key: Column) -> Column:
+    kinds, forms, _ = zip(*IDENTIFIER_FORMS, strict=True)
+    return F.replace(_picked(key, 1, forms), F.lit("{}"), identifier(_picked(key, 1, kinds), key))
+
+
+def signed_text(key: Column) -> Column:
+    return F.concat_ws("\n", *(_picked(key, step, LINES) for step in (1, 3, 10, 70)))
+
+
+def divisions(key: Column) -> dict[str, Column]:
+    """Code and name of a division, of a level by the key."""
+    level, two = key % 5, lambda k: F.lpad(k.cast("string"), 2, "0")
+    part = lambda least, value, n: F.when(level >= least, F.lpad(value.cast("string"), n, "0")).otherwise("0" * n)
+    code = F.concat(two(F.floor(key / 5) % 3 + 11), part(1, F.floor(key / 15) % 4 + 1, 2), part(2, F.floor(key / 60) % 3 + 1, 2), part(3, F.floor(key / 5) % 4 + 1, 3), part(4, F.floor(key / 10) % 3 + 1, 3))
+    name = F.concat(_picked(key, 5, DIVISION_CORES), F.get(F.array(*map(F.lit, DIVISION_ENDS)), (level * 4 + F.floor(key / 40) % 4).cast("int")))
+    return {"code": code, "name": name}
+
+
+def payload(key: Column) -> Column:
+    """A recogniser's payload of key mod 5 persons, broken off somewhere."""
+    persons = F.when(key % 5 == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(key % 5, F.lit(1))), lambda i: F.concat(F.lit('"p'), i.cast("string"), F.lit('"'))), ", "))
+    whole = F.concat(F.lit('note {"persons": ['), persons, F.lit('], "organizations": ["o'), key.cast("string"), F.lit('"]}'))
+    return F.substring(whole, F.lit(1), (F.pmod(key * 7, F.length(whole)) + 1).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkveil.functions import lexicon as L
 from inkveil.plans import fixtures
 
 _EMAIL = r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?:[^A-Za-z0-9._%+-]|$)"
@@ -30,23 +31,119 @@ _SPANS = "select l_orderkey as doc_id, l_linenumber, (l_suppkey % 40)::INT as s,
 _RUNS = "select l_returnflag as run, sum(l_quantity::BIGINT)::BIGINT as quantity, count(*) as lines from lineitem group by 1"
 
 
-def _literal(rows: list[tuple], names: str) -> str:
-    def cell(x: object) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, list):
-            return "[" + ", ".join(map(cell, x)) + "]"
-        return str(x) if isinstance(x, int) else "'" + str(x) + "'"
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
-
-
 def _metrics(rows: str) -> str:
     p, r = "case when tp + fp = 0 then 1.0 else tp::DOUBLE / (tp + fp) end", "case when tp + fn = 0 then 1.0 else tp::DOUBLE / (tp + fn) end"
     return f"select type, tp, fp, fn, round({p}, 6) as precision, round({r}, 6) as recall, round(case when ({p}) + ({r}) = 0 then 0.0 else 2 * ({p}) * ({r}) / (({p}) + ({r})) end, 6) as f1 from ({rows})"
 
 
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+def _pick(key: str, step: int, parts) -> str:
+    return f"{_list(parts)}[(({key} // {step}) % {len(parts)})::INT + 1]"
+
+
+def _compose(key: str, *parts) -> str:
+    out, step = [], 1
+    for p in parts:
+        out.append(_pick(key, step, p))
+        step *= len(p)
+    return " || ".join(out)
+
+
+def _wrap(key: str, wraps, names) -> str:
+    return f"replace({_pick(key, 1, wraps)}, '{{}}', {_pick(key, len(wraps), names)})"
+
+
+def _holds(name: str, words) -> str:
+    return f"len(list_filter({_list(words)}, lambda w: contains({name}, w))) > 0"
+
+
+def _begins(name: str, words) -> str:
+    return f"len(list_filter({_list(words)}, lambda w: starts_with({name}, w))) > 0"
+
+
+def _ends(name: str, words) -> str:
+    return f"len(list_filter({_list(words)}, lambda w: ends_with({name}, w))) > 0"
+
+
+def _verb(core: str) -> str:
+    """A verb that does not end a longer core as a trade."""
+    return (
+        f"len(list_filter({_list(L.ORG_ACTION_VERBS)}, lambda v: contains({core}, v) and not (list_contains({_list(L.INDUSTRY_CORE_SUFFIXES)}, v) and ends_with({core}, v) and length({core}) > length(v) + 1))) > 0"
+    )
+
+
+_STRIP = "trim({0}, {1})"
+_PERSON_MARKS, _MARKS = "' ：:，,。；;（）()' || chr(10) || chr(9)", "' ：:，,。、；;' || chr(10) || chr(9)"
+
+
+def _odd_brackets(rows: str) -> str:
+    """Bodies of recursive tables b (k, name, s, i): one pair of brackets in each step."""
+    left, right = _list("（(【[《<"), _list("）)】]》>")
+    a, z = f"{left}[i % 6 + 1]", f"{right}[i % 6 + 1]"
+    return (
+        f"select k, name, trim(s) as s, 0 as i from ({rows}) union all select k, name, case when starts_with(s, {a}) and not ends_with(s, {z}) then trim(substring(s, 2)) "
+        f"when ends_with(s, {z}) and not starts_with(s, {a}) then trim(substring(s, 1, length(s) - 1)) else s end, i + 1 from b where i < 60"
+    )
+
+
+_SURFACE = "(?:" + "|".join(L.ORG_SURFACES) + ")"
+_LONG = "(?:有限责任公司|股份有限公司|集团有限公司|有限公司|集团)"
+_NARRATED = (
+    "case when regexp_matches(s, '^(?:设立的|成立的|注册的|组建的|设立|成立|注册)') then regexp_replace(s, '^(?:设立的|成立的|注册的|组建的|设立|成立|注册)', '') "
+    f"when regexp_matches(s, '^到[一-龥A-Za-z0-9()（）·]{{4,}}{_LONG}') then substring(s, 2) when regexp_matches(s, '^原[一-龥]{{4,}}(?:有限责任公司|股份有限公司|集团有限公司|有限公司)') then substring(s, 2) else s end"
+)
+_JOINED = f"regexp_matches(s, '^[一-龥·]{{2,4}}(?:与|和|及).+$') and not regexp_matches(regexp_extract(s, '^([一-龥·]{{2,4}})(?:与|和|及)(.+)$', 1), '{_SURFACE}') and regexp_matches(regexp_extract(s, '^([一-龥·]{{2,4}})(?:与|和|及)(.+)$', 2), '{_SURFACE}')"
+
+_ROLES = "(?:审判长|审判员|代理审判员|人民陪审员|法官助理|书记员|执行员|执行法官|法 官 助 理|书 记 员|审 判 长|审 判 员)"
+_SIGNED = _ROLES + r"[\s\x{3000}：:]*[一-龥·\s\x{3000}]{2,20}$"
+_GENERIC = ("省", "市", "区", "县", "镇", "乡", "街道", "社区", "村", "市辖区", "村村民委员会", "村村委会", "社区居民委员会", "社区居委会")
+
 ORACLES: dict[str, str] = {
+    "false_persons": f"""
+        with n as (select o_orderkey, {_compose('o_orderkey', fixtures.SURNAMES, fixtures.GIVEN)} as name from orders)
+        select o_orderkey, name, length(name) not between 2 and 20 or regexp_matches(name, '[0-9０-９.%‰万亿元]') or (contains(name, '某') and not ends_with(name, '某')) or (length(name) > 4 and not regexp_matches(name, '[·•]'))
+          or {_holds('name', (*L.NO_PERSON_WORDS, *L.PERSON_WORKS, *L.PERSON_PARTICLES))} or (length(name) = 3 and not contains('{L.COMMON_SURNAMES}', name[1]) and contains('{L.PERSON_TAIL_ACTIONS}', name[3]))
+          or (length(name) <= 3 and ({_ends('name', L.PERSON_SHORT_ENDS)} or {_begins('name', L.PERSON_SHORT_STARTS)})) or {_begins('name', L.PROVINCE_NAMES)} as is_false from n""",
+    "false_organizations": f"""
+        with n as (select o_orderkey, {_compose('o_orderkey', fixtures.FRONTS, fixtures.CORES, fixtures.LEGAL_ENDS)} as name from orders),
+        c as (select *, regexp_extract(name, '^(.+?)(?:{"|".join(L.LEGAL_SUFFIXES)})$', 1) as core from n),
+        g as (select *, regexp_extract(core, '^(.+?)(?:{"|".join(L.NO_BRANDS)})$', 1) as front from c)
+        select o_orderkey, name, regexp_matches(name, '^合同[一二三四五六七八九十百零0-9]+$') or contains(name, '系关联公司') or starts_with(name, '否认其') or starts_with(name, '否认与') or list_contains({_list(L.LEGAL_SUFFIXES)}, name)
+          or (regexp_matches(name, '[（）()]') and not regexp_matches(name, '^[一-龥A-Za-z0-9·]+[（(][一-龥A-Za-z0-9·]{{2,12}}[）)][一-龥A-Za-z0-9·]*(?:有限责任公司|股份有限公司|集团有限公司|有限公司|公司|集团)$'))
+          or {_holds('name', L.ORG_SENTENCE_WORDS)}
+          or case when core <> '' then list_contains({_list((*L.ORG_CORE_PRONOUNS, *L.NO_BRANDS, *L.NO_ORG_CORES))}, core) or length(core) < 2 or contains(core, '我') or contains(core, '两家') or ends_with(core, '等') or ends_with(core, '等公司')
+            or {_ends('core', ('省', '市', '区', '县', '旗', '镇', '乡', '街道', '村', '社区'))} or (regexp_matches(core, '^[一-龥]{{2,3}}$') and contains('{L.COMMON_SURNAMES}', core[1])) or {_verb('core')}
+            or (front <> '' and (length(front) <= 2 or {_verb('front')}))
+          else {_holds('name', L.ORG_PRONOUNS)} or {_verb('name')} end as is_false from g""",
+    "false_places": f"""
+        with n as (select o_orderkey, {_compose('o_orderkey', fixtures.LEADS, fixtures.PLACES, fixtures.PLACE_ENDS)} as name, {_pick('o_orderkey', 7, fixtures.BEFORE)} as before from orders),
+        p as (select *, regexp_replace(name, '^(?:{"|".join(L.PLACE_LEADS)})', '') as bare, regexp_replace(name, '(?:自治区|自治州|街道|社区|省|市|盟|区|县|旗|镇|乡|村)$', '') as body from n)
+        select o_orderkey, name, before, {_holds('name', L.PLACE_NO_WORDS)} or case when {_ends('bare', ('村民委员会', '居民委员会', '村委会', '居委会'))} then list_contains({_list(('村村民委员会', '村村委会', '社区居民委员会', '社区居委会'))}, bare)
+          else list_contains({_list(L.PLACE_NO_CORES)}, name) or list_contains({_list((*L.PLACE_NO_CORES, *L.PLACE_GENERIC))}, bare) or list_contains({_list(L.PLACE_NO_CORES)}, body) or {_begins('name', L.PLACE_REFERENCES)} or {_begins('bare', L.PLACE_REFERENCES)}
+            or {_begins('name', L.PLACE_NO_STARTS)} or regexp_matches(bare, '^[一-龥](?:省|自治区|市|自治州|盟|区|县|旗|镇|乡|街道|村|社区)$') or regexp_matches(bare, '^[一-龥]{{2,4}}村村$') or regexp_matches(body, '[{L.PLACE_NO_CHARS}]')
+            or len(list_filter({_list(L.PLACE_LEADS)}, lambda w: starts_with(name, w) and length(name) > length(w))) > 0 or (before <> '' and contains('{L.PLACE_BEFORE}', before))
+            or (starts_with(name, '某') and {_ends('name', ('省', '市', '区', '县', '镇', '乡', '街道'))}) end as is_false from p""",
+    "cleaned_persons": f"""
+        with recursive n as (select c_custkey as k, {_wrap('c_custkey', fixtures.WRAPS, ('张三', '李及', '王·五', '和', '赵六男女', '（钱七'))} as name from customer),
+        b as ({_odd_brackets(f"select k, name, {_STRIP.format('name', _PERSON_MARKS)} as s from n")})
+        select k as c_custkey, name, trim(case when length(s) < 2 then s else s[1] || regexp_replace(substring(s, 2), '[{L.PERSON_TAILS}]+$', '') end) as cleaned from b where i = 60""",
+    "cleaned_organizations": f"""
+        with recursive n as (select c_custkey as k, {_wrap('c_custkey', fixtures.ORG_WRAPS, fixtures.ORG_NAMES)} as name from customer),
+        b as ({_odd_brackets(f"select k, name, trim(name, {_MARKS} || '（）()') as s from n")}),
+        d as (select k, name, trim(regexp_replace(s, '(有限责任公司|股份有限公司|集团有限公司|有限公司)公司$', '\\1'), {_MARKS}) as s from b where i = 60),
+        e as (select k, name, s, 0 as i, len(string_split(s, '（')) = len(string_split(s, '）')) and len(string_split(s, '(')) = len(string_split(s, ')')) as even from d),
+        f as (select k, name, s, 0 as i from e union all select k, name, case when starts_with(s, {_list('（(【[《<')}[i % 6 + 1]) and not ends_with(s, {_list('）)】]》>')}[i % 6 + 1]) then trim(substring(s, 2))
+          when ends_with(s, {_list('）)】]》>')}[i % 6 + 1]) and not starts_with(s, {_list('（(【[《<')}[i % 6 + 1]) then trim(substring(s, 1, length(s) - 1)) else s end, i + 1 from f where i < 60),
+        g as (select e.k, e.name, case when e.even then e.s else f.s end as s from e join f on e.k = f.k where f.i = 60),
+        h as (select k, name, trim(regexp_replace(s, '^(?:{"|".join(L.PARTY_ROLES)})', ''), {_MARKS}) as s from g),
+        j as (select k, name, trim(regexp_replace(s, '^(?:{"|".join(L.NAME_JOINTS)})', ''), {_MARKS}) as s from h),
+        r as (select k, name, s, 0 as i from j union all select k, name, case when {_NARRATED} <> s then trim({_NARRATED}, {_MARKS})
+          when {_JOINED} then trim(regexp_extract(s, '^([一-龥·]{{2,4}})(?:与|和|及)(.+)$', 2), {_MARKS}) else s end, i + 1 from r where i < 12),
+        x as (select k, name, s, regexp_replace(s, '(?:{"|".join(sorted(L.ORG_ENDINGS, key=len, reverse=True))})$', '') as core from r where i = 12)
+        select k as c_custkey, name, case when core = '' or regexp_matches(core, '^名(?:{"|".join(L.PROVINCE_NAMES)})') or regexp_matches(s, '^[一-龥]{{2,12}}(?:市)?分公司$') or s in ('公司', '该公司', '本公司', '分公司') then '' else s end as cleaned from x""",
     "detect_email": _counted(_emails("documents", "doc_id", "text"), "doc_id"),
     "detect_email_pages": _counted(_emails("pages", "page_id", "html"), "page_id"),
     "detect_bank_account": _counted(_banks("documents", "doc_id", "text"), "doc_id"),
@@ -54,8 +151,10 @@ ORACLES: dict[str, str] = {
     "identifier_counts_by_type": f"select type, count(*) as n, count(distinct doc_id) as n_docs from (select 'email' as type, * from ({_emails('documents', 'doc_id', 'text')}) union all select 'bank_account', * from ({_banks('documents', 'doc_id', 'text')})) group by grouping sets ((type), ())",
     "redact_documents": f"""
         with found as (select distinct doc_id, value from (select * from ({_emails('documents', 'doc_id', 'text')}) union all select * from ({_banks('documents', 'doc_id', 'text')}))),
-        lists as (select doc_id, list(value order by length(value) desc, value) as vs from found group by doc_id)
-        select doc_id, len(vs)::INT as n_mappings, sha256(list_reduce(vs, lambda t, v: replace(t, v, '***'), text)) as redacted_sha256, 0 as n_leaks from lists join documents using (doc_id)""",
+        lists as (select doc_id, list(value order by length(value) desc, value) as vs from found group by doc_id),
+        done as (select doc_id, len(vs)::INT as n_mappings, list_reduce(vs, lambda t, v: replace(t, v, '***'), text) as text from lists join documents using (doc_id)),
+        left_over as (select doc_id, count(*) as n from ({_banks('done', 'doc_id', 'text')}) where not contains(value, '***') group by doc_id)
+        select doc_id, n_mappings, sha256(text) as redacted_sha256, coalesce(n, 0)::INT as n_leaks from done left join left_over using (doc_id)""",
     "redact_apply_longest_first": f"select doc_id, sha256({_REPLACED.format('text')}) as redacted_sha256, length({_REPLACED.format('text')})::BIGINT as redacted_chars from documents",
     "restore_roundtrip": "select doc_id, replace(replace(replace(r, '[A]', 'tion'), '[B]', 'the'), '[C]', 'qu') = text as exact, sha256(replace(replace(replace(r, '[A]', 'tion'), '[B]', 'the'), '[C]', 'qu')) as restored_sha256 "
     f"from (select doc_id, text, {_REPLACED.format('text')} as r from documents)",
@@ -64,7 +163,18 @@ ORACLES: dict[str, str] = {
     "html_escape_highlight": "select page_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, 'tion', chr(1)), 'the', chr(2)), 'qu', chr(3)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), "
     "chr(1), '<mark>tion</mark>'), chr(2), '<mark>the</mark>'), chr(3), '<mark>qu</mark>')) as html_sha256 from pages",
     "trace_first_positions": "select page_id, 'qu' as original, len(p)::BIGINT as n, array_to_string(p[1:20], ',') as positions, len(p) > 20 as truncated from (select page_id, list_filter(range(0, length(html)), lambda i: substring(html, i + 1, 2) = 'qu') as p from pages) where len(p) > 0",
-    "signature_lines": "select doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not (starts_with(x, 'The') and length(x) < 30)), chr(10))) as kept_sha256 from documents",
+    "detect_identifiers": f"""
+        with o as (select o_orderkey, {_pick('o_orderkey', 1, [f[0] for f in fixtures.IDENTIFIER_FORMS])} as type, {_pick('o_orderkey', 1, [f[1] for f in fixtures.IDENTIFIER_FORMS])} as form, {_pick('o_orderkey', 1, [f[2] for f in fixtures.IDENTIFIER_FORMS])} as part from orders),
+        v as (select *, case type when 'phone' then '13' || lpad(((o_orderkey * 7919) % 1000000000)::VARCHAR, 9, '0') when 'id_number' then '11010119900307' || lpad(((o_orderkey * 7) % 1000)::VARCHAR, 3, '0') || '5'
+          when 'unified_social_credit_code' then '91130100MA' || lpad(((o_orderkey * 104729) % 100000000)::VARCHAR, 8, '0') when 'bank_account' then '6222' || lpad(o_orderkey::VARCHAR, 15, '0')
+          when 'email' then 'u' || o_orderkey || '@example.com' else o_orderkey::VARCHAR end as value from o),
+        t as (select *, replace(form, '{{}}', value) as whole, replace(part, '{{}}', value) as text from v where part <> '')
+        select o_orderkey, type, text, (instr(whole, text) - 1)::BIGINT as start, 'high' as risk_level, case when type <> 'case_number' then null {" ".join(f"when contains(part, '{k}') then '{v}'" for k, v in fixtures.PROCEDURES.items())} end as procedure from t""",
+    "signature_lines": f"""
+        with t as (select o_orderkey, [{", ".join(_pick('o_orderkey', step, fixtures.LINES) for step in (1, 3, 10, 70))}] as lines from orders),
+        m as (select *, list_transform(lines, lambda x: regexp_replace(regexp_replace(x, '^[\\s\\x{{3000}}]+', ''), '[\\s\\x{{3000}}]+$', '')) as bare from t),
+        k as (select *, len(list_filter(lines, lambda x: regexp_matches(x, '^[\\s\\x{{3000}}]*{_SIGNED}'))) > 0 as signed from m)
+        select o_orderkey, array_to_string(case when signed then list_filter(list_zip(lines, bare), lambda z: not (regexp_matches(z[2], '^{_SIGNED}') or (regexp_matches(z[2], '^{_ROLES}') and length(z[2]) < 30))).list_transform(lambda z: z[1]) else lines end, chr(10)) as kept from k""",
     "candidate_dedupe": """
         with r as (select user_id as doc_id, event_id as ord, event_type as type, strftime(ts, '%Y-%m') as text, 's' || (event_id % 3) as source, value as confidence, event_id % 50 = 0 as needs_review from events)
         select doc_id, type, text, arg_max(ord, (confidence, -ord)) as ord, arg_max(source, (confidence, -ord)) as source, max(confidence) as confidence, bool_or(needs_review) as needs_review,
@@ -87,16 +197,18 @@ ORACLES: dict[str, str] = {
         with c as (select *, substring('张王李赵刘', (c_nationkey % 5 + 1)::INT, 1) as surname from customer),
         o as (select *, row_number() over (partition by c_mktsegment, surname order by c_custkey, c_name) as n from c)
         select c_custkey, c_mktsegment, surname || '某' || case when n <= 10 then substring('甲乙丙丁戊己庚辛壬癸', n::INT, 1) else n::VARCHAR end as masked from o""",
-    "alias_components": f"""
-        with recursive e as (select * from {_literal(fixtures.ALIAS_EDGES, 'map_id, a, b')}), both_ways as (select map_id, a, b from e union select map_id, b, a from e),
+    "alias_components": """
+        with recursive m as (select distinct c_nationkey as map_id, floor(o_totalprice / 50)::BIGINT as bucket, c_custkey as b from orders join customer on o_custkey = c_custkey),
+        e as (select map_id, min(b) over (partition by map_id, bucket) as a, b from m), both_ways as (select map_id, a, b from e union select map_id, b, a from e),
         reach as (select map_id, a as node, a as other from both_ways union select r.map_id, r.node, b.b from reach r join both_ways b on r.map_id = b.map_id and r.other = b.a)
         select map_id, node, min(other) as component from reach group by all""",
     "gold_metrics": _metrics("""
         with e as (select doc_id, lang from labels join documents using (doc_id) where quality = 0), a as (select doc_id, lang from documents where contains(text, '|') and doc_id in (select doc_id from labels)),
         o as (select coalesce(e.lang, a.lang) as type, e.doc_id is not null as isx, a.doc_id is not null as act from e full join a on e.doc_id = a.doc_id)
         select type, count(*) filter (isx and act) as tp, count(*) filter (not isx) as fp, count(*) filter (not act) as fn from o group by grouping sets ((type), ())"""),
-    "identity_errors": f"""
-        with g as (select * from {_literal(fixtures.GOLD_ENTITIES, 'case_id, entity_id, alias_group, masked, do_not_merge')})
+    "identity_errors": """
+        with g as (select l_orderkey as case_id, 'e' || l_linenumber as entity_id, case when l_suppkey % 4 <> 0 then 'g' || (l_suppkey % 4) end as alias_group, 'm' || (l_partkey % 3) as masked,
+          case when l_partkey % 5 <> 0 then ['e' || (l_linenumber % 7 + 1), 'e' || l_linenumber] end as do_not_merge from lineitem)
         select case_id, 'wrong_split' as error, alias_group as what from g where alias_group is not null group by case_id, alias_group having count(distinct masked) > 1
         union all select distinct l.case_id, 'wrong_merge', least(l.entity_id, r.entity_id) || '/' || greatest(l.entity_id, r.entity_id)
         from g l join g r on l.case_id = r.case_id and l.masked = r.masked and l.entity_id <> r.entity_id and list_contains(l.do_not_merge, r.entity_id)""",
@@ -127,11 +239,22 @@ ORACLES: dict[str, str] = {
     "registry_names": """
         with o as (select doc_id, type, name, unnest(list_filter(range(0, length(text)), lambda i: substring(text, i + 1, length(name)) = name)) as i from documents, (values ('person', 'qu'), ('person', 'zzzz'), ('organization', 'tionre')) t(type, name) where contains(text, name))
         select doc_id, type, name, count(*) as n, min(i)::BIGINT as first_start from o group by all""",
-    "repaired_payloads": "select doc_id, case when doc_id % 12 < 6 + length(doc_id::VARCHAR) + 20 then 2 end::BIGINT as n_persons from documents",
-    "division_terms": """
-        select term, code, canonical_name, level, confidence::DOUBLE as confidence from (values ('河北省','130000000000','河北省','province',0.95),('石家庄市','130100000000','石家庄市','city',0.95),('长安区','130102000000','长安区','county',0.95),('建北街道','130102001000','建北街道','township',0.95),
-        ('棉一社区居委会','130102001001','棉一社区居委会','village',0.95),('广东省','440000000000','广东省','province',0.95),('深圳市','440300000000','深圳市','city',0.95),('广西壮族自治区','450000000000','广西壮族自治区','province',0.95),
-        ('河北','130000000000','河北省','province',0.85),('石家庄','130100000000','石家庄市','city',0.85),('广东','440000000000','广东省','province',0.85),('深圳','440300000000','深圳市','city',0.85),('广西','450000000000','广西壮族自治区','province',0.85))
-        t(term, code, canonical_name, level, confidence)""",
-    "top_of_map": "select p_partkey, type, row_number() over (partition by type order by -length(original), original, p_partkey) as place from (select p_partkey, ['person', 'project', 'location', 'organization'][(p_size % 4 + 1)::INT] as type, p_name as original from part)",
+    "repaired_payloads": """
+        with w as (select o_orderkey, 'note {"persons": [' || case when o_orderkey % 5 = 0 then '' else array_to_string(list_transform(range(1, o_orderkey % 5 + 1), lambda i: '"p' || i || '"'), ', ') end || '], "organizations": ["o' || o_orderkey || '"]}' as whole from orders),
+        c as (select o_orderkey, substring(whole, 1, ((o_orderkey * 7) % length(whole) + 1)::INT) as cut from w), n as (select *, length(cut) - length(replace(cut, ',', '')) as commas from c)
+        select o_orderkey, (case when contains(cut, ']') then o_orderkey % 5 when commas > 0 then commas end)::BIGINT as n_persons from n""",
+    "division_terms": f"""
+        with recursive r as (select c_custkey as k, c_custkey % 5 as l, lpad((c_custkey // 5 % 3 + 11)::VARCHAR, 2, '0') as p, lpad((c_custkey // 15 % 4 + 1)::VARCHAR, 2, '0') as c, lpad((c_custkey // 60 % 3 + 1)::VARCHAR, 2, '0') as d,
+          lpad((c_custkey // 5 % 4 + 1)::VARCHAR, 3, '0') as t, lpad((c_custkey // 10 % 3 + 1)::VARCHAR, 3, '0') as v, {_pick('c_custkey', 5, fixtures.DIVISION_CORES)} || {_list(fixtures.DIVISION_ENDS)}[(c_custkey % 5 * 4 + c_custkey // 40 % 4 + 1)::INT] as name from customer),
+        q as (select *, rpad(p || case when l >= 1 then c else '' end || case when l >= 2 then d else '' end || case when l >= 3 then t else '' end || case when l >= 4 then v else '' end, 12, '0') as code,
+          case l when 0 then '' else rpad(p || case when l >= 2 then c else '' end || case when l >= 3 then d else '' end || case when l >= 4 then t else '' end, 12, '0') end as parent from r),
+        u as (select *, ['province', 'city', 'county', 'township', 'village'][l + 1] as level from (select *, row_number() over (partition by code order by k) as n from q) where n = 1),
+        f as (select code, name, level, l, name as whole from u where parent not in (select code from u) union all select u.code, u.name, u.level, u.l, f.whole || u.name from u join f on u.parent = f.code),
+        e as (select case when whole = name or level <> 'township' then whole end as term, code, whole as canonical_name, level, 0.98 as confidence from f union all select name, code, whole, level, 0.92 from f
+          union all select regexp_extract(name, case level when 'province' then '^(.{{2,}})(?:省|自治区|特别行政区)$' when 'city' then '^(.{{2,}})市$' else '^(.{{2,}})[区县市旗]$' end, 1), code, whole, level, 0.9 from f where level in ('province', 'city', 'county')),
+        b as (select *, row_number() over (partition by term order by confidence desc, code) as n from e where length(term) >= 2 and not list_contains({_list(_GENERIC)}, term))
+        select term, code, canonical_name, level, case when level = 'village' or regexp_matches(term, '(?:村民委员会|居民委员会|村委会|居委会)$') then 'grassroots_org' else 'location' end as entity_type, confidence::DOUBLE as confidence from b where n = 1""",
+    "top_of_map": """
+        with t as (select p_partkey, ['person', 'project', 'location', 'organization'][(p_size % 4 + 1)::INT] as type, p_name as original from part)
+        select p_partkey, type, row_number() over (partition by p_partkey % 10 order by case type when 'organization' then 0 when 'location' then 1 when 'person' then 2 when 'project' then 3 end, -length(original), original, p_partkey) as place from t""",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions import cleaners, identifiers, rejects
 from inkveil.functions.ordinals import ordinal_text
 from inkveil.operators import audit, candidates, components, detect, evaluation, gazetteer, postprocess, pseudonyms, registry, replace, reports, samples
 from inkveil.plans import fixtures
@@ -88,10 +89,42 @@ def trace_first_positions(spark, sf_dir):
     return found.select("page_id", "original", F.col("n").cast("bigint").alias("n"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "truncated")
 
 
+def detect_identifiers(spark, sf_dir):
+    """Every detector over texts of every form, with labels, neighbours that forbid a match, and odd characters."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", fixtures.identifier_text(F.col("o_orderkey")).alias("text"))
+    return detect.detect(docs, "o_orderkey").select("o_orderkey", "type", "text", F.col("start").cast("bigint").alias("start"), "risk_level", "procedure")
+
+
 def signature_lines(spark, sf_dir):
-    """The signature stripper's rule on tables without signatures: lines that begin with a word and are short go."""
-    lines = F.filter(F.split("text", "\n"), lambda x: ~(x.startswith("The") & (F.length(x) < 30)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("kept_sha256"))
+    """Texts of four lines, signatures of court personnel among them."""
+    text = fixtures.signed_text(F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", identifiers.strip_court_signatures(text).alias("kept"))
+
+
+def false_persons(spark, sf_dir):
+    """Names made of surnames, given names and every word of the stop list, one for each order."""
+    name = fixtures.person_names(F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), rejects.is_false_person(name).alias("is_false"))
+
+
+def false_organizations(spark, sf_dir):
+    name = fixtures.organization_names(F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), rejects.is_false_organization(name).alias("is_false"))
+
+
+def false_places(spark, sf_dir):
+    name, before = fixtures.place_names(F.col("o_orderkey")), fixtures.place_fronts(F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), before.alias("before"), rejects.is_false_place(name, before).alias("is_false"))
+
+
+def cleaned_persons(spark, sf_dir):
+    name = fixtures.captured_persons(F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), cleaners.clean_person(name).alias("cleaned"))
+
+
+def cleaned_organizations(spark, sf_dir):
+    name = fixtures.captured_organizations(F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), cleaners.clean_organization(name).alias("cleaned"))
 
 
 def candidate_dedupe(spark, sf_dir):
@@ -134,8 +167,11 @@ def ordinal_masks_per_key(spark, sf_dir):
 
 
 def alias_components(spark, sf_dir):
-    """Customers of one nation linked by order totals that round to the same hundred thousand."""
-    edges = fixtures.alias_edges(spark)
+    """Customers of one nation linked by orders whose totals lie in the same fifty."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.floor(F.col("o_totalprice") / 50).alias("bucket"))
+    members = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").distinct()
+    hubs = members.groupBy("c_nationkey", "bucket").agg(F.min("c_custkey").alias("a"))
+    edges = members.join(hubs, ["c_nationkey", "bucket"]).select(F.col("c_nationkey").alias("map_id"), "a", F.col("c_custkey").alias("b"))
     return components.alias_components(edges)
 
 
@@ -148,7 +184,13 @@ def gold_metrics(spark, sf_dir):
 
 
 def identity_errors(spark, sf_dir):
-    rows = fixtures.gold_entities(spark)
+    """Order lines as the entities of their order, some of which must not be merged."""
+    lines = table(spark, sf_dir, "lineitem")
+    name = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    rows = lines.select(
+        F.col("l_orderkey").alias("case_id"), name("e", F.col("l_linenumber")).alias("entity_id"), F.when(F.col("l_suppkey") % 4 != 0, name("g", F.col("l_suppkey") % 4)).alias("alias_group"),
+        name("m", F.col("l_partkey") % 3).alias("masked"), F.when(F.col("l_partkey") % 5 != 0, F.array(name("e", F.col("l_linenumber") % 7 + 1), name("e", F.col("l_linenumber")))).alias("do_not_merge"),
+    )
     split = evaluation.wrong_splits(rows).select("case_id", F.lit("wrong_split").alias("error"), F.col("alias_group").alias("what"))
     merge = evaluation.wrong_merges(rows).select("case_id", F.lit("wrong_merge").alias("error"), F.concat_ws("/", "left_id", "right_id").alias("what"))
     return split.unionByName(merge)
@@ -224,30 +266,29 @@ def registry_names(spark, sf_dir):
 
 
 def repaired_payloads(spark, sf_dir):
-    """Documents' payloads cut off at a place that depends on the document, repaired where that can be done."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    whole = F.concat(F.lit('note {"persons": ["p1", "p2"], "organizations": ["o'), F.col("doc_id").cast("string"), F.lit('"]}'))
-    cut = F.substring(whole, F.lit(1), (F.length(whole) - F.col("doc_id") % 12).cast("int"))
-    return docs.select("doc_id", F.size(F.from_json(registry.complete_object(cut), registry.PAYLOAD)["persons"]).cast("bigint").alias("n_persons"))
+    """Payloads of some persons, broken off at a place that depends on the key, repaired where that can be done."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", fixtures.payload(F.col("o_orderkey")).alias("payload"))
+    return orders.select("o_orderkey", F.size(F.from_json(registry.complete_object("payload"), registry.PAYLOAD)["persons"]).cast("bigint").alias("n_persons"))
 
 
 def division_terms(spark, sf_dir):
-    rows = fixtures.division_rows(spark)
-    return gazetteer.terms(gazetteer.divisions(rows)).select("term", "code", "canonical_name", "level", "confidence")
+    """Terms of a gazetteer whose codes, levels and names come from customers' keys."""
+    rows = table(spark, sf_dir, "customer").select(*(c.alias(n) for n, c in fixtures.divisions(F.col("c_custkey")).items()), F.col("c_custkey").alias("ord"))
+    return gazetteer.terms(gazetteer.full_names(gazetteer.divisions(rows)))
 
 
 def top_of_map(spark, sf_dir):
     """Map order: kinds, longest original first, original."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, ("person", "project", "location", "organization"))), (F.pmod("p_size", F.lit(4)) + 1).cast("int")).alias("type"), F.col("p_name").alias("original"))
-    order = Window.partitionBy("type").orderBy(-F.length("original"), "original", "p_partkey")
+    order = Window.partitionBy(F.col("p_partkey") % 10).orderBy(*pseudonyms.map_order(F.col("type"), F.col("original")), "p_partkey")
     return parts.withColumn("place", F.row_number().over(order).cast("bigint")).select("p_partkey", "type", "place")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, redact_documents, redact_apply_longest_first, restore_roundtrip,
-        placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
+        detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
+        placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest,
         recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map,
     )
