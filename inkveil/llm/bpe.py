@@ -6,7 +6,8 @@ Two facts about the supported vocabularies make parts of a text independent of o
   a character other than white space (:class:`SpaceSegments`);
 * BPE with word ends drops white space, so white-space separated words are independent (:class:`Words`).
 
-Memos are bounded per Python worker: of two generations, the older one goes when the younger one is full.
+Memos are bounded by bytes and stay with a Python worker from task to task: of two generations, the older one goes when
+the younger one is full.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer, normalizers
 
-MEMO_ENTRIES = 400_000
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 200  # of a key, its value and its place in the table, besides what they hold
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value of the byte-level pre-tokeniser
 _SAFE_CUT = re.compile(r"(?<=\S) ")
 
@@ -44,26 +46,44 @@ def _pack(ids: Iterable[int]) -> bytes:
 class Memo(dict):
     """The younger generation; :meth:`missing` brings back what the older one still has."""
 
-    def __init__(self, entries: int = MEMO_ENTRIES):
+    def __init__(self, most_bytes: int = MEMO_BYTES):
         super().__init__()
-        self.entries, self.older = entries, {}
+        self.most_bytes, self.held, self.older = most_bytes, 0, {}
 
-    def missing(self, wanted: set) -> list:
+    def put(self, pairs: Iterable[tuple]) -> None:
+        for key, value in pairs:
+            self[key] = value
+            self.held += ENTRY_BYTES + len(key) + (sum(map(len, value)) if isinstance(value, tuple) else len(value or b""))
+
+    def missing(self, wanted: Iterable) -> list:
         """Those of ``wanted`` that must be computed; the others are in the younger generation afterwards."""
-        lost = [w for w in wanted if w not in self]
-        if len(self) + len(lost) > self.entries:
-            self.older = dict(self)
+        if self.held > self.most_bytes:
+            self.older, self.held = dict(self), 0
             self.clear()
-            lost = list(wanted)
-        older, out = self.older, []
-        for w in lost:
-            if (known := older.get(w)) is None:
-                out.append(w)
+        older, out, again = self.older, [], []
+        for w in wanted:
+            if w in self:
+                continue
+            if w in older:
+                again.append((w, older[w]))
             else:
-                self[w] = known
+                out.append(w)
+        self.put(again)
         return out
 
 
+_KEPT: dict[tuple[type, str], object] = {}
+
+
+def kept_in_worker(kind: type, config: str):
+    """One object of a kind for each worker, with its memos; another vocabulary takes its place."""
+    if (kind, config) not in _KEPT:
+        for key in [k for k in _KEPT if k[0] is kind]:
+            del _KEPT[key]
+        _KEPT[kind, config] = kind(config)
+    return _KEPT[kind, config]
+
+
 def _ranks(config: dict) -> dict[bytes, int] | None:
     """The vocabulary as byte ranks, if its ids are in the order of its merges (then the lowest id merges first)."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -109,10 +129,10 @@ class SpaceSegments:
             ids = self._ids(" " + " ".join(block))
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) != len(block):
-                self.memo.update(zip(block, self._encode([" " + s for s in block]), strict=True))
+                self.memo.put(zip(block, self._encode([" " + s for s in block]), strict=True))
                 continue
             raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
-            self.memo.update((s, raw[a:b]) for s, a, b in zip(block, (cuts * 4).tolist(), ends, strict=True))
+            self.memo.put((s, raw[a:b]) for s, a, b in zip(block, (cuts * 4).tolist(), ends, strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """What encoding each whole text gives, special tokens in the text included.
@@ -174,22 +194,22 @@ class Words:
                 other.append(w)
         stems = {part for pair in simple.values() for part in pair}
         known = {s: self.memo[s] for s in stems if s in self.memo} | {b"": b""}
-        self._learn(self.lower, [s for s in stems if s not in known], known)
-        self.memo.update((w, known[stem] + known[mark]) for w, (stem, mark) in simple.items())
-        self._learn(self.tok, other, self.memo)
+        known.update(self._encoded(self.lower, [s for s in stems if s not in known]))
+        self.memo.put((w, known[stem] + known[mark]) for w, (stem, mark) in simple.items())
+        self.memo.put(self._encoded(self.tok, other))
 
-    def _learn(self, tok: Tokenizer, words: list[bytes], into: dict[bytes, bytes]) -> None:
+    def _encoded(self, tok: Tokenizer, words: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
         for lo in range(0, len(words), 2048):
             block = words[lo : lo + 2048]
             ids = np.asarray(tok.encode(b" \0 ".join(block).decode(), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else ids[:0]
             if len(cuts) != len(block) - 1:  # a word holds the separator itself
                 got = self.tok.encode_batch([w.decode() for w in block], add_special_tokens=False)
-                into.update((w, _pack(e.ids)) for w, e in zip(block, got, strict=True))
+                yield from ((w, _pack(e.ids)) for w, e in zip(block, got, strict=True))
                 continue
             raw = ids.tobytes()
             begins, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
-            into.update((w, raw[a:b]) for w, a, b in zip(block, begins, ends, strict=True))
+            yield from ((w, raw[a:b]) for w, a, b in zip(block, begins, ends, strict=True))
 
     def decode(self, ids: bytes) -> bytes:
         """The library's ``decode`` of packed ids for a vocabulary without a decoder: its tokens, space-joined."""

@@ -1,7 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes cuts every text where its content says so, so that passages which documents share fall
-into the same chunks wherever they stand. A task encodes a chunk once and keeps it in a bounded memo; the words that a
+into the same chunks wherever they stand. A worker encodes a chunk once and keeps it in a memo of bounded bytes, from
+task to task; the words that a
 cut went through are encoded again from the last white space before the cut to the next one after it (over as many
 chunks as that takes), where both sides agree exactly with the encoding of the whole text, since the vocabulary's
 pre-tokeniser drops white space and never joins across it. Within a new chunk, known words come from a second memo.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkveil.llm.arrow_text import slices, text_bytes
-from inkveil.llm.bpe import Words, read_vocabulary
+from inkveil.llm.bpe import Memo, Words, kept_in_worker, read_vocabulary
 
 CHUNK_BITS = 9  # a cut every 2**9 bytes on average
 WINDOW = 8
@@ -42,8 +43,7 @@ class ChunkEncoder:
 
     def __init__(self, config: str, bits: int = CHUNK_BITS):
         self.words, self.bits = Words(config), bits
-        self.memo: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
-        self.held = 0
+        self.memo = Memo(CHUNK_MEMO_BYTES)  # (head, ids, tail) of a chunk, or None if it is part of a word
 
     def _parts(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
         """The word that may go on from before, the whole words, and the word that may go on after; None if there is no cut."""
@@ -63,10 +63,7 @@ class ChunkEncoder:
         for a, b, lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), lows.tolist(), highs.tolist(), strict=True):
             cuts = [a, *points[lo:hi].tolist(), b]  # no window reaches into another text
             documents.append([data[p:q] for p, q in zip(cuts[:-1], cuts[1:], strict=True)] if b > a else [])
-        if self.held > CHUNK_MEMO_BYTES:
-            self.memo.clear()
-            self.held = 0
-        fresh = {c: self._parts(c) for c in {c for chunks in documents for c in chunks if c not in self.memo}}
+        fresh = {c: self._parts(c) for c in self.memo.missing({c for chunks in documents for c in chunks})}
         wanted: set[bytes] = set()
         for parts in fresh.values():
             if parts:
@@ -92,9 +89,7 @@ class ChunkEncoder:
             joins.append(line)
         self.words.learn(wanted)
         known = self.words.memo
-        for c, parts in fresh.items():
-            self.memo[c] = parts and (parts[0], b"".join([known[w] for w in parts[1]]), parts[2])
-            self.held += 3 * len(c) + 200
+        self.memo.put((c, parts and (parts[0], b"".join([known[w] for w in parts[1]]), parts[2])) for c, parts in fresh.items())
         return [b"".join([known[x[0]] if type(x) is tuple else self.memo[x][1] for x in line]) for line in joins]
 
 
@@ -108,7 +103,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids binary, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(config)
+        encoder = kept_in_worker(ChunkEncoder, config)
         for batch in slices(batches, text_col):
             ids = encoder.encode(*text_bytes(batch.column(text_col)))
             yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from inkveil.llm.arrow_text import slices
-from inkveil.llm.bpe import SpaceSegments, read_vocabulary
+from inkveil.llm.bpe import SpaceSegments, kept_in_worker, read_vocabulary
 
 CAPACITY = 1024
 OPEN_BINS = 8192
@@ -82,7 +82,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = SpaceSegments(config), OpenBins(capacity, open_bins)
+        encoder, bins = kept_in_worker(SpaceSegments, config), OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 33
         for batch in slices(batches, text_col):
             ids = batch.column(id_col)
