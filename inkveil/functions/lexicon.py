@@ -127,3 +127,20 @@ PLACE_NO_WORDS = (
 )
 #: What may stand before a place without being part of it; longer ones first.
 PLACE_LEADS = ("涉及所辖", "涉及", "所辖", "各县", "各", "全", "将", "及", "涉", "除特殊企业及", "除", "等", "本", "该", "此", "上", "前", "后", "下")
+
+#: Cities that companies are called after, without their suffix; the longest first.
+CITY_NAMES = (
+    "呼和浩特", "乌鲁木齐", "石家庄", "哈尔滨", "内蒙古", "北京", "上海", "天津", "重庆", "太原", "沈阳", "长春", "南京", "杭州", "合肥", "福州", "南昌", "济南", "郑州", "武汉", "长沙",
+    "广州", "南宁", "海口", "成都", "贵阳", "昆明", "拉萨", "西安", "兰州", "西宁", "银川", "大连", "青岛", "宁波", "厦门", "深圳", "苏州", "无锡", "佛山", "东莞", "珠海", "中山", "惠州",
+    "温州", "绍兴", "嘉兴", "徐州", "南通", "常州", "烟台", "潍坊", "洛阳", "唐山", "邯郸", "保定", "广西", "西藏", "宁夏", "新疆", "延边",
+)
+INDUSTRY_STARTS = ("建设", "建筑", "装饰", "安装", "工程", "电力", "新能源")
+OUTLETS = ("经营部", "安装部", "安装队", "经销处", "合作社", "商行", "工作室", "厂", "店")
+#: Shapes of an organization's whole name, and words that tie two names to one company.
+ORGANIZATION = (
+    r"(?:^|(?<=[\s，,。；;：:、（(与和及由向对给找]))[一-龥A-Za-z0-9（）()·]{2,45}?"
+    r"(?:有限责任公司|股份有限公司|集团有限公司|有限公司|律师事务所|会计师事务所|保险公司|商业银行|幼儿园|公司|集团|银行)"
+    r"(?:[一-龥A-Za-z0-9·]{1,20}(?:分行|支行|分公司|营业部))?"
+    r"|(?:^|(?<=[\s，,。；;：:、（(与和及由向对给找]))[一-龥A-Za-z0-9（）()·]{4,45}(?:医院|学校|人民法院|人民检察院|公安局|税务局)"
+)
+SAME_COMPANY = "后更名为|更名为|变更为|改名为|原名称|原名|曾用名|原公司名称|原为|原系|现名称|现名|以下简称|简称为|简称|下称"

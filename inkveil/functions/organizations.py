@@ -81,7 +81,8 @@ def alias_cores(name: Column) -> Column:
 def explicit_aliases(text: Column, name: Column) -> Column:
     """Names that a text gives to an organization in the clause after a mention: former names and short forms."""
     quote_marks = "[“\"'「『（(]?"
-    clause = F.concat(F.lit(r"\Q"), name, F.lit(r"\E((?:[（(][^）)]*[）)])?(?![与及和])[^。！？；]{0,120})"))
+    called = r"(?<!(?:简称|简称为|下称)\s{0,9})"  # what a text calls something by has no clause of its own
+    clause = F.concat(F.lit(called + r"\Q"), name, F.lit(r"\E((?:[（(][^）)]*[）)])?+(?:(?![与及和])[^。！？；]{0,120})?)"))
     clauses = F.regexp_extract_all(text, clause, F.lit(1))
     found = F.transform(clauses, lambda c: F.array(F.regexp_extract(c, f"{_NAMED}\\s*{quote_marks}\\s*([一-龥A-Za-z0-9·]{{2,20}})", 1), F.regexp_extract(c, f"(?:原名称|原名|曾用名|原公司名称|原为|原系)\\s*[：:为]?\\s*([一-龥A-Za-z0-9·]{{2,45}}?{_LEGAL})", 1)))
     return F.array_distinct(F.filter(F.flatten(found), lambda a: (a != "") & (a != name)))

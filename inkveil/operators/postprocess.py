@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions.noise import is_company_variant, is_noise_entity, is_noise_project
 from inkveil.functions.organizations import alias_cores, canonical_score
 from inkveil.functions.rejects import is_false_organization, is_false_person, is_false_place
 from inkveil.functions.spans import occurrences
@@ -66,6 +67,31 @@ def without_noise(mappings: DataFrame) -> DataFrame:
     return mappings.where(~noise)
 
 
+def without_noise_names(mappings: DataFrame) -> DataFrame:
+    """Mappings whose original is no clause, document or figure, and for organizations and projects can be such a name."""
+    name = F.coalesce("original", F.lit(""))
+    organization = F.col("type").isin("organization", "individual_business")
+    return mappings.where(~is_noise_entity(name) & (~organization | is_company_variant(name)) & ((F.col("type") != "project") | ~is_noise_project(name)))
+
+
+SAMPLED = "sample_library:"
+SAMPLED_TYPES = ("organization", "individual_business", "location", "grassroots_org", "person", "project")
+
+
+def inside_trusted_samples(docs: DataFrame, mappings: DataFrame, id_col: str = "doc_id", text_col: str = "text", on: str | None = None) -> DataFrame:
+    """(id, original) of found mappings (with source) that occur only within names of the sample library, and of places
+    each of whose occurrences holds two such names or more."""
+    sampled = F.col("source").startswith(SAMPLED)
+    trusted = mapping_occurrences(docs, mappings.where(sampled & F.col("type").isin(*SAMPLED_TYPES)), id_col, text_col, on)
+    found = mapping_occurrences(docs, mappings.where(~F.coalesce(sampled, F.lit(False))), id_col, text_col, on)
+    inside = inside_only(found, trusted, id_col)
+    names = trusted.select(id_col, F.col("original").alias("name"), F.col("start").alias("s"), F.col("end").alias("e"))
+    places = found.where(F.col("type").isin("location", "grassroots_org"))
+    held = places.join(names, id_col, "left").withColumn("held", (F.col("s") >= F.col("start")) & (F.col("e") <= F.col("end")) & (F.col("name") != F.col("original")))
+    each = held.groupBy(id_col, "original", "start").agg(F.count_distinct(F.when(F.col("held"), F.col("name"))).alias("n"))
+    return inside.unionByName(each.groupBy(id_col, "original").agg(F.min("n").alias("n")).where("n >= 2").select(id_col, "original")).distinct()
+
+
 def alias_edges(mappings: DataFrame, key: str = "map_id") -> DataFrame:
     """(key, a, b): links of organizations of one map that share an alias core and may be merged, connected like all pairs.
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.ordinals import ordinal_text
-from inkveil.functions.organizations import brand, company_body, industry, institution_mask, simple_legal_suffix
-from inkveil.functions.places import location_core, location_suffix
+from inkveil.functions.places import is_compound_path, location_core, location_suffix, masked_part, path_parts
 
 PROJECT_SUFFIXES = ("工程", "项目")
 
@@ -31,10 +30,21 @@ def mask_persons(persons: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def mask_locations(places: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Places (id, ord, text) masked as the ordinal of their core and their suffix; a core and its full form share it."""
-    cored = places.withColumn("core", location_core(F.col("text")))
-    numbered = ordinals(cored, [id_col], "core", "ord")
-    return numbered.select(id_col, "ord", F.lit("location").alias("type"), F.col("text").alias("original"), F.concat(ordinal_text(F.col("ordinal")), location_suffix(F.col("text"))).alias("masked"))
+    """Places (id, ord, text) masked as the ordinal of their core and their suffix, and their cores likewise; a core and its
+    full form share the ordinal. Paths of several levels are masked level by level, and stay when they are none."""
+    path = F.filter(path_parts(F.col("text")), lambda p: p.isNotNull())
+    rows = places.withColumns({"compound": is_compound_path(F.col("text")) | (F.size(path) > 1), "parts": path})
+    pieces = rows.withColumn("pieces", F.when(F.col("compound"), F.col("parts")).otherwise(F.array("text"))).select(id_col, "ord", "text", "compound", F.posexplode("pieces").alias("nth", "piece"))
+    cored = pieces.withColumns({"core": location_core(F.col("piece")), "at": F.struct("ord", "nth")}).where(F.col("compound") | (F.length("core") >= 2))
+    numbered = ordinals(cored, [id_col], "core", "at").withColumn("prefix", ordinal_text(F.col("ordinal")))
+    shown = F.when(F.col("compound"), masked_part(F.col("piece"), F.col("prefix"))).otherwise(F.concat("prefix", location_suffix(F.col("piece"))))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", shown.alias("m")))), lambda x: x["m"]), "")
+    whole = numbered.groupBy(id_col, "ord", "text", "compound").agg(joined.alias("masked"), F.max("core").alias("core"))
+    bare = F.when(~F.col("compound"), F.col("core")).when(F.col("text").endswith("省"), F.regexp_replace("text", "省$", ""))
+    both = F.array(F.struct(F.lit(0).alias("nth"), F.col("text").alias("original")), F.struct(F.lit(1).alias("nth"), bare.alias("original")))
+    every = whole.select(id_col, "ord", "masked", F.explode(both).alias("o")).where("o.original IS NOT NULL AND o.original <> ''")
+    first = every.groupBy(id_col, "o.original").agg(F.min_by(F.struct("ord", "masked"), F.struct("ord", "o.nth")).alias("f"))
+    return first.select(id_col, "f.ord", F.lit("location").alias("type"), "original", "f.masked").where("original <> masked")
 
 
 def mask_projects(projects: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -44,21 +54,6 @@ def mask_projects(projects: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return numbered.select(id_col, "ord", F.lit("project").alias("type"), F.col("text").alias("original"), F.concat(ordinal_text(F.col("ordinal")), kind).alias("masked"))
 
 
-def mask_organizations(organizations: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Organizations (id, ord, text, entity) with their masks.
-
-    An institution keeps its first character and kind. A company is masked as the ordinal of its subject, its industry if
-    the name states one, and a generic legal form; the subject is the recognised entity, else the brand.
-    """
-    own = F.coalesce("entity", brand(F.col("text")), "text")
-    companies = organizations.withColumns({"institution": institution_mask(F.col("text")), "subject": own})
-    numbered = ordinals(companies.where("institution IS NULL"), [id_col], "subject", "ord")
-    mask = F.concat(ordinal_text(F.col("ordinal")), industry(company_body(F.col("text"))), simple_legal_suffix(F.col("text")))
-    masked = numbered.withColumn("masked", mask).select(id_col, "ord", "text", "masked")
-    every = masked.unionByName(companies.where("institution IS NOT NULL").select(id_col, "ord", "text", F.col("institution").alias("masked")))
-    return every.select(id_col, "ord", F.lit("organization").alias("type"), F.col("text").alias("original"), "masked")
-
-
 #: Fixed order of mapping types in a map.
 TYPE_ORDER = {"organization": 0, "location": 1, "person": 2, "project": 3}
 

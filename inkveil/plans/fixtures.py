@@ -130,3 +130,17 @@ def payload(key: Column) -> Column:
     persons = F.when(key % 5 == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(key % 5, F.lit(1))), lambda i: F.concat(F.lit('"p'), i.cast("string"), F.lit('"'))), ", "))
     whole = F.concat(F.lit('note {"persons": ['), persons, F.lit('], "organizations": ["o'), key.cast("string"), F.lit('"]}'))
     return F.substring(whole, F.lit(1), (F.pmod(key * 7, F.length(whole)) + 1).cast("int"))
+
+
+NAME_STARTS = ("", "原告", "12#", "张三提交", "某人无权代表", "河北", "（", "否认其与", "案涉工程续建由", "甲与")
+NAME_BODIES = ("甲乙", "星河建设", "合同一", "综合楼", "二期装修", "长江", "3号", "华夏", "价鉴", "本", "红星", "石家庄市长安区中山东路第一")
+NAME_ENDS = ("公司", "工程", "项目", "科技有限公司", "银行", "砖厂", "经营部", "花园", "判决书", "", "系关联公司", "报价单项目", "分行", "有限公司北京分公司")
+COMPANIES = ("河北星河建设有限公司", "北京星河科技有限公司", "星河建设公司", "金杜律师事务所", "江苏载道电力工程有限公司", "载道公司", "泽新经销处", "严重违反公司", "广东省人民医院")
+
+
+def proposed_name(key: Column) -> Column:
+    return _composed(key, NAME_STARTS, NAME_BODIES, NAME_ENDS)
+
+
+def company_text(key: Column) -> Column:
+    return F.concat(_picked(key, 1, COMPANIES), F.lit("（以下简称简称甲）与"), _picked(key, 9, COMPANIES), F.lit("签订合同，"), _picked(key, 2, COMPANIES), F.lit("公司不服。"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkveil.functions import lexicon as L
+from inkveil.functions import noise as N
 from inkveil.plans import fixtures
 
 _EMAIL = r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?:[^A-Za-z0-9._%+-]|$)"
@@ -101,6 +102,8 @@ _ROLES = "(?:审判长|审判员|代理审判员|人民陪审员|法官助理|
 _SIGNED = _ROLES + r"[\s\x{3000}：:]*[一-龥·\s\x{3000}]{2,20}$"
 _GENERIC = ("省", "市", "区", "县", "镇", "乡", "街道", "社区", "村", "市辖区", "村村民委员会", "村村委会", "社区居民委员会", "社区居委会")
 
+_SQL_ACTION, _SQL_RELATION, _SQL_FALSE = N.ACTION_CLAUSE, N.RELATION_CLAUSE, N.FALSE_CLAUSE
+
 ORACLES: dict[str, str] = {
     "false_persons": f"""
         with n as (select o_orderkey, {_compose('o_orderkey', fixtures.SURNAMES, fixtures.GIVEN)} as name from orders)
@@ -126,6 +129,19 @@ ORACLES: dict[str, str] = {
             or {_begins('name', L.PLACE_NO_STARTS)} or regexp_matches(bare, '^[一-龥](?:省|自治区|市|自治州|盟|区|县|旗|镇|乡|街道|村|社区)$') or regexp_matches(bare, '^[一-龥]{{2,4}}村村$') or regexp_matches(body, '[{L.PLACE_NO_CHARS}]')
             or len(list_filter({_list(L.PLACE_LEADS)}, lambda w: starts_with(name, w) and length(name) > length(w))) > 0 or (before <> '' and contains('{L.PLACE_BEFORE}', before))
             or (starts_with(name, '某') and {_ends('name', ('省', '市', '区', '县', '镇', '乡', '街道'))}) end as is_false from p""",
+    "proposed_names": f"""
+        with n as (select o_orderkey, {_compose('o_orderkey', fixtures.NAME_STARTS, fixtures.NAME_BODIES, fixtures.NAME_ENDS)} as name from orders),
+        b as (select *, trim(regexp_replace(name, '[　]', ' ', 'g')) as bare, regexp_replace(regexp_replace(name, '{N.CONTRACT}', '', 'g'), '[\\s，,、；;：:的之与和及]', '', 'g') as rest, '(?:有限责任公司|股份有限公司|集团有限公司|有限公司|公司|集团)$' as ends from n),
+        e as (select *, bare = '' or regexp_matches(bare, '{N.DOCUMENT_NAME}')
+          or (regexp_matches(bare, '(?:有限责任公司|股份有限公司|集团有限公司|有限公司|公司|集团|银行)$') and ((contains(bare, '代表') and not starts_with(bare, '法定代表人') and not starts_with(bare, '诉讼代表人')) or (length(bare) > 12 and regexp_matches(bare, '{N.WRAPPING_WORDS}'))))
+          or regexp_matches(bare, '{_SQL_ACTION}') or regexp_matches(bare, '{_SQL_RELATION}') or (regexp_matches(bare, '{N.CONTRACT}') and length(rest) <= 4) or regexp_matches(bare, '{_SQL_FALSE}') as noise_entity from b),
+        w as (select *, regexp_extract(bare, '^(?:[一-龥A-Za-z0-9（）()·]{{2,45}}?(?:有限责任公司|股份有限公司|集团有限公司|有限公司|律师事务所|会计师事务所|保险公司|商业银行|幼儿园|公司|集团|银行)(?:[一-龥A-Za-z0-9·]{{1,20}}(?:分行|支行|分公司|营业部))?|[一-龥A-Za-z0-9（）()·]{{4,45}}(?:医院|学校|人民法院|人民检察院|公安局|税务局))') as whole,
+          not regexp_matches(bare, '{N.CAPTURE_NOISE}') and length(bare) >= 4 as captured from e)
+        select o_orderkey, name, noise_entity,
+          length(bare) < 3 or regexp_matches(bare, '{N.PROJECT_PAPER}') or not regexp_matches(bare, '(?:{"|".join(N.PROJECT_ENDS)})$') or regexp_matches(bare, '{N.PROJECT_NUMBER}') or list_contains({_list(N.BARE_PROJECTS)}, bare) or regexp_matches(bare, '{N.GENERIC_PROJECT}') as noise_project,
+          not (bare = '' or bare <> trim(bare, ' ：:，,。；;、"“”‘’（）()[]【】') or noise_entity or regexp_matches(bare, '{N.ROLE_START}') or list_contains({_list(N.GENERIC_SURFACES)}, bare) or regexp_matches(bare, '{N.CLAUSE_START}') or regexp_matches(bare, '{N.INVALID_VARIANT}'))
+          and case when bare <> '' and whole = bare then captured when regexp_matches(bare, ends) then case when regexp_matches(bare, '[（(]') then captured else length(bare) <= 10 end when regexp_matches(bare, '(?:{"|".join(N.FACTORIES)})$') then length(bare) >= 4
+            when regexp_matches(bare, '(?:银行|分行|支行|律所)$') then length(bare) <= 12 when regexp_matches(bare, '(?:{"|".join(N.NAMED_OUTLETS)})$') then length(bare) >= 4 else length(bare) between 2 and 8 end as company_variant from w""",
     "cleaned_persons": f"""
         with recursive n as (select c_custkey as k, {_wrap('c_custkey', fixtures.WRAPS, ('张三', '李及', '王·五', '和', '赵六男女', '（钱七'))} as name from customer),
         b as ({_odd_brackets(f"select k, name, {_STRIP.format('name', _PERSON_MARKS)} as s from n")})

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions import cleaners, identifiers, rejects
+from inkveil.functions import cleaners, identifiers, noise, rejects
 from inkveil.functions.ordinals import ordinal_text
-from inkveil.operators import audit, candidates, components, detect, evaluation, gazetteer, postprocess, pseudonyms, registry, replace, reports, samples
+from inkveil.operators import audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, pseudonyms, registry, replace, reports, samples
 from inkveil.plans import fixtures
 from inkveil.plans.redaction import redact_identifiers
 
@@ -127,6 +127,21 @@ def cleaned_organizations(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), cleaners.clean_organization(name).alias("cleaned"))
 
 
+def proposed_names(spark, sf_dir):
+    """Names made of every start, body and ending, against the tests of what a recogniser proposes."""
+    name = fixtures.proposed_name(F.col("o_orderkey"))
+    tests = (noise.is_noise_entity(name).alias("noise_entity"), noise.is_noise_project(name).alias("noise_project"), noise.is_company_variant(name).alias("company_variant"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), *tests)
+
+
+def organization_masks(spark, sf_dir):
+    """Masks of the organizations that customers' texts name."""
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), fixtures.company_text(F.col("c_custkey")).alias("text"))
+    names = F.array(*map(F.lit, fixtures.COMPANIES))
+    found = docs.select("doc_id", F.explode(F.filter(F.transform(names, lambda n: F.struct(F.instr("text", n).alias("ord"), n.alias("text"))), lambda x: x["ord"] > 0)).alias("x")).select("doc_id", "x.*")
+    return companies.mask_organizations(found, docs).select("doc_id", "original", "masked")
+
+
 def candidate_dedupe(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     rows = events.select(
@@ -288,7 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
-        placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
+        placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest,
         recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map,
     )

@@ -17,13 +17,13 @@ def plain(value):
     return value
 
 
-def both(spark, query, sql):
+def both(spark, query, sql, folder=SF):
     """Columns and rows of either side, columns by name."""
-    frame = query(spark, SF)
+    frame = query(spark, str(folder))
     names = sorted(frame.columns)
     ours = Counter(tuple(plain(v) for v in r) for r in frame.select(*names).collect())
     db = duckdb.connect()
-    for table in Path(SF).glob("*.parquet"):
+    for table in Path(folder).glob("*.parquet"):
         db.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}'")
     result = db.execute(sql)
     got = [d[0] for d in result.description]

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkveil.functions.organizations import alias_cores
-from inkveil.operators import audit, candidates, components, evaluation, gazetteer, postprocess, pseudonyms, registry, reports, samples
+from inkveil.operators import audit, candidates, companies, components, evaluation, gazetteer, postprocess, pseudonyms, registry, reports, samples
 from inkveil.plans import fixtures
 from inkveil.sources import files
 from inkveil.streaming.drops import redact_drops
@@ -68,9 +68,9 @@ def test_masks_follow_first_appearance(spark):
     got = {(r.doc_id, r.original): r.masked for r in pseudonyms.mask_persons(rows).collect()}
     assert got == {(1, "张三"): "张某甲", (1, "张四"): "张某乙", (1, "张老三"): "张某甲", (1, "李五"): "李某甲", (2, "张四"): "张某甲"}
     places = spark.createDataFrame([(1, 0, "石家庄市"), (1, 1, "石家庄"), (1, 2, "河北省")], "doc_id bigint, ord int, text string")
-    assert [r.masked for r in pseudonyms.mask_locations(places).orderBy("ord").collect()] == ["甲市", "甲地", "乙省"]
+    assert {r.original: r.masked for r in pseudonyms.mask_locations(places).collect()} == {"石家庄市": "甲市", "石家庄": "甲市", "河北省": "乙省", "河北": "乙省"}
     orgs = spark.createDataFrame([(1, 0, "甲乙集团", None), (1, 1, "丙丁有限公司", None)], "doc_id bigint, ord int, text string, entity string")
-    assert [r.masked for r in pseudonyms.mask_organizations(orgs).orderBy("ord").collect()] == ["甲集团", "乙公司"]
+    assert [r.masked for r in companies.mask_organizations(orgs).orderBy("ord").collect()] == ["甲集团", "乙公司"]
     projects = spark.createDataFrame([(1, 0, "大桥工程")], "doc_id bigint, ord int, text string")
     assert pseudonyms.mask_projects(projects).first().masked == "甲工程"
 
@@ -205,6 +205,30 @@ def test_noise_and_alias_merges(spark):
     assert got["甲乙公司"] == "甲科技公司" and got["河北甲乙科技有限公司"] == "甲科技公司" and got["丙丁有限公司"] == "丙公司" and got["丙丁集团"] == "丁集团"
 
 
+def test_trusted_samples_and_noise_names(spark):
+    docs = spark.createDataFrame([(1, "河北甲乙科技有限公司与张三，丙丁公司、丙丁在石家庄"), (2, "张三")], "doc_id bigint, text string")
+    rows = [(0, "organization", "河北甲乙科技有限公司", "sample_library:x"), (1, "location", "河北", "db"), (2, "organization", "甲乙", "llm"), (3, "person", "张三", "llm"), (4, "organization", "丙丁公司", "sample_library:x"), (5, "organization", "丙丁", "llm"), (6, "location", "石家庄", "db")]
+    m = spark.createDataFrame(rows, "ord int, type string, original string, source string").withColumn("masked", F.lit("x"))
+    assert {(r.doc_id, r.original) for r in postprocess.inside_trusted_samples(docs, m).collect()} == {(1, "河北"), (1, "甲乙")}
+    names = [("organization", "3号判决书"), ("organization", "甲乙公司"), ("organization", "原告甲乙公司"), ("project", "二期装修工程"), ("project", "长江花园"), ("person", "被告人"), ("person", "")]
+    table = spark.createDataFrame([("m", t, o) for t, o in names], "map_id string, type string, original string")
+    assert {r.original for r in postprocess.without_noise_names(table).collect()} == {"甲乙公司", "长江花园", "被告人"}
+
+
+def test_gazetteer_admission(spark):
+    rows = [("110000000000", "北京市", "province", 0), ("110101000000", "东城区", "county", 1), ("130183000000", "晋州市", "county", 2), ("130183101001", "大庄", "village", 3), ("130183101000", "市辖区", "township", 4), ("130183102000", "桃园镇", "township", 5)]
+    table = spark.createDataFrame(rows, "code string, name string, level string, ord int").withColumn("full_name", F.concat(F.lit("河北省"), "name"))
+    aliases = spark.createDataFrame([("晋州市桃园镇", "河北省/晋州市/桃园镇", "130183102000", 0.8), ("桃园", "河北省/桃园镇", "130183102000", 0.7), ("某处", "x", "999", 0.5)], "alias string, canonical_name string, division_code string, confidence double")
+    got = {r.term: (r.level, r.entity_type, r.confidence) for r in gazetteer.terms(table, aliases).collect()}
+    assert got["河北省东城区"] == ("county", "location", 0.98) and got["东城区"][2] == 0.92 and got["东城"] == ("county", "location", 0.9) and got["大庄"] == ("village", "grassroots_org", 0.92)
+    assert "河北省桃园镇" not in got and "市辖区" not in got and "晋州市桃园镇" not in got and got["桃园"][2] == 0.7 and got["某处"][0] == "unknown"
+    assert set(got) - set(r.term for r in gazetteer.terms(table, aliases, deepest="township").collect()) == {"大庄", "河北省大庄", "某处"}
+    docs = spark.createDataFrame([(1, "他去东城玩"), (2, "住东城大庄"), (3, "晋州市桃园镇某村的大庄")], "doc_id bigint, text string")
+    found = gazetteer.find_terms(docs, gazetteer.terms(table, aliases))
+    kept = gazetteer.resolve_places(gazetteer.admitted(found, docs))
+    assert {(r.doc_id, r.term) for r in kept.collect()} == {(2, "东城"), (2, "大庄"), (3, "晋州市"), (3, "桃园镇"), (3, "大庄")}
+
+
 def test_review_edits(spark):
     from inkveil.operators import review
 
