@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CATEGORIES = ("agreed", "type_conflict", "boundary_conflict", "detector_only", "registry_only")
@@ -12,8 +12,8 @@ def audit(detected: DataFrame, registered: DataFrame, id_col: str = "doc_id") ->
     """(id, start, end, text, category) for every distinct span of either side.
 
     Equal spans agree or differ in type; of the rest, a span that overlaps one of the other side is a boundary conflict,
-    and the others are on one side only. Spans overlap when they share a place, so they are joined on their places'
-    blocks of BLOCK characters, not in all pairs.
+    and the others are on one side only. A span overlaps some other just when, of those that start before its end, one
+    ends after its start: a running maximum in one pass over a document's spans, not a join of pairs.
     """
     kinds = lambda rows, name: rows.groupBy(id_col, "start", "end", "text").agg(F.array_sort(F.collect_set("type")).alias(name))
     both = kinds(detected, "d").join(kinds(registered, "r"), [id_col, "start", "end", "text"], "full")
@@ -34,15 +34,13 @@ def audit(detected: DataFrame, registered: DataFrame, id_col: str = "doc_id") ->
     return out
 
 
-BLOCK = 64
-
-
 def overlapping(rows: DataFrame, others: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The spans of ``rows`` that share a place with a span of ``others``."""
-    blocks = lambda d: d.withColumn("__block", F.explode(F.sequence((F.col("start") / BLOCK).cast("int"), ((F.col("end") - 1) / BLOCK).cast("int"))))
-    o = blocks(others).select(id_col, "__block", F.col("start").alias("__s"), F.col("end").alias("__e"))
-    hit = blocks(rows).join(o, [id_col, "__block"]).where("start < __e AND __s < end")
-    return hit.select(*rows.columns).distinct()
+    own = rows.select("*", F.col("end").alias("__at"), F.lit(None).cast("int").alias("__reach"))
+    marks = others.select(id_col, F.col("start").alias("__at"), F.col("end").cast("int").alias("__reach"))
+    before = Window.partitionBy(id_col).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    reached = own.unionByName(marks, allowMissingColumns=True).withColumn("__far", F.max("__reach").over(before))
+    return reached.where(F.col("__reach").isNull() & (F.col("__far") > F.col("start"))).select(*rows.columns)
 
 
 def category_counts(audited: DataFrame) -> DataFrame:

@@ -154,7 +154,9 @@ def _scan_terms(docs: DataFrame, dictionary: DataFrame, words: list[str], id_col
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(term, pa.string())], names=[id_col, "start", "term"])
 
     found = docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {id_type}, start int, term string")
-    return found.join(F.broadcast(dictionary), "term").select(id_col, "start", (F.col("start") + F.length("term")).alias("end"), *dictionary.columns)
+    rows = dictionary.where(F.length("term") > 0)
+    few = rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # a term may have many rows
+    return found.join(F.broadcast(rows) if few else rows, "term").select(id_col, "start", (F.col("start") + F.length("term")).alias("end"), *dictionary.columns)
 
 
 def _join_terms(docs: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -17,7 +17,7 @@ def ordinals(rows: DataFrame, keys: list[str], subject: str, position: str, out:
     First positions are aggregated before they are ranked, so a subject is one row in its window however often it occurs.
     """
     first = rows.groupBy(*keys, subject).agg(F.min(position).alias("__first"))
-    window = Window.partitionBy(*keys).orderBy("__first", subject) if keys else Window.orderBy("__first", subject)
+    window = Window.partitionBy(*keys).orderBy("__first", subject)
     ranked = first.withColumn(out, F.row_number().over(window)).drop("__first")
     return rows.join(ranked, [*keys, subject])
 

@@ -91,10 +91,9 @@ def suggest_locations(found: DataFrame, wanted: DataFrame) -> DataFrame:
     names = wanted.select("name").distinct()
     total = names.count()
     ranked = found.join(names, "name", "left_semi").groupBy("folder").agg(F.count_distinct("name").alias("matched"))
-    best = ranked.agg(F.max("matched").alias("top"), F.max_by(F.lit(1), "matched"))
-    top = ranked.crossJoin(F.broadcast(best.select("top"))).where("matched = top").drop("top")
-    state = F.when(F.count("*").over(Window.partitionBy(F.lit(0))) == 1, "unique").otherwise("ambiguous")
-    return top.select("folder", "matched", F.round(F.col("matched") / max(total, 1), 2).alias("confidence"), state.alias("state"))
+    best = ranked.groupBy("matched").agg(F.count("*").alias("equals")).orderBy(F.desc("matched")).limit(1)
+    state = F.when(F.col("equals") == 1, "unique").otherwise("ambiguous")
+    return ranked.join(F.broadcast(best), "matched").select("folder", "matched", F.round(F.col("matched") / max(total, 1), 2).alias("confidence"), state.alias("state"))
 
 
 def workflow_state(saved: Column, has_map: Column, bound: Column, restored: Column) -> Column:

@@ -20,8 +20,8 @@ def redact_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     masked = lambda x: F.when(x["type"] == "case_number", I.map_case_number(x["text"], seed)).otherwise(F.lit("***"))
     found = docs.where(text.isNotNull()).select(id_col, text_col, F.concat(*(type_spans(text, t) for t in types)).alias("__found"))
     numbered = found.withColumn("__all", F.transform("__found", lambda x, i: F.struct(i.alias("ord"), x["type"].alias("type"), x["text"].alias("original"), masked(x).alias("masked"))))
-    earlier = lambda x: F.exists(F.col("__all"), lambda y: (y["original"] == x["original"]) & (y["ord"] < x["ord"]))
-    mapped = numbered.withColumn("mappings", F.filter("__all", lambda x: ~earlier(x) & (x["original"] != x["masked"])))
+    firsts = lambda originals: F.filter("__all", lambda x, i: (F.array_position(originals, x["original"]) == i + 1) & (x["original"] != x["masked"]))
+    mapped = numbered.withColumn("mappings", F.get(F.transform(F.array(F.transform("__all", lambda x: x["original"])), firsts), 0))
     redacted = mapped.withColumn("redacted", I.strip_court_signatures(replace_all(text, F.col("mappings"))))
     again = F.concat(*(type_spans(F.col("redacted"), t) for t in I.DETECTORS if t in I.HIGH_RISK))
     leaks = F.filter(again, lambda x: ~x["text"].contains("某") & ~x["text"].contains("***"))
