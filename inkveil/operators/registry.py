@@ -135,3 +135,29 @@ def identity_evidence(text: Column, left: Column, right: Column) -> Column:
     marker = "(?:" + "|".join(IDENTITY_MARKERS) + ")"
     q = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
     return F.regexp_like(text, F.concat(q(left), F.lit(between + marker + between), q(right))) | F.regexp_like(text, F.concat(q(right), F.lit(between + marker + between), q(left)))
+
+
+def validated(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Names (id, entity_id, type, name, nth) that stand in their text, with the entity's primary name (its first, or else
+    the first that is left) and whether several entities of one type claim the name: such a name is only reviewed."""
+    present = names.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col).where(F.col("__text").contains(F.col("name"))).drop("__text")
+    once = present.groupBy(id_col, "entity_id", "type", "name").agg(F.min("nth").alias("nth"))
+    claims = once.groupBy(id_col, "type", "name").agg((F.count_distinct("entity_id") > 1).alias("conflict"))
+    primary = once.groupBy(id_col, "entity_id").agg(F.min_by("name", "nth").alias("primary_name"))
+    return once.join(claims, [id_col, "type", "name"]).join(primary, [id_col, "entity_id"])
+
+
+def person_groups(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Names (id, entity_id, type, name, nth) with ``part``: 0 for all names of an entity that belong together, 1 and on for
+    persons' names that no words of the text equate with one of the parts before."""
+    grouped = names.groupBy(id_col, "entity_id", "type").agg(F.array_sort(F.collect_list(F.struct("nth", "name"))).alias("all"))
+    texts = grouped.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col)
+    start = F.array().cast("array<struct<nth:int,name:string,part:int>>")
+
+    def step(kept: Column, x: Column) -> Column:
+        known = F.filter(kept, lambda y: (y["name"] == x["name"]) | identity_evidence(F.col("__text"), y["name"], x["name"]))
+        fresh = F.coalesce(F.array_max(F.transform(kept, lambda y: y["part"])) + 1, F.lit(0))
+        part = F.when(F.col("type") != "person", 0).when(F.size(known) > 0, F.array_min(F.transform(known, lambda y: y["part"]))).otherwise(fresh)
+        return F.array_append(kept, F.struct(x["nth"].cast("int").alias("nth"), x["name"].alias("name"), part.cast("int").alias("part")))
+
+    return texts.select(id_col, "entity_id", "type", F.explode(F.aggregate("all", start, step)).alias("n")).select(id_col, "entity_id", "type", "n.name", "n.nth", "n.part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.ordinals import ordinal_text
+from inkveil.functions.ordinals import ordinal_index, ordinal_text
 from inkveil.operators.pseudonyms import ordinals
 
 
@@ -58,3 +58,34 @@ def classify_rows(edited: DataFrame, original: DataFrame, key: str = "map_id") -
     joined = left.join(right, [key, "original"], "full")
     state = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("was") == F.col("now"), "unchanged").otherwise("modified")
     return joined.select(key, "original", state.alias("state"))
+
+
+#: Endings that a mask made by hand keeps; the first that fits.
+ORGANIZATION_ENDS = ("有限公司", "股份有限公司", "公司", "集团", "银行", "信用社", "合作社", "事务所", "律所", "学校", "医院", "法院", "检察院", "委员会", "村委会", "居委会", "商行", "经营部", "店", "厂")
+LOCATION_ENDS = ("自治区", "自治州", "居民委员会", "村民委员会", "街道", "社区", "省", "市", "区", "县", "旗", "镇", "乡", "村", "小区", "项目", "工程")
+FAMILIES = {"organization": "organization", "individual_business": "organization", "location": "location", "grassroots_org": "location", "person": "person"}
+
+
+def _ending(name: Column, ends: tuple[str, ...], other: str) -> Column:
+    out = F.lit(other)
+    for end in reversed(ends):
+        out = F.when(name.endswith(end), F.lit("公司" if end.endswith("有限公司") else end)).otherwise(out)
+    return out
+
+
+def suggest_masks(selected: DataFrame, mappings: DataFrame, key: str = "map_id") -> DataFrame:
+    """Masks for names that a reviewer selects (key, nth, original, type), numbered on from those of the map: persons
+    within their surname or as natural persons, organizations and places by their ending, all else as sensitive."""
+    family = lambda c: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair)), c), c)
+    name = F.btrim("original")
+    full = (F.col("type") == "person") & name.rlike("^[一-龥]{2,4}$")
+    stem = F.when(full, F.concat(F.substring(name, 1, 1), F.lit("某"))).when(F.col("type") == "person", "自然人").when(F.col("type").isin("organization", "location"), "").otherwise("敏感信息")
+    end = F.when(F.col("type") == "organization", _ending(name, ORGANIZATION_ENDS, "机构")).when(F.col("type") == "location", _ending(name, LOCATION_ENDS, "地")).otherwise("")
+    asked = selected.withColumns({"original": name, "family": family(F.col("type")), "stem": stem, "ending": end})
+    stems = asked.select(key, "family", "stem").distinct()
+    number = F.regexp_extract(F.substring("masked", F.length("stem") + 1, F.length("masked")), "^([甲乙丙丁戊己庚辛壬癸]|[0-9]+)", 1)
+    used = mappings.withColumn("family", family(F.col("type"))).join(stems, [key, "family"]).where(F.col("masked").startswith(F.col("stem"))).withColumn("n", ordinal_index(number))
+    last = used.groupBy(key, "family", "stem").agg(F.max("n").alias("last"))
+    order = Window.partitionBy(key, "family", "stem").orderBy("nth")
+    numbered = asked.join(last, [key, "family", "stem"], "left").withColumn("ordinal", F.coalesce("last", F.lit(0)) + F.row_number().over(order))
+    return numbered.select(key, "nth", "type", "original", F.concat("stem", ordinal_text(F.col("ordinal")), "ending").alias("masked"))

@@ -144,3 +144,18 @@ def proposed_name(key: Column) -> Column:
 
 def company_text(key: Column) -> Column:
     return F.concat(_picked(key, 1, COMPANIES), F.lit("（以下简称简称甲）与"), _picked(key, 9, COMPANIES), F.lit("签订合同，"), _picked(key, 2, COMPANIES), F.lit("公司不服。"))
+
+
+ACTIONS = ("keep", "add", "modify", "delete", "other")
+SAMPLE_TYPES = ("organization", "person", "location", "manual", "case_number", "grassroots_org", "project")
+SAMPLE_NAMES = ("甲乙科技有限公司", "甲", "京", "长安", "石家庄市", "张三", "长江花园小区", "张某甲", "", "王小明", "大桥")
+SAMPLE_MASKS = ("甲公司", "张某甲", "甲市", "甲小区", "", "甲工程", "乙集团", "张某", "甲律所")
+
+
+def sample_rows(key: Column) -> dict[str, Column]:
+    """Feedback samples of every action, type, name and mask."""
+    tail = F.when(key % 3 == 0, key.cast("string")).otherwise("")
+    return {
+        "ord": key, "action": _picked(key, 1, ACTIONS), "type": _picked(key, 5, SAMPLE_TYPES), "original": F.concat(_picked(key, 2, SAMPLE_NAMES), tail), "masked": _picked(key, 7, SAMPLE_MASKS),
+        "old_original": _picked(key, 11, SAMPLE_NAMES), "new_original": _picked(key, 4, SAMPLE_NAMES), "new_masked": _picked(key, 3, SAMPLE_MASKS),
+    }

@@ -104,7 +104,22 @@ _GENERIC = ("省", "市", "区", "县", "镇", "乡", "街道", "社区", "村",
 
 _SQL_ACTION, _SQL_RELATION, _SQL_FALSE = N.ACTION_CLAUSE, N.RELATION_CLAUSE, N.FALSE_CLAUSE
 
+_KEY = "o_orderkey"
+_SAMPLES = f"""
+        with s as (select {_KEY} as ord, {_pick(_KEY, 1, fixtures.ACTIONS)} as action, {_pick(_KEY, 5, fixtures.SAMPLE_TYPES)} as kind, {_pick(_KEY, 2, fixtures.SAMPLE_NAMES)} || case when {_KEY} % 3 = 0 then {_KEY}::VARCHAR else '' end as original,
+          {_pick(_KEY, 7, fixtures.SAMPLE_MASKS)} as masked, {_pick(_KEY, 4, fixtures.SAMPLE_NAMES)} as new_original, {_pick(_KEY, 3, fixtures.SAMPLE_MASKS)} as new_masked from orders),
+        n as (select ord, action, kind, case when action = 'modify' then new_original else original end as name, case when action = 'modify' then new_masked else masked end as mask from s),
+        a as (select *, name <> '' and mask <> '' and name <> mask and not (length(name) = 1 and contains('京津冀晋蒙辽吉黑沪苏浙皖闽赣鲁豫鄂湘粤桂琼渝川贵云藏陕甘青宁新兵', name)) and kind <> 'case_number' as allowed from n)"""
+
 ORACLES: dict[str, str] = {
+    "trusted_samples": f"""{_SAMPLES},
+        p as (select *, case when action = 'add' and allowed then case
+          when regexp_matches(mask, '(?:公司|集团)$') and ((kind = 'organization' and length(name) >= 2) or (length(name) >= 3 and regexp_matches(name, '公司|集团'))) then 'organization'
+          when regexp_matches(mask, '(?:省|市|区|县|镇|乡|村|社区|街道)$') and length(name) >= 2 and (kind in ('location', 'grassroots_org') or regexp_matches(name, '(?:省|市|区|县|镇|乡|村|社区|街道|小区)$') or regexp_matches(mask, '(?:小区|村|镇|县|区|市|省)$')) then 'location'
+          when kind in ('person', 'manual') and length(name) between 2 and 4 and regexp_matches(mask, '^[一-龥]某[一-龥]?$') then 'person' when length(name) >= 3 and regexp_matches(mask, '(?:小区|项目|工程)$') then 'project' end end as promoted from a),
+        u as (select *, row_number() over (partition by name order by ord) as k from p where name <> '' and mask <> '' and name <> mask and (action in ('keep', 'modify') or promoted is not null))
+        select ord, case when kind = 'person' and regexp_matches(mask, '(?:公司|集团|律所|事务所|机构|商行|经营部|合作社)$') then 'organization' else coalesce(promoted, kind) end as type, name as original, mask as masked, 'sample_library:' || action as source from u where k = 1""",
+    "sample_lookups": f"{_SAMPLES} select name as original, arg_max(mask, ord) as masked from a where allowed and action in ('keep', 'add', 'modify') group by name",
     "false_persons": f"""
         with n as (select o_orderkey, {_compose('o_orderkey', fixtures.SURNAMES, fixtures.GIVEN)} as name from orders)
         select o_orderkey, name, length(name) not between 2 and 20 or regexp_matches(name, '[0-9０-９.%‰万亿元]') or (contains(name, '某') and not ends_with(name, '某')) or (length(name) > 4 and not regexp_matches(name, '[·•]'))

@@ -241,6 +241,18 @@ def sample_upsert_latest(spark, sf_dir):
     return kept.select("user_id", "event_id", "event_type", "value", F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen_at"))
 
 
+def _samples(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(*(c.alias(n) for n, c in fixtures.sample_rows(F.col("o_orderkey")).items()))
+
+
+def trusted_samples(spark, sf_dir):
+    return samples.trusted_mappings(_samples(spark, sf_dir))
+
+
+def sample_lookups(spark, sf_dir):
+    return samples.sample_lookup(_samples(spark, sf_dir))
+
+
 def recent_errors_topk(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return samples.recent(events, F.col("event_type") == "error", [F.desc("ts"), F.desc("event_id")]).select("event_id", "user_id", "value")
@@ -304,7 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
         placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
-        ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest,
+        ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest, trusted_samples, sample_lookups,
         recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map,
     )
 }

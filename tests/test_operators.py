@@ -215,6 +215,37 @@ def test_trusted_samples_and_noise_names(spark):
     assert {r.original for r in postprocess.without_noise_names(table).collect()} == {"甲乙公司", "长江花园", "被告人"}
 
 
+def test_sample_library(spark):
+    schema = "ord int, action string, type string, original string, masked string, old_original string, new_original string, new_masked string"
+    rows = [(0, "keep", "organization", "甲乙公司", "甲公司", None, None, None), (1, "delete", "person", "张三", None, None, None, None), (2, "delete", "phone", "李四", None, None, None, None), (3, "modify", "location", None, None, "旧地", "新地", "甲市"),
+            (4, "add", "manual", "王小明", "王某甲", None, None, None), (5, "add", "manual", "短语一", "什么", None, None, None), (6, None, None, "甲乙公司", "乙公司", None, None, None), (7, "delete", "person", "欧阳修", None, None, None, None)]
+    table = spark.createDataFrame(rows, schema)
+    assert {(r.ord, r.type, r.original, r.masked, r.source) for r in samples.trusted_mappings(table).collect()} == {(0, "organization", "甲乙公司", "甲公司", "sample_library:keep"), (3, "location", "新地", "甲市", "sample_library:modify"), (4, "person", "王小明", "王某甲", "sample_library:add")}
+    assert {tuple(r) for r in samples.sample_lookup(table).collect()} == {("甲乙公司", "乙公司"), ("新地", "甲市"), ("王小明", "王某甲"), ("短语一", "什么")}
+    assert {r.original for r in samples.sample_blacklist(table, "张李欧").collect()} == {"李四", "旧地"}
+    docs = spark.createDataFrame([(1, "甲乙公司在新地，短语一"), (2, None)], "doc_id bigint, text string")
+    assert {(r.start, r.original) for r in samples.detect_samples(docs, table).collect()} == {(0, "甲乙公司"), (5, "新地"), (8, "短语一")}
+
+
+def test_registry_against_the_text(spark):
+    docs = spark.createDataFrame([(1, "张三又名张老三，李四。王五和王小五")], "doc_id bigint, text string")
+    rows = [(1, "p1", "person", "张三", 0), (1, "p1", "person", "张老三", 1), (1, "p1", "person", "不在", 2), (1, "p2", "person", "李四", 1), (1, "p3", "person", "李四", 0), (1, "p4", "person", "王五", 0), (1, "p4", "person", "王小五", 1), (1, "o1", "organization", "李四", 0)]
+    names = spark.createDataFrame(rows, "doc_id bigint, entity_id string, type string, name string, nth int")
+    got = {(r.entity_id, r.name): (r.conflict, r.primary_name) for r in registry.validated(docs, names).collect()}
+    assert ("p1", "不在") not in got and got["p1", "张老三"] == (False, "张三") and got["p2", "李四"] == (True, "李四") and got["o1", "李四"] == (False, "李四")
+    parts = {(r.entity_id, r.name): r.part for r in registry.person_groups(docs, names).collect()}
+    assert parts["p1", "张三"] == parts["p1", "张老三"] == 0 and parts["p1", "不在"] == 1 and (parts["p4", "王五"], parts["p4", "王小五"]) == (0, 1)
+
+
+def test_masks_made_by_hand(spark):
+    from inkveil.operators import review
+
+    m = spark.createDataFrame([("m", "person", "张某甲"), ("m", "person", "张某3"), ("m", "individual_business", "甲店"), ("m", "person", "自然人乙"), ("n", "location", "癸市")], "map_id string, type string, masked string")
+    asked = [("m", 0, "张三", "person"), ("m", 1, "张四", "person"), ("m", 2, "欧阳 x", "person"), ("m", 3, "甲乙股份有限公司", "organization"), ("m", 4, "某单位", "organization"), ("n", 0, "棉一村民委员会", "location"), ("n", 1, "别处", "location"), ("m", 5, "x", "phone")]
+    got = [r.masked for r in review.suggest_masks(spark.createDataFrame(asked, "map_id string, nth int, original string, type string"), m).orderBy("map_id", "nth").collect()]
+    assert got == ["张某丁", "张某戊", "自然人丙", "乙公司", "丙机构", "敏感信息甲", "11村民委员会", "12地"]
+
+
 def test_gazetteer_admission(spark):
     rows = [("110000000000", "北京市", "province", 0), ("110101000000", "东城区", "county", 1), ("130183000000", "晋州市", "county", 2), ("130183101001", "大庄", "village", 3), ("130183101000", "市辖区", "township", 4), ("130183102000", "桃园镇", "township", 5)]
     table = spark.createDataFrame(rows, "code string, name string, level string, ord int").withColumn("full_name", F.concat(F.lit("河北省"), "name"))
