@@ -23,7 +23,7 @@ ORDERS = (3, 4)
 BITS = 16
 ROUNDS = 4
 SAMPLE_PER_LANGUAGE = 500  # bound on the rows that a language's table is counted over
-SAMPLE_BYTES = 4 << 20  # bound on their texts together
+SAMPLE_BYTES = 2 << 20  # bound on their texts together
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 

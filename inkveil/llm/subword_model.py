@@ -35,7 +35,7 @@ class Settings:
     epochs: int = 8
     rate: float = 0.5
     sample_per_class: int = 2000  # bound on the labelled rows that a model is fitted on
-    sample_bytes: int = 6 << 20  # bound on each class's texts together
+    sample_bytes: int = 4 << 20  # bound on each class's texts together
 
 
 @dataclass(frozen=True)
