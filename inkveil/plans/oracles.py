@@ -157,6 +157,13 @@ ORACLES: dict[str, str] = {
           not (bare = '' or bare <> trim(bare, ' ：:，,。；;、"“”‘’（）()[]【】') or noise_entity or regexp_matches(bare, '{N.ROLE_START}') or list_contains({_list(N.GENERIC_SURFACES)}, bare) or regexp_matches(bare, '{N.CLAUSE_START}') or regexp_matches(bare, '{N.INVALID_VARIANT}'))
           and case when bare <> '' and whole = bare then captured when regexp_matches(bare, ends) then case when regexp_matches(bare, '[（(]') then captured else length(bare) <= 10 end when regexp_matches(bare, '(?:{"|".join(N.FACTORIES)})$') then length(bare) >= 4
             when regexp_matches(bare, '(?:银行|分行|支行|律所)$') then length(bare) <= 12 when regexp_matches(bare, '(?:{"|".join(N.NAMED_OUTLETS)})$') then length(bare) >= 4 else length(bare) between 2 and 8 end as company_variant from w""",
+    "validated_names": f"""
+        with d as (select c_custkey as doc_id, {_pick('c_custkey', 1, fixtures.COMPANIES)} || '（以下简称简称甲）与' || {_pick('c_custkey', 9, fixtures.COMPANIES)} || '签订合同，' || {_pick('c_custkey', 2, fixtures.COMPANIES)} || '公司不服。' as text from customer),
+        i as (select doc_id, text, unnest(range(0, {len(fixtures.COMPANIES)})) as nth from d), n as (select *, {_list(fixtures.COMPANIES)}[nth + 1] as name from i),
+        c as (select doc_id, 'e' || (nth % 4) as entity_id, name, nth, text from n union all select doc_id, 'f' || nth, name, nth, text from n where (doc_id + nth) % 3 = 0),
+        p as (select * from c where contains(text, name)),
+        q as (select doc_id, name, count(distinct entity_id) > 1 as conflict from p group by all), m as (select doc_id, entity_id, arg_min(name, nth) as primary_name from p group by all)
+        select doc_id, entity_id, name, conflict, primary_name from p join q using (doc_id, name) join m using (doc_id, entity_id)""",
     "cleaned_persons": f"""
         with recursive n as (select c_custkey as k, {_wrap('c_custkey', fixtures.WRAPS, ('张三', '李及', '王·五', '和', '赵六男女', '（钱七'))} as name from customer),
         b as ({_odd_brackets(f"select k, name, {_STRIP.format('name', _PERSON_MARKS)} as s from n")})

@@ -136,12 +136,25 @@ def proposed_names(spark, sf_dir):
 
 def organization_masks(spark, sf_dir):
     """Masks of the organizations that customers' texts name."""
-    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), fixtures.company_text(F.col("c_custkey")).alias("text"))
+    docs = _company_docs(spark, sf_dir)
     names = F.array(*map(F.lit, fixtures.COMPANIES))
     found = docs.select("doc_id", F.explode(F.filter(F.transform(names, lambda n: F.struct(F.instr("text", n).alias("ord"), n.alias("text"))), lambda x: x["ord"] > 0)).alias("x")).select("doc_id", "x.*")
     return companies.mask_organizations(found, docs).select("doc_id", "original", "masked")
 
 
+def _company_docs(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), fixtures.company_text(F.col("c_custkey")).alias("text"))
+
+
+def validated_names(spark, sf_dir):
+    """Names that a recogniser claims for customers' texts, some of them twice, against the texts."""
+    docs = _company_docs(spark, sf_dir)
+    every = F.transform(F.array(*map(F.lit, fixtures.COMPANIES)), lambda n, i: F.struct(F.concat(F.lit("e"), (i % 4).cast("string")).alias("entity_id"), n.alias("name"), i.alias("nth")))
+    again = F.transform(F.filter(every, lambda x: (F.col("doc_id") + x["nth"]) % 3 == 0), lambda x: F.struct(F.concat(F.lit("f"), x["nth"].cast("string")).alias("entity_id"), x["name"].alias("name"), x["nth"].alias("nth")))
+    names = docs.select("doc_id", F.lit("organization").alias("type"), F.explode(F.concat(every, again)).alias("n")).select("doc_id", "type", "n.*")
+    return registry.validated(docs, names).select("doc_id", "entity_id", "name", "conflict", "primary_name")
+
+
 def candidate_dedupe(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     rows = events.select(
@@ -315,7 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
-        placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
+        placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, validated_names, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest, trusted_samples, sample_lookups,
         recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map,
     )
