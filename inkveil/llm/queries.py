@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import oracles
+from inkveil.llm.alignment import align_documents
 from inkveil.llm.encoding import encode_documents
+from inkveil.llm.importance import resample
 from inkveil.llm.language import FOLDS as LANGUAGE_FOLDS
 from inkveil.llm.language import HELD_OUT as LANGUAGE_HELD_OUT
 from inkveil.llm.language import identify_languages, train_languages
@@ -95,6 +97,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    aligned = align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_boundary_chain": op2_warc_boundary_chain,
@@ -106,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_projected_neighbours": op8_projected_neighbours,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op2_warc_boundary_chain": oracles.WARC, "op4_quality_rules": oracles.QUALITY_RULES}
+ORACLES: dict[str, str] = {"op2_warc_boundary_chain": oracles.WARC, "op4_quality_rules": oracles.QUALITY_RULES, "op12_importance_resampling": oracles.IMPORTANCE}
