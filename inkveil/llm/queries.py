@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import oracles
+from inkveil.llm import oracles, pii
 from inkveil.llm.alignment import align_documents
 from inkveil.llm.encoding import encode_documents
 from inkveil.llm.importance import resample
@@ -108,6 +108,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train_pii(spark))
+    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)),
+        F.sha2(pii.render(F.col("base_spans")), 256).alias("base_sha256"), pii.render(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_boundary_chain": op2_warc_boundary_chain,
@@ -121,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_token_alignment": op11_token_alignment,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_pii_boosting": op13_pii_boosting,
 }
 
 ORACLES: dict[str, str] = {"op2_warc_boundary_chain": oracles.WARC, "op4_quality_rules": oracles.QUALITY_RULES, "op12_importance_resampling": oracles.IMPORTANCE}
