@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,61 +46,90 @@ class PlainSegments(SpaceSegments):
         self.specials = []
         self.memo = Memo(4 << 20)  # serves one block; the aligner keeps what its segments give
 
-    def after_space(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of each part with a space before it."""
-        self._learn({p for p in parts if p.split() == [p]})
-        known = self.memo
-        return [np.frombuffer(known[p], "<u4") if p in known else self._ids(" " + p) for p in parts]
+    def after_space(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part with a space before it. Words are encoded together, since only a word's first id has a space."""
+        words = [p for p in parts if p.split() == [p]]
+        ids = self._ids(" " + " ".join(words))
+        cuts = np.flatnonzero(self.starts[ids]).tolist()
+        found = {}
+        if len(cuts) == len(words):
+            listed = ids.tolist()
+            found = {w: listed[a:b] for w, a, b in zip(words, cuts, [*cuts[1:], len(listed)], strict=True)}
+        return [found[p] if p in found else self._ids(" " + p).tolist() for p in parts]
 
 
 class Transducer:
-    """Walks token ids of two vocabularies given as the bytes of each id (None: an id without bytes of its own)."""
+    """Walks token ids of two vocabularies given as the bytes of each id (None: an id without bytes of its own).
+
+    A state stands for the side that leads and its dangling suffix; its lowest bit is the side, and 0 is the empty suffix,
+    after which a token of A comes next.
+    """
 
     def __init__(self, a_bytes: list[bytes | None], b_bytes: list[bytes | None]):
         self.bytes = (a_bytes, b_bytes)
-        self.moves: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
+        self.names = tuple(list(map(str, range(len(x)))) for x in self.bytes)
+        self._forget()
 
-    def _move(self, side: int, suffix: bytes, token: int) -> tuple[int, bytes] | None:
-        """From ``side`` leading by ``suffix``, after ``token`` of the other side: the new state; None if bytes differ."""
+    def _forget(self) -> None:
+        self.suffixes: list[bytes] = [b""]
+        self.states: dict[tuple[int, bytes], int] = {}
+        self.moves: dict[int, int] = {}  # by state << SHIFT | token; -1 where bytes differ
+
+    def _move(self, state: int, token: int) -> int:
+        """The state after ``token`` of the side that lags (of A from the empty suffix)."""
+        side, suffix = (state & 1, self.suffixes[state >> 1]) if state else (B_LEADS, b"")
         new = self.bytes[1 - side][token]
         if not new:
-            return None
+            return -1
         if suffix.startswith(new):
-            return side, suffix[len(new) :]
-        return (1 - side, new[len(suffix) :]) if new.startswith(suffix) else None
-
-    def walk(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]] | None:
-        """(groups, links as packed pairs), or None where the two sides' bytes differ."""
-        moves, ids, ends = self.moves, (a, b), (len(a), len(b))
-        groups: list[tuple[list[int], list[int]]] = []
+            rest = suffix[len(new) :]
+        elif new.startswith(suffix):
+            side, rest = 1 - side, new[len(suffix) :]
+        else:
+            return -1
+        if not rest:
+            return 0
+        if (side, rest) not in self.states:
+            self.states[side, rest] = len(self.suffixes) << 1 | side
+            self.suffixes.append(rest)
+        return self.states[side, rest]
+
+    def walk(self, a: list[int], b: list[int]) -> tuple[str, list[int]] | None:
+        """(groups as ``a1,a2|b1;a3|b2,b3``, links as packed pairs), or None where the two sides' bytes differ."""
+        if len(self.moves) > MOVES:
+            self._forget()
+        moves, (a_names, b_names) = self.moves, self.names
+        n_a, n_b, i, j = len(a), len(b), 0, 0
+        groups: list[str] = []
         links: list[int] = []
-        at = [0, 0]
-        while at[0] < ends[0]:
-            start = tuple(at)
-            side, suffix = A_LEADS, self.bytes[0][a[at[0]]]
-            if not suffix:
+        while i < n_a:
+            from_a, from_b, state = i, j, 0
+            while True:
+                if state & 1 == A_LEADS and state:
+                    if j == n_b:
+                        return None
+                    token = b[j]
+                    links.append(a[i - 1] << SHIFT | token)
+                    j += 1
+                else:
+                    if i == n_a:
+                        return None
+                    token = a[i]
+                    if state:
+                        links.append(token << SHIFT | b[j - 1])
+                    i += 1
+                key = state << SHIFT | token
+                state = moves.get(key)
+                if state is None:
+                    state = moves[key] = self._move(key >> SHIFT, token)
+                if state <= 0:
+                    break
+            if state:
                 return None
-            at[0] += 1
-            while suffix:
-                other = 1 - side
-                if at[other] == ends[other]:
-                    return None
-                token = ids[other][at[other]]
-                leader = ids[side][at[side] - 1]
-                links.append(leader << SHIFT | token if side == A_LEADS else token << SHIFT | leader)
-                at[other] += 1
-                key = (side, suffix, token)
-                try:
-                    move = moves[key]
-                except KeyError:
-                    if len(moves) >= MOVES:
-                        moves.clear()
-                    move = moves[key] = self._move(side, suffix, token)
-                if move is None:
-                    return None
-                side, suffix = move
-            groups.append((a[start[0] : at[0]], b[start[1] : at[1]]))
-        return (groups, links) if at[1] == ends[1] else None
+            left = a_names[a[from_a]] if i - from_a == 1 else ",".join([a_names[x] for x in a[from_a:i]])
+            right = b_names[b[from_b]] if j - from_b == 1 else ",".join([b_names[x] for x in b[from_b:j]])
+            groups.append(left + "|" + right)
+        return (";".join(groups), links) if j == n_b else None
 
 
 class Aligner:
@@ -123,7 +152,6 @@ class Aligner:
                 b_bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 b_bytes.append(None if self.b.is_control(i) or self.b.is_unknown(i) else piece.replace(SPACE, " ").encode())
-        self.a_bytes = a_bytes
         self.space = self.b.piece_to_id(SPACE)
         self.transducer = Transducer(a_bytes, b_bytes)
         #: no piece goes on into the white space after a word: then texts can be cut there
@@ -138,39 +166,38 @@ class Aligner:
         return [first[1:], *others]
 
     def _align(self, parts: list[str]) -> Iterator[tuple[bytes, bytes, bytes] | None]:
-        """(groups, links, number of A's tokens) of space+part for each part; None where the bytes differ."""
+        """(groups, links, number of A's tokens) of space+part for each part; None where B's bytes are not A's.
+
+        A's bytes are always those of the text, for its tokens are made of the text's bytes."""
         b_ids = self.b.encode(parts, out_type=int, num_threads=1)
+        walk = self.transducer.walk
         for part, a, b in zip(parts, self.a.after_space(parts), b_ids, strict=True):
-            a = a.tolist()
-            if not part:
-                b = [self.space]
-            spelt = self.a_bytes
-            walked = self.transducer.walk(a, b)
-            if walked is None or b"".join([spelt[i] for i in a]) != (" " + part).encode():
-                yield None
-                continue
-            groups, links = walked
-            text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-            yield text.encode(), np.asarray(links, "<i8").tobytes(), np.asarray([len(a)], "<i8").tobytes()
+            walked = walk(a, b if part else [self.space])
+            yield walked and (walked[0].encode(), array("q", walked[1]).tobytes(), len(a).to_bytes(8, "little"))
 
     def align_batch(self, texts: list[str]) -> list[tuple[bytes, np.ndarray, int] | None]:
         """(groups, packed links, number of A's tokens) of every text; None for one without tokens."""
         cut = [self.parts(t) if t else [] for t in texts]
-        distinct = {p for parts in cut for p in parts}
+        distinct: set[str] = set()
+        for parts in cut:
+            distinct.update(parts)
         missing = self.memo.missing([p for p in distinct if len(p) <= LONG_SEGMENT])
         for lo in range(0, len(missing), BLOCK):
             block = missing[lo : lo + BLOCK]
             self.memo.put(zip(block, self._align(block), strict=True))
         long = [p for p in distinct if len(p) > LONG_SEGMENT]
         extra = dict(zip(long, self._align(long), strict=True))
-        memo, out = self.memo, []
+        known, out = self.memo.__getitem__, []
         for parts in cut:
-            found = [memo[p] if len(p) <= LONG_SEGMENT else extra[p] for p in parts]
+            if extra:
+                found = [extra[p] if len(p) > LONG_SEGMENT else known(p) for p in parts]
+            else:
+                found = list(map(known, parts))
             if not found or None in found:
                 out.append(None)
                 continue
-            n_a = int(np.frombuffer(b"".join(map(itemgetter(2), found)), "<i8").sum())
-            out.append((b";".join(map(itemgetter(0), found)), np.frombuffer(b"".join(map(itemgetter(1), found)), "<i8"), n_a))
+            groups, links, n_a = zip(*found, strict=True)
+            out.append((b";".join(groups), np.frombuffer(b"".join(links), "<i8"), int(np.frombuffer(b"".join(n_a), "<i8").sum())))
         return out
 
 
