@@ -83,8 +83,8 @@ def replace_all(text: Column, entries: Column, key: str = "original", value: str
     return fill_marks(marked, ordered, lambda m: m[value])
 
 
-def splice(text: str, found: Iterable[tuple[int, int]], entries: list[tuple[str, str, bool]]) -> str:
-    """``text`` with entries (key, value, guarded) put in at the places ``found`` (entry, start), lowest entry first.
+def _chosen(text: str, found: Iterable[tuple[int, int]], entries: list[tuple[str, str, bool]]) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the entries (key, value, guarded) among the places ``found`` (entry, start), lowest entry first.
 
     A guarded key stays where a longer company name goes on after it.
     """
@@ -95,8 +95,13 @@ def splice(text: str, found: Iterable[tuple[int, int]], entries: list[tuple[str,
         if taken.find(1, start, end) < 0 and not (guarded and _FOLLOWED.match(text, end, end + AHEAD)):
             taken[start:end] = b"\1" * len(key)
             chosen.append((start, end, value))
+    return sorted(chosen)
+
+
+def splice(text: str, chosen: list[tuple[int, int, str]]) -> str:
+    """``text`` with values put in at (start, end, value)."""
     out, at = [], 0
-    for start, end, value in sorted(chosen):
+    for start, end, value in chosen:
         out += [text[at:start], value]
         at = end
     return "".join([*out, text[at:]])
@@ -115,18 +120,41 @@ def _longest_first(rows: Iterable[dict]) -> list[tuple[str, str, bool]]:
     return [(r["k"], r["v"] or "", bool(r["g"])) for r in ordered]
 
 
-def _spliced_by_shared(text: Column, rows: list[dict]) -> Column:
+_AUTOMATA: dict[tuple, tuple] = {}  # of the last map of a worker, so that batches and tasks share it
+
+
+def _automaton(rows: list[dict]) -> tuple[ahocorasick.Automaton | None, list[tuple[str, str, bool]]]:
     entries = _longest_first(rows)
+    key = tuple(entries)
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        automaton = ahocorasick.Automaton()
+        for i, (word, _, _) in enumerate(entries):
+            if word not in automaton:
+                automaton.add_word(word, i)
+        automaton.make_automaton()
+        _AUTOMATA[key] = (automaton if entries else None, entries)
+    return _AUTOMATA[key]
+
+
+def replaced_places(text: str | None, rows: list[dict], shared: bool = False) -> list[tuple[int, int, str]] | None:
+    """(start, end, value) of what a map's rows (k, v, o, g) replace in a text; None for a null text.
+
+    A ``shared`` map's automaton is built once in a worker; small maps of single texts are searched entry by entry.
+    """
+    if text is None:
+        return None
+    if not shared:
+        entries = _longest_first(rows)
+        return _chosen(text, _places(text, entries), entries)
+    automaton, entries = _automaton(rows)
+    return _chosen(text, ((i, last + 1 - len(entries[i][0])) for last, i in automaton.iter(text)), entries) if automaton else []
 
+
+def _spliced_by_shared(text: Column, rows: list[dict]) -> Column:
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        automaton = ahocorasick.Automaton()
-        for i, (key, _, _) in enumerate(entries):
-            if key not in automaton:
-                automaton.add_word(key, i)
-        automaton.make_automaton()
-        found = lambda t: ((i, last + 1 - len(entries[i][0])) for last, i in automaton.iter(t)) if entries else ()
-        return pa.array([None if t is None else splice(t, found(t), entries) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else splice(t, replaced_places(t, rows, shared=True)) for t in texts.to_pylist()], pa.string())
 
     return run(text)
 
@@ -134,11 +162,7 @@ def _spliced_by_shared(text: Column, rows: list[dict]) -> Column:
 def _spliced_by_row(text: Column, entries: Column) -> Column:
     @F.arrow_udf("string")
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for t, rows in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
-            own = _longest_first(rows or ())
-            out.append(None if t is None else splice(t, _places(t, own), own))
-        return pa.array(out, pa.string())
+        return pa.array([None if t is None else splice(t, replaced_places(t, own or ())) for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True)], pa.string())
 
     return run(text, entries)
 
@@ -165,15 +189,22 @@ def with_entries(docs: DataFrame, mappings: DataFrame, on: str | None = None, co
     return docs.crossJoin(F.broadcast(mappings.agg(packed)))
 
 
-def _applied(docs: DataFrame, mappings: DataFrame, text_col: str, on: str | None, guard: bool, out: str, key: str, value: str) -> DataFrame:
+def mapping_rows(mappings: DataFrame, on: str | None, guard: bool, key: str, value: str) -> tuple[DataFrame, list[dict]]:
+    """Mappings as (on, k, v, o, g); and those of one shared map, whose size is checked, as rows on the driver."""
     guarded = F.col("type").isin(*GUARDED_TYPES) & is_short_alias(F.btrim(F.col(key))) if guard else F.lit(False)
     slim = mappings.select(*([on] if on else []), F.col(key).alias("k"), F.col(value).alias("v"), F.col("ord").alias("o"), F.coalesce(guarded, F.lit(False)).alias("g"))
+    if on:
+        return slim, []
+    _checked(slim)
+    return slim, [r.asDict() for r in slim.collect()]
+
+
+def _applied(docs: DataFrame, mappings: DataFrame, text_col: str, on: str | None, guard: bool, out: str, key: str, value: str) -> DataFrame:
+    slim, rows = mapping_rows(mappings, on, guard, key, value)
     if on:
         joined = with_entries(docs, slim, on)
         done = _spliced_by_row(F.col(text_col), F.col("__entries")) if guard else replace_all(F.col(text_col), F.col("__entries"), "k", "v", "o")
         return joined.withColumn(out, done).drop("__entries")
-    _checked(slim)
-    rows = [r.asDict() for r in slim.collect()]
     if len(rows) > JVM_ENTRIES or any(r["g"] for r in rows):
         return docs.withColumn(out, _spliced_by_shared(F.col(text_col), rows))
     return with_entries(docs, slim).withColumn(out, replace_all(F.col(text_col), F.col("__entries"), "k", "v", "o")).drop("__entries")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.operators import privacy
+
 STRATA = (("lt_10k", 0, 10_000), ("10k_30k", 10_000, 30_000), ("30k_60k", 30_000, 60_000), ("gte_60k", 60_000, None))
 MOST_CHARACTERS = 120_000
 
@@ -74,13 +76,14 @@ def run_statistics(stats: DataFrame) -> DataFrame:
     return stats.agg(one("mode"), one("model_id"), one("status"), F.count("*").alias("document_count"), *(F.sum(c).alias(c) for c in ("call_count", "duration_ms", "total_token_count")))
 
 
-FORBIDDEN_KEYS = ("text", "original", "masked", "redacted_text", "restored_text", "path", "source_file")
+#: Every key that one of the validators of :mod:`inkveil.operators.privacy` bars, and those that name texts and places.
+FORBIDDEN_KEYS = tuple(sorted({*privacy.RUNTIME_KEYS, *privacy.RECOGNITION_KEYS, *privacy.REMOTE_KEYS, "text", "path", "source_file"}))
 
 
 def unsafe_keys(reports: DataFrame, id_col: str, report: str, forbidden: tuple[str, ...] = FORBIDDEN_KEYS) -> DataFrame:
-    """(id, key): keys of JSON reports, at any depth, that could carry personal text."""
-    keys = F.regexp_extract_all(F.col(report), F.lit(r'"((?:[^"\\\\]|\\\\.)*)"\s*:'), F.lit(1))
-    return reports.select(id_col, F.explode(F.array_distinct(keys)).alias("key")).where(F.lower("key").isin(*forbidden))
+    """(id, key): keys of JSON reports, at any depth and in any case, that could carry personal text."""
+    keys = reports.select(id_col, F.inline(privacy.walk_json(F.col(report)))).select(id_col, "key")
+    return keys.where(F.lower("key").isin(*forbidden)).distinct()
 
 
 def stable_hash(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -105,7 +108,7 @@ def missing_evidence(runs: DataFrame, required: list[str]) -> DataFrame:
 
 
 def unsafe_values(reports: DataFrame, id_col: str, report: str) -> DataFrame:
-    """(id, issue): string values of JSON reports that look like Chinese text or an absolute path."""
-    values = F.regexp_extract_all(F.col(report), F.lit(r':\s*"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1))
-    issue = lambda v: F.when(v.rlike("[一-龥]{2,}"), "chinese_text").when(v.rlike(r"^(?:/|[A-Za-z]:\\\\|~/|file:)"), "absolute_path")
-    return reports.select(id_col, F.explode(F.array_distinct(F.array_compact(F.transform(values, issue)))).alias("issue"))
+    """(id, issue): strings of JSON reports, at any place, that hold Chinese text or an absolute path."""
+    strings = reports.select(id_col, F.inline(privacy.walk_json(F.col(report)))).where("kind = 'string'")
+    issues = F.array_compact(F.array(F.when(F.col("text").rlike(privacy.CHINESE_TEXT), "chinese_text"), F.when(F.col("text").rlike(privacy.ABSOLUTE_PATH), "absolute_path")))
+    return strings.select(id_col, F.explode(issues).alias("issue")).distinct()

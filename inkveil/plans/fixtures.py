@@ -159,3 +159,39 @@ def sample_rows(key: Column) -> dict[str, Column]:
         "ord": key, "action": _picked(key, 1, ACTIONS), "type": _picked(key, 5, SAMPLE_TYPES), "original": F.concat(_picked(key, 2, SAMPLE_NAMES), tail), "masked": _picked(key, 7, SAMPLE_MASKS),
         "old_original": _picked(key, 11, SAMPLE_NAMES), "new_original": _picked(key, 4, SAMPLE_NAMES), "new_masked": _picked(key, 3, SAMPLE_MASKS),
     }
+
+
+#: Reports whose number, place of keys and kinds of values change with the key; {k} is the key, {r} another report.
+REPORTS = (
+    r'{"schema": "v2", "n": {k}, "ok": true}',
+    r'{"note": "张三\n住址 {k}", "inner": {r}}',
+    r'{"list": ["张三李四", {"original": {k}}, {r}]}',
+    r'{"te\u0078t": "x", "origin\u0061l": "y", "inner": [[{r}]]}',
+    r'{"privacy": {"sample_entries": "omitted"}, "r": {r}}',
+    r'{"privacy": {"sample_entries": ["omitted"]}, "sample_entries": "omitted", "r": {r}}',
+    r'{"a": {"leaks": null, "diff": [1, 2.5, {k}]}, "Original": "y", "b": "see /srv/{k}/x"}',
+    r'{"filename": "a/{k}.txt", "out_filename": "ok-{k}.txt", "relative_path": "../x", "my_relative_path": "var/{k}", "r": {r}}',
+    r'{"relative_path": "in/{k}", "relative_paths": ["/abs"], "win": "C:\\x\\{k}", "msg": "bearer  abc{k}", "r": {r}}',
+    r'{"relative_path": "\\\\host\\share", "path": " ~/x", "url": "https://h/{k}", "q": "say \"hi\" /Users/me", "r": {r}}',
+    r'{"entities": {}, "token": "t{k}", "one": "张", "two": "ab张三", "far": "龦龧", "e": "", "r": {r}}',
+    r'{"body": {"body": {"body": [{"completion": "/opt/x"}, "/opt/y", "x=/opt/{k}"]}}, "s": "secret-token-{k}", "r": {r}}',
+    r'["a", {"masked": "b"}]',
+    r'{"broken": {k}',
+)
+
+
+def report(key: Column) -> Column:
+    """A report of the key, three levels of them in one another."""
+    inner = F.lit("{}")
+    for step in (len(REPORTS) ** 2, len(REPORTS), 1):
+        inner = F.replace(F.replace(_picked(key, step, REPORTS), F.lit("{r}"), inner), F.lit("{k}"), key.cast("string"))
+    return inner
+
+
+def report_sql(key: str) -> str:
+    """The same in SQL."""
+    listed = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in REPORTS) + "]"
+    inner = "'{}'"
+    for step in (len(REPORTS) ** 2, len(REPORTS), 1):
+        inner = f"replace(replace({listed}[({key} // {step}) % {len(REPORTS)} + 1], '{{r}}', {inner}), '{{k}}', {key}::VARCHAR)"
+    return inner

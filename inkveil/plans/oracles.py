@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkveil.functions import lexicon as L
 from inkveil.functions import noise as N
+from inkveil.operators import privacy
 from inkveil.plans import fixtures
 
 _EMAIL = r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?:[^A-Za-z0-9._%+-]|$)"
@@ -296,3 +297,51 @@ ORACLES: dict[str, str] = {
         with t as (select p_partkey, ['person', 'project', 'location', 'organization'][(p_size % 4 + 1)::INT] as type, p_name as original from part)
         select p_partkey, type, row_number() over (partition by p_partkey % 10 order by case type when 'organization' then 0 when 'location' then 1 when 'person' then 2 when 'project' then 3 end, -length(original), original, p_partkey) as place from t""",
 }
+
+
+def _report_privacy() -> str:
+    """Nodes by json_tree; what the fixture's reports cannot hold (file names without a slash, "." alone) is not told apart."""
+    keys = lambda names: ", ".join(f"'{n}'" for n in names)
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    remote = " or ".join(f"regexp_matches(t, {quoted(p)})" for p in privacy.REMOTE_VALUES)
+    path = r"""case when trim(t) = '' then null when lower(k) like '%filename%' then case when t like '%/%' or contains(t, '\') then 'filename must be basename' end
+      when lower(k) like '%relative_path%' then case when starts_with(t, '\\') then 'path must not be remote or network path' when regexp_matches(t, '^([/~]|[A-Za-z]:[\\/])') then 'path must be relative'
+      when contains(t, '\') then 'path must use posix separators' when list_contains(string_split(t, '/'), '..') then 'path must not escape case folder'
+      when string_split(t, '/')[1] in ('private', 'Users', 'Volumes', 'var') then 'path must not expose local system path' end end"""
+    own_path = r"(starts_with(trim(t), '/') or starts_with(trim(t), '~/') or contains(t, ':\') or contains(t, ' /Users/') or contains(trim(t), ' ~/'))"
+    chinese = r"'[\x{4e00}-\x{9fff}]{2,}'"
+    return f"""
+    with r as (select o_orderkey, {fixtures.report_sql('o_orderkey')} as report from orders),
+    v as (select o_orderkey, report, json_valid(report) as ok from r),
+    n as (select o_orderkey, report, fullkey as p, case when fullkey like '%]' or fullkey = '$' then null else key end as k, case when type = 'VARCHAR' then atom ->> '$' end as t, json_type(report) = 'OBJECT' as whole
+      from v, json_tree(case when ok then report else 'null' end) where ok),
+    f as (
+      select o_orderkey, 'regression' as validator, 'key' as issue, p as detail from n where whole and k in ({keys(privacy.DIAGNOSTIC_KEYS)})
+      union all select o_orderkey, 'regression', 'value', p from n where whole and regexp_matches(t, {chinese})
+      union all select o_orderkey, 'runtime', 'key', p from n where whole and (k in ({keys(privacy.RUNTIME_KEYS)}) or (k = 'sample_entries' and not (p = '$.privacy.sample_entries' and t is not distinct from 'omitted')))
+      union all select o_orderkey, 'runtime', 'value', p from n where whole and (regexp_matches(t, {chinese}) or regexp_matches(t, {quoted(privacy.ABSOLUTE_PATH)}))
+      union all select o_orderkey, 'recognition', 'key', p from n where whole and k in ({keys(privacy.RECOGNITION_KEYS)})
+      union all select o_orderkey, 'recognition', 'value', p from n where whole and ({own_path})
+      union all select o_orderkey, 'remote', 'key', p from n where k in ({keys(privacy.REMOTE_KEYS)})
+      union all select o_orderkey, 'remote', 'path', p || ': ' || w from (select *, {path} as w from n where t is not null) where w is not null
+      union all select o_orderkey, 'remote', 'value', p from n where {remote}
+      union all select o_orderkey, m, 'unreadable', '$' from v, (values ('regression'), ('runtime'), ('recognition'), ('remote')) x(m) where not ok or (m <> 'remote' and json_type(report) <> 'OBJECT'))
+    select * from f"""
+
+
+ORACLES["report_privacy"] = _report_privacy()
+
+ORACLES["trace_coordinates"] = f"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
+n as (select doc_id, line, length(x) as a, length({_REPLACED.format('x')}) as b from l),
+e as (select *, sum(a + 1) over w - 1 as a_end, sum(b + 1) over w - 1 as b_end from n window w as (partition by doc_id order by line rows unbounded preceding))
+select doc_id, line::BIGINT as line, (a_end - a)::BIGINT as start, a_end::BIGINT as "end", (b_end - b)::BIGINT as new_start, b_end::BIGINT as new_end, true as same from e
+"""
+
+#: Lines end as Python's str.splitlines has it.
+_LINE_ENDS = "[\\n\\r\\x0B\\f\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
+ORACLES["restore_preview"] = f"""
+with l as (select doc_id, unnest(regexp_split_to_array(text, '{_LINE_ENDS}')) as x from documents),
+c as (select doc_id, count(*) filter (x <> {_REPLACED.format('x')}) as n from l group by doc_id)
+select doc_id, true as exact, 3::BIGINT as n_restored_entries, 0::BIGINT as n_skipped_entries, coalesce(n, 0)::BIGINT as n_removed, coalesce(n, 0)::BIGINT as n_added from documents left join c using (doc_id)
+"""

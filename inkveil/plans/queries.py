@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import cleaners, identifiers, noise, rejects
 from inkveil.functions.ordinals import ordinal_text
-from inkveil.operators import audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, pseudonyms, registry, replace, reports, samples
+from inkveil.operators import audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, privacy, pseudonyms, registry, replace, reports, samples, trace
 from inkveil.plans import fixtures
 from inkveil.plans.redaction import redact_identifiers
 
@@ -324,12 +324,36 @@ def top_of_map(spark, sf_dir):
     return parts.withColumn("place", F.row_number().over(order).cast("bigint")).select("p_partkey", "type", "place")
 
 
+def report_privacy(spark, sf_dir):
+    """What the four validators refuse in a report of every order, with its place."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", fixtures.report(F.col("o_orderkey")).alias("report"))
+    found = [privacy.report_issues(orders, v, "o_orderkey").select("o_orderkey", F.lit(v).alias("validator"), "issue", "detail") for v in ("regression", "runtime", "recognition", "remote")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def trace_coordinates(spark, sf_dir):
+    """Every line of every text carried to the redacted text and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mapped = trace.with_coordinates(docs, terms(spark), guard=False).select("doc_id", "coordinates", F.posexplode(trace.line_spans(F.col("text"))).alias("line", "span"))
+    there = mapped.withColumn("new", trace.to_redacted(F.col("coordinates"), F.col("span")))
+    back = there.withColumn("back", trace.to_original(F.col("coordinates"), F.col("new")))
+    place = lambda c: F.col(c).cast("bigint")
+    return back.select("doc_id", place("line").alias("line"), place("span.start").alias("start"), place("span.end").alias("end"), place("new.start").alias("new_start"), place("new.end").alias("new_end"), (F.col("back") == F.col("span")).alias("same"))
+
+
+def restore_preview(spark, sf_dir):
+    """Redacted texts restored, with the diff that a user looks at before; one row per document."""
+    docs, own = table(spark, sf_dir, "documents").select("doc_id", "text"), terms(spark).withColumn("restore_original", F.lit(None).cast("string"))
+    done = trace.preview_restore(replace.apply_mappings(docs, own, guard=False), own)
+    return done.select("doc_id", (F.col("restored") == F.col("text")).alias("exact"), "n_restored_entries", "n_skipped_entries", F.size(F.regexp_extract_all("diff", F.lit("(?m)^[-](?!-- redacted$)"), F.lit(0))).cast("bigint").alias("n_removed"), F.size(F.regexp_extract_all("diff", F.lit("(?m)^[+](?!\\+\\+ restored$)"), F.lit(0))).cast("bigint").alias("n_added"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
         placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, validated_names, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest, trusted_samples, sample_lookups,
-        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map,
+        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview,
     )
 }
