@@ -345,3 +345,13 @@ with l as (select doc_id, unnest(regexp_split_to_array(text, '{_LINE_ENDS}')) as
 c as (select doc_id, count(*) filter (x <> {_REPLACED.format('x')}) as n from l group by doc_id)
 select doc_id, true as exact, 3::BIGINT as n_restored_entries, 0::BIGINT as n_skipped_entries, coalesce(n, 0)::BIGINT as n_removed, coalesce(n, 0)::BIGINT as n_added from documents left join c using (doc_id)
 """
+
+ORACLES["restored_word_files"] = f"select doc_id, true as exact, ((length(r) - length(replace(replace(replace(r, '[A]', ''), '[B]', ''), '[C]', ''))) // 3)::BIGINT as n_restored from (select doc_id, {_REPLACED.format('text')} as r from documents)"
+
+ORACLES["redacted_workbooks"] = f"""
+with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents),
+r as (select doc_id, list_transform(x, lambda t: {_REPLACED.format('t')}) as y, x from l)
+select doc_id, case when doc_id % 10 = 0 then 'Sheet1!B2' else '' end as formulas, case when doc_id % 10 = 0 then 0 else len(list_filter(list_zip(x, y), lambda p: p[1] <> p[2])) end::BIGINT as n_cells,
+  case when doc_id % 10 <> 0 then sha256(array_to_string(list_filter(y, lambda t: t <> ''), chr(10))) end as text_sha256
+from r
+"""

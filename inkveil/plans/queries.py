@@ -12,6 +12,7 @@ from inkveil.functions.ordinals import ordinal_text
 from inkveil.operators import audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, privacy, pseudonyms, registry, replace, reports, samples, trace
 from inkveil.plans import fixtures
 from inkveil.plans.redaction import redact_identifiers
+from inkveil.sources import office, office_write
 
 #: A literal map whose originals do not overlap one another.
 TERMS = ((0, "organization", "tion", "[A]"), (1, "location", "the", "[B]"), (2, "person", "qu", "[C]"))
@@ -348,12 +349,32 @@ def restore_preview(spark, sf_dir):
     return done.select("doc_id", (F.col("restored") == F.col("text")).alias("exact"), "n_restored_entries", "n_skipped_entries", F.size(F.regexp_extract_all("diff", F.lit("(?m)^[-](?!-- redacted$)"), F.lit(0))).cast("bigint").alias("n_removed"), F.size(F.regexp_extract_all("diff", F.lit("(?m)^[+](?!\\+\\+ restored$)"), F.lit(0))).cast("bigint").alias("n_added"))
 
 
+def restored_word_files(spark, sf_dir):
+    """Redacted texts as Word files, whose masks are cut by runs of seven characters, restored and read again."""
+    docs, own = table(spark, sf_dir, "documents").select("doc_id", "text"), terms(spark).withColumn("restore_original", F.lit(None).cast("string"))
+    files = office_write.word_files(replace.apply_mappings(docs, own, guard=False), run_chars=7).select("doc_id", "text", "content")
+    done = office_write.restore_word_files(files, own)
+    read = done.withColumn("read", office.office_text("restored", F.lit("docx"))["text"])
+    return read.select("doc_id", (F.col("read") == F.col("text")).alias("exact"), "n_restored")
+
+
+def redacted_workbooks(spark, sf_dir):
+    """The lines of every text as a workbook, redacted; those of every tenth have a formula that holds a term."""
+    docs = table(spark, sf_dir, "documents")
+    tenth = F.col("doc_id") % 10 == 0
+    formulas = F.array(F.lit("1+1"), F.when(tenth, F.lit('A1&"tion"')).otherwise(F.lit('UPPER("x")')))
+    books = office_write.workbook_files(docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("cells"), formulas.alias("formulas"))).select("doc_id", "content")
+    done = office_write.redact_workbooks(books, terms(spark), guard=False)
+    text = office.office_text("redacted", F.lit("xlsx"))["text"]
+    return done.select("doc_id", F.array_join("formula_locations", ",").alias("formulas"), F.col("n_cells"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
         placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, validated_names, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest, trusted_samples, sample_lookups,
-        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview,
+        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview, restored_word_files, redacted_workbooks,
     )
 }

@@ -21,7 +21,8 @@ def _docx(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml"))
     inside = {p for table in body.iter(f"{_WORD}tbl") for p in table.iter(f"{_WORD}p")}
-    line = lambda p: "".join(t.text or "" for t in p.iter(f"{_WORD}t"))
+    signs = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n", f"{_WORD}noBreakHyphen": "-"}
+    line = lambda p: "".join(t.text or "" if t.tag == f"{_WORD}t" else signs.get(t.tag, "") for r in p.iter(f"{_WORD}r") for t in r)
     every = list(body.iter(f"{_WORD}p"))
     return "\n".join([line(p) for p in every if p not in inside] + [line(p) for p in every if p in inside])
 
