@@ -125,8 +125,8 @@ PLACE_NO_WORDS = (
     "保护", "金融", "总部", "商务", "制度", "全面", "组织",
     "限制", "一定地", "国医馆", "年郊",
 )
-#: What may stand before a place without being part of it; longer ones first.
-PLACE_LEADS = ("涉及所辖", "涉及", "所辖", "各县", "各", "全", "将", "及", "涉", "除特殊企业及", "除", "等", "本", "该", "此", "上", "前", "后", "下")
+#: What may stand before a place without being part of it.
+PLACE_LEADS = ("涉及所辖", "涉及", "所辖", "各县", "除特殊企业及", "除", "各", "全", "将", "及", "涉", "等", "本", "该", "此", "上", "前", "后", "下")
 
 #: Cities that companies are called after, without their suffix; the longest first.
 CITY_NAMES = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import lexicon as L
 from inkveil.functions.rejects import any_of
+from inkveil.functions.spans import quoted
 
 NOISY_PREFIXES = ("到的", "从未找", "未找", "直接找", "找", "一中", "二中", "三名", "该聊天", "首先", "原名", "否认其", "否认与")
 NOISY_PARTS = ("的管理", "聊天记录", "主张过", "系关联公司")
@@ -78,14 +79,27 @@ def alias_cores(name: Column) -> Column:
     return F.when(legal_suffix(name) != "", F.array_distinct(F.filter(F.array_compact(cores), lambda c: F.length(c) >= 2))).otherwise(F.array().cast("array<string>"))
 
 
+# The ways in which a text gives an organization another name.
+_FORMER = r"(?:原名称|原名|曾用名|原公司名称|原为|原系)"
+_OPENING = "[“\"'「『（(]?"
+_WHOLE_NAME = L.ORGANIZATION.replace(r"(?:^|(?<=[\s，,。；;：:、（(与和及由向对给找]))", "")
+ALIAS_PATTERNS = (
+    rf"{_FORMER}(?:\s*[：:]\s*|\s*为\s+|\s+)({_WHOLE_NAME})",  # a whole name stands after a colon or space
+    rf"{_NAMED}\s*{_OPENING}\s*([一-龥A-Za-z0-9·]{{2,20}}(?:公司|集团))",
+    rf"{_NAMED}\s*{_OPENING}\s*([一-龥A-Za-z0-9·]{{2,20}})",
+)
+
+
 def explicit_aliases(text: Column, name: Column) -> Column:
-    """Names that a text gives to an organization in the clause after a mention: former names and short forms."""
-    quote_marks = "[“\"'「『（(]?"
-    called = r"(?<!(?:简称|简称为|下称)\s{0,9})"  # what a text calls something by has no clause of its own
-    clause = F.concat(F.lit(called + r"\Q"), name, F.lit(r"\E((?:[（(][^）)]*[）)])?+(?:(?![与及和])[^。！？；]{0,120})?)"))
-    clauses = F.regexp_extract_all(text, clause, F.lit(1))
-    found = F.transform(clauses, lambda c: F.array(F.regexp_extract(c, f"{_NAMED}\\s*{quote_marks}\\s*([一-龥A-Za-z0-9·]{{2,20}})", 1), F.regexp_extract(c, f"(?:原名称|原名|曾用名|原公司名称|原为|原系)\\s*[：:为]?\\s*([一-龥A-Za-z0-9·]{{2,45}}?{_LEGAL})", 1)))
-    return F.array_distinct(F.filter(F.flatten(found), lambda a: (a != "") & (a != name)))
+    """Names that a text gives to an organization in the clause after each mention of it: all former names and short forms.
+
+    A mention's clause is a bracket right after it and what follows, up to the end of the sentence and 120 characters,
+    unless that goes on with another party; a mention that is itself a short form has none.
+    """
+    mention = F.concat(F.lit(rf"(?<!{_NAMED}\s{{0,9}})"), quoted(name), F.lit(r"(?=((?:[（(][^）)]*[）)])?+(?:(?![与及和])[^。！？；]{0,120})?))"))
+    clauses = F.regexp_extract_all(text, mention, F.lit(1))
+    found = F.transform(clauses, lambda c: F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in ALIAS_PATTERNS))))
+    return F.when(name != "", F.array_distinct(F.filter(F.flatten(found), lambda a: (a != "") & (a != name)))).otherwise(F.array().cast("array<string>"))
 
 
 def institution_mask(name: Column) -> Column:

@@ -59,7 +59,7 @@ def without_leading_place(body: Column) -> Column:
     city = F.regexp_replace(body, "^" + any_of(L.CITY_NAMES) + "(?=..)", "")
     named = F.regexp_replace(body, "^[一-龥]{2,8}(?:市|州|盟)", "")
     place = F.when(province != body, province).when(city != body, city).when(named != body, named)
-    return F.when(body.rlike(r"^(?:中国|中华|全国)|\\s"), body).otherwise(F.coalesce(place, cut(2), cut(3), cut(4), body))
+    return F.when(body.rlike(r"^(?:中国|中华|全国)|\s"), body).otherwise(F.coalesce(place, cut(2), cut(3), cut(4), body))
 
 
 def _known_places(body: Column, places: Column) -> Column:

@@ -75,6 +75,7 @@ def without_noise_names(mappings: DataFrame) -> DataFrame:
 
 
 SAMPLED = "sample_library:"
+BLOCK_CHARS = 64
 SAMPLED_TYPES = ("organization", "individual_business", "location", "grassroots_org", "person", "project")
 
 
@@ -85,9 +86,10 @@ def inside_trusted_samples(docs: DataFrame, mappings: DataFrame, id_col: str = "
     trusted = mapping_occurrences(docs, mappings.where(sampled & F.col("type").isin(*SAMPLED_TYPES)), id_col, text_col, on)
     found = mapping_occurrences(docs, mappings.where(~F.coalesce(sampled, F.lit(False))), id_col, text_col, on)
     inside = inside_only(found, trusted, id_col)
-    names = trusted.select(id_col, F.col("original").alias("name"), F.col("start").alias("s"), F.col("end").alias("e"))
-    places = found.where(F.col("type").isin("location", "grassroots_org"))
-    held = places.join(names, id_col, "left").withColumn("held", (F.col("s") >= F.col("start")) & (F.col("e") <= F.col("end")) & (F.col("name") != F.col("original")))
+    block = lambda c: F.floor(c / BLOCK_CHARS)  # noqa: E731  names meet the places that reach into their block only
+    names = trusted.select(id_col, F.col("original").alias("name"), F.col("start").alias("s"), F.col("end").alias("e"), block(F.col("start")).alias("block"))
+    places = found.where(F.col("type").isin("location", "grassroots_org")).withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.greatest("start", F.col("end") - 1)))))
+    held = places.join(names, [id_col, "block"], "left").withColumn("held", (F.col("s") >= F.col("start")) & (F.col("e") <= F.col("end")) & (F.col("name") != F.col("original")))
     each = held.groupBy(id_col, "original", "start").agg(F.count_distinct(F.when(F.col("held"), F.col("name"))).alias("n"))
     return inside.unionByName(each.groupBy(id_col, "original").agg(F.min("n").alias("n")).where("n >= 2").select(id_col, "original")).distinct()
 

@@ -195,3 +195,45 @@ def report_sql(key: str) -> str:
     for step in (len(REPORTS) ** 2, len(REPORTS), 1):
         inner = f"replace(replace({listed}[({key} // {step}) % {len(REPORTS)} + 1], '{{r}}', {inner}), '{{k}}', {key}::VARCHAR)"
     return inner
+
+
+#: Sentences that give names to one another; {a} to {d} are names, {s} a filling of more than 120 characters.
+ALIAS_LINES = (
+    "{a}（以下简称“{b}”）起诉。{b}，曾用名：{c}，已改制。{c}下称{d}。",
+    "{a}（原名 {b}，原系：{c}）。{d}简称为「{a}」。",
+    "{a}与丙公司（以下简称{b}）签约。{a}{s}简称{c}。{a}（注）曾用名： {d}。",
+    "甲方简称{a}（下称{b}）。{a}；简称{c}。{b}下称{d}",
+    "{a}{a}，简称{b}、下称{c}！{c}原为：{a}，原为 {d}；",
+    "被告{b}（简称{c}）。{c}下称{d}，{d}原名称：{b}。{a}。",
+)
+ALIAS_NAMES = (
+    ("河北星河建设有限公司", "江苏载道电力工程有限公司", "泽新经销集团"), ("星河", "载道公司", "泽新集团"), ("华泰银行石家庄分行", "远大商业银行", "金杜律师事务所", "红星中学学校"), ("华泰", "远大行", "金杜所"),
+)
+
+
+def _alias_values() -> list[tuple[str, int, tuple[str, ...]]]:
+    steps, out = len(ALIAS_LINES), []
+    for place, names in zip("abcd", ALIAS_NAMES, strict=True):
+        out.append((f"{{{place}}}", steps, names))
+        steps *= len(names)
+    return [*out, ("{s}", 1, ("，" + "字" * 118,))]
+
+
+def alias_text(key: Column) -> Column:
+    out = _picked(key, 1, ALIAS_LINES)
+    for place, step, names in _alias_values():
+        out = F.replace(out, F.lit(place), _picked(key, step, names))
+    return F.concat(out, F.lit(" "), key.cast("string"))
+
+
+def alias_name(key: Column) -> Column:
+    return _picked(key, len(ALIAS_LINES), ALIAS_NAMES[0])
+
+
+def alias_sql(key: str) -> tuple[str, str]:
+    """The text and the name in SQL."""
+    pick = lambda step, names: "[" + ", ".join(f"'{n}'" for n in names) + f"][({key} // {step}) % {len(names)} + 1]"
+    out = pick(1, ALIAS_LINES)
+    for place, step, names in _alias_values():
+        out = f"replace({out}, '{place}', {pick(step, names)})"
+    return f"{out} || ' ' || {key}::VARCHAR", pick(len(ALIAS_LINES), ALIAS_NAMES[0])

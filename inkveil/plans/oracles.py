@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkveil.functions import lexicon as L
 from inkveil.functions import noise as N
+from inkveil.functions.organizations import ALIAS_PATTERNS
 from inkveil.operators import privacy
 from inkveil.plans import fixtures
 
@@ -355,3 +356,60 @@ select doc_id, case when doc_id % 10 = 0 then 'Sheet1!B2' else '' end as formula
   case when doc_id % 10 <> 0 then sha256(array_to_string(list_filter(y, lambda t: t <> ''), chr(10))) end as text_sha256
 from r
 """
+
+
+def _discovered_aliases() -> str:
+    """Mentions by splitting at the name; each one's clause, then the three patterns over it."""
+    text, name = fixtures.alias_sql("o_orderkey")
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    given = " || ".join(f"regexp_extract_all(w, {quoted(p)}, 1)" for p in ALIAS_PATTERNS)
+    bracket = r"regexp_extract(rest, '^[（(][^）)]*[）)]')"
+    clause = r"left(regexp_extract(tail, '^[^。！？；]*'), 120)"
+    return f"""
+    with recursive o as (select o_orderkey, {text} as text, {name} as name from orders),
+    f(o_orderkey, text, name, parent, depth, seen) as (
+      select o_orderkey, text, [name], [null::VARCHAR], 0, [name] from o
+      union all
+      select o_orderkey, text, list_transform(fresh, lambda x: x.alias), list_transform(fresh, lambda x: x.parent), depth + 1, seen || list_transform(fresh, lambda x: x.alias)
+      from (
+        select o_orderkey, text, depth, seen, list({{'alias': alias, 'parent': parent}} order by alias) as fresh
+        from (
+          select o_orderkey, text, depth, seen, alias, min(parent) as parent
+          from (
+            select o_orderkey, text, depth, seen, parent, unnest({given}) as alias
+            from (
+              select *, bracket || case when regexp_matches(tail, '^[与及和]') then '' else {clause} end as w
+              from (
+                select *, {bracket} as bracket, substring(rest, length({bracket}) + 1) as tail
+                from (
+                  select o_orderkey, text, depth, seen, parent, list_reduce(parts[1:i], lambda a, b: a || parent || b) as before, list_reduce(parts[i + 1:], lambda a, b: a || parent || b) as rest
+                  from (
+                    select o_orderkey, text, depth, seen, parent, parts, unnest(range(1, len(parts))) as i
+                    from (select o_orderkey, text, depth, seen, parent, string_split(text, parent) as parts from (select o_orderkey, text, depth, seen, unnest(name) as parent from f))
+                  )
+                )
+              )
+              where not regexp_matches(before, '(以下简称|简称为|简称|下称)\\s*$')
+            )
+          )
+          where alias <> parent and alias <> '' and not list_contains(seen, alias)
+          group by all
+        )
+        group by o_orderkey, text, depth, seen
+      )
+    )
+    select o_orderkey, unnest(name) as name, unnest(parent) as parent, depth::BIGINT as depth from f
+    """
+
+
+ORACLES["discovered_aliases"] = _discovered_aliases()
+
+ORACLES["recogniser_verdicts"] = """
+with p as (select doc_id, d.text as whole, t.w as text, unnest(list_filter(range(0, length(d.text)), lambda i: substring(d.text, i + 1, length(t.w)) = t.w)) as start from documents d, (values ('tion'), ('the'), ('qu')) t(w)),
+v as (select *, doc_id % 4 <> 3 as told, start + length(text) as "end", greatest(start - 80, 0) as low from p),
+b as (select *, case when told and text = 'tion' then case when doc_id % 2 = 0 then 'tions' else 'ention' end end as better from v),
+i as (select *, instr(substring(whole, (low + 1)::BIGINT, ("end" + 80 - low)::BIGINT), better) as place from b)
+select doc_id, start as ord, case when place > 0 then better else text end as text, case when place > 0 then low + place - 1 else start end as start, case when place > 0 then low + place - 1 + length(better) else "end" end as "end",
+  case when place > 0 then 'linear_llm_calibrated' else 'rule' end as source, case when place > 0 then 0.95 else 0.5 end::DOUBLE as confidence
+from i where place > 0 or not told or not list_contains(case when doc_id % 3 = 0 then ['qu', 'tion'] else ['the'] end, text)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import cleaners, identifiers, noise, rejects
 from inkveil.functions.ordinals import ordinal_text
-from inkveil.operators import audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, privacy, pseudonyms, registry, replace, reports, samples, trace
+from inkveil.operators import aliases, audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, privacy, pseudonyms, registry, replace, reports, samples, trace
 from inkveil.plans import fixtures
 from inkveil.plans.redaction import redact_identifiers
 from inkveil.sources import office, office_write
@@ -369,12 +369,32 @@ def redacted_workbooks(spark, sf_dir):
     return done.select("doc_id", F.array_join("formula_locations", ",").alias("formulas"), F.col("n_cells"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
+def discovered_aliases(spark, sf_dir):
+    """Names that the texts of all orders give to a company, to those names again, and so on."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", fixtures.alias_text(F.col("o_orderkey")).alias("text"), fixtures.alias_name(F.col("o_orderkey")).alias("name"))
+    found = aliases.discover_aliases(orders, orders.select("o_orderkey", "name"), "o_orderkey")
+    return found.select("o_orderkey", "name", "parent", F.col("depth").cast("bigint").alias("depth"))
+
+
+def recogniser_verdicts(spark, sf_dir):
+    """Every occurrence of the terms in every text, after verdicts that change with the document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    places = replace.trace_positions(docs, terms(spark), most=1 << 30).select("doc_id", F.col("original").alias("text"), F.explode("positions").alias("start"))
+    found = places.select("doc_id", F.col("start").alias("ord"), F.lit("person").alias("type"), "text", "start", (F.col("start") + F.length("text")).alias("end"), F.lit("rule").alias("source"), F.lit(0.5).alias("confidence"))
+    verdicts = docs.where("doc_id % 4 <> 3").select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("qu"), F.lit("tion"))).otherwise(F.array(F.lit("the"))).alias("reject"),
+        F.create_map(F.lit("tion"), F.when(F.col("doc_id") % 2 == 0, " tions ").otherwise("ention"), F.lit("qu"), F.lit("q")).alias("calibrate"),
+    )
+    judged = aliases.apply_verdicts(docs, found, verdicts)
+    return judged.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "text", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "source", "confidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
         placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, validated_names, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest, trusted_samples, sample_lookups,
-        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview, restored_word_files, redacted_workbooks,
+        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview, restored_word_files, redacted_workbooks, discovered_aliases, recogniser_verdicts,
     )
 }
