@@ -237,3 +237,23 @@ def alias_sql(key: str) -> tuple[str, str]:
     for place, step, names in _alias_values():
         out = f"replace({out}, '{place}', {pick(step, names)})"
     return f"{out} || ' ' || {key}::VARCHAR", pick(len(ALIAS_LINES), ALIAS_NAMES[0])
+
+
+#: Places as a gazetteer finds them: text, level, full name and code. Some names share a code, some codes a core.
+ADMIN_PLACES = (
+    ("广东省", "province", "广东省", "44"), ("广东", "province", "广东省", "44"), ("深圳市", "city", "广东省深圳市", "4403"), ("深圳", "city", "广东省深圳市", "4403"), ("南山区", "county", "广东省深圳市南山区", "440305"),
+    ("南山", "county", "广东省深圳市南山区", "440305"), ("河北省石家庄市", "city", "河北省石家庄市", "1301"), ("石家庄市长安区建北街道", "township", "建北街道", "130102001"), ("建北街道", "township", "", "130102001"),
+    ("辛集市", "county_city", "辛集市", "130181"), ("辛集", "county_city", "", ""), ("棉一社区居委会", "community", "棉一社区居委会", "130102001001"), ("广西壮族自治区", "province", "广西壮族自治区", "45"), ("广西", "province", "广西壮族自治区", "45"),
+    ("大理州", "city", "大理白族自治州", "5329"), ("香港特别行政区", "province", "香港特别行政区", "81"), ("西柏坡", "township", "西柏坡镇", "130131"), ("鹿", "county", "", "130110"), ("南山市", "city", "", ""),
+    ("河北省石家庄市长安区建北街道棉一社区", "township", "", "1"), ("Ab", "city", "", "7"), ("鼓楼区", "county", "南京市鼓楼区", "320106"), ("鼓楼区", "county", "福州市鼓楼区", "350102"),
+)
+
+
+def admin_candidates(doc: Column, line: Column) -> dict[str, Column]:
+    """The candidate of a document's line; places overlap."""
+    pick = lambda n: F.get(F.array(*(F.lit(x[n]) for x in ADMIN_PLACES)), F.pmod(doc * 7 + line * (doc % 5 + 1), F.lit(len(ADMIN_PLACES))).cast("int"))
+    start = (line * 3 + F.pmod(doc, F.lit(4)) * line).cast("int")
+    return {
+        "type": F.when((doc + line) % 11 == 0, "grassroots_org").otherwise("location"), "text": pick(0), "start": start, "end": (start + F.length(pick(0))).cast("int"), "level": pick(1), "canonical_name": pick(2), "code": pick(3),
+        "source": F.when(doc % 2 == 0, "hebei_admin_db").otherwise("china_admin_db"),
+    }

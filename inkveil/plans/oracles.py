@@ -5,7 +5,8 @@ from __future__ import annotations
 from inkveil.functions import lexicon as L
 from inkveil.functions import noise as N
 from inkveil.functions.organizations import ALIAS_PATTERNS
-from inkveil.operators import privacy
+from inkveil.functions.places import SUFFIXES as L_PLACE_SUFFIXES
+from inkveil.operators import admin_paths, privacy
 from inkveil.plans import fixtures
 
 _EMAIL = r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?:[^A-Za-z0-9._%+-]|$)"
@@ -413,3 +414,45 @@ select doc_id, start as ord, case when place > 0 then better else text end as te
   case when place > 0 then 'linear_llm_calibrated' else 'rule' end as source, case when place > 0 then 0.95 else 0.5 end::DOUBLE as confidence
 from i where place > 0 or not told or not list_contains(case when doc_id % 3 = 0 then ['qu', 'tion'] else ['the'] end, text)
 """
+
+
+def _admin_path_masks() -> str:
+    """Candidates are taken one after the other by recursion; ordinals are ranks of subjects' first places."""
+    listed = lambda n: "[" + ", ".join(f"'{x[n]}'" for x in fixtures.ADMIN_PLACES) + "]"
+    pick = lambda n: f"{listed(n)}[(l_orderkey * 7 + l_linenumber * (l_orderkey % 5 + 1)) % {len(fixtures.ADMIN_PLACES)} + 1]"
+    ends = "[" + ", ".join(f"'{e}'" for e in admin_paths.ENDINGS) + "]"
+    ending = lambda c: f"list_filter({ends}, lambda e: ends_with({c}, e))[1]"
+    part = [r"(?:[一-龥]+?(?:省|自治区))", r"(?:[一-龥]+?(?:市|自治州))", r"(?:[一-龥]*?[一-龥&&[^社]]区|[一-龥]+?县)", r"(?:[一-龥]+?(?:街道|镇|乡))", r"(?:[一-龥]+?(?:居民委员会|居委会|村民委员会|村委会|社区|村))"]
+    part[2] = r"(?:[一-龥]*?[一-礽礿-龥]区|[一-龥]+?县)"  # no 社 before 区
+    shape = "^" + "".join(f"({p})?" for p in part) + "$"
+    pieces = ", ".join(f"regexp_extract(text, '{shape}', {k})" for k in range(1, 6))
+    core = "text_piece"
+    for _ in range(3):
+        core = rf"case when ends_with({core}, '小镇') then {core} else regexp_replace({core}, '^(.{{2,}}?)({'|'.join(L_PLACE_SUFFIXES)})$', '\1') end"
+    kinds = "[" + ", ".join(f"['{a}', '{b}']" for a, b in (("自治区", "自治区"), ("省", "省"), ("自治州", "自治州"), ("市", "市"), ("居民委员会", "社区居民委员会"), ("居委会", "社区居委会"), ("村民委员会", "村民委员会"), ("村委会", "村委会"), ("社区", "社区"), ("区", "区"), ("县", "县"), ("街道", "街道"), ("镇", "镇"), ("乡", "乡"), ("村", "村"))) + "]"
+    direct = ", ".join(f"'{x}'" for x in admin_paths.REGIONAL_LEVELS)
+    return rf"""
+    with recursive c as (select distinct l_orderkey, {pick(0)} as text, l_linenumber * 3 + (l_orderkey % 4) * l_linenumber as start, {pick(1)} as level, {pick(2)} as canonical, {pick(3)} as code, (l_orderkey + l_linenumber) % 11 as other from lineitem),
+    a as (select l_orderkey, text, start, start + length(text) as "end", level, canonical, code from c where other <> 0 and case when l_orderkey % 2 = 0 then level in ({direct}) else level in ('province', 'city', 'county', 'county_city') and (level <> 'county' or ends_with(text, '区')) end),
+    o as (select *, row_number() over (partition by l_orderkey order by start, "end", text, code) as n from a),
+    f(l_orderkey, n, kept) as (
+      select distinct l_orderkey, 0::BIGINT, []::STRUCT(s BIGINT, e BIGINT, l VARCHAR, n BIGINT)[] from o
+      union all
+      select o.l_orderkey, o.n, case when len(list_filter(kept, lambda k: k.e > o.start and k.s < o."end" and not (k.l = o.level and o.level in ({direct})))) > 0 then kept else list_append(kept, {{'s': o.start, 'e': o."end", 'l': o.level, 'n': o.n}}) end
+      from f join o on o.l_orderkey = f.l_orderkey and o.n = f.n + 1),
+    last as (select l_orderkey, arg_max(kept, n) as kept from f group by l_orderkey),
+    k as (select o.* from o join (select l_orderkey, unnest(kept).n as n from last) x using (l_orderkey, n)),
+    p as (select *, list_filter([{pieces}], lambda x: x <> '') as parts,
+      case when ends_with(text, '村民委员会') then '村民委员会' when ends_with(text, '村委会') then '村委会' when ends_with(text, '居民委员会') then '社区居民委员会' when ends_with(text, '居委会') then '社区居委会' when level = 'community' then '社区' when level = 'village' then '村'
+        else coalesce({ending('text')}, {ending('canonical')}, case level when 'province' then '省' when 'city' then case when ends_with(canonical, '自治州') then '自治州' else '市' end when 'county_city' then '市' when 'county' then '县' when 'township' then '镇' else '' end) end as suffix from k),
+    w as (select *, len(parts) <= 1 and suffix <> '' as whole from p),
+    x as (select *, unnest(case when whole then [text] else parts end) as text_piece, generate_subscripts(case when whole then [text] else parts end, 1) as nth from w),
+    y as (select *, {core} as core, case when whole and code <> '' then code end as own from x),
+    z as (select *, case when own is not null then first_value(core) over (partition by l_orderkey, own order by n, nth) else core end as subject from y),
+    r as (select *, dense_rank() over (partition by l_orderkey order by first) as ordinal from (select *, min(n * 10 + nth) over (partition by l_orderkey, subject) as first from z)),
+    m as (select *, case when ordinal <= 10 then substring('甲乙丙丁戊己庚辛壬癸', ordinal, 1) else ordinal::VARCHAR end || case when whole then suffix else list_filter({kinds}, lambda q: ends_with(text_piece, q[1]))[1][2] end as shown from r)
+    select l_orderkey, start::BIGINT as start, "end"::BIGINT as "end", text as original, string_agg(shown, '' order by nth) as masked, level, code from m group by l_orderkey, n, start, "end", text, level, code
+    """
+
+
+ORACLES["admin_path_masks"] = _admin_path_masks()

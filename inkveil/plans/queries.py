@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import cleaners, identifiers, noise, rejects
 from inkveil.functions.ordinals import ordinal_text
-from inkveil.operators import aliases, audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, privacy, pseudonyms, registry, replace, reports, samples, trace
+from inkveil.operators import admin_paths, aliases, audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, privacy, pseudonyms, registry, replace, reports, samples, trace
 from inkveil.plans import fixtures
 from inkveil.plans.redaction import redact_identifiers
 from inkveil.sources import office, office_write
@@ -389,12 +389,19 @@ def recogniser_verdicts(spark, sf_dir):
     return judged.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "text", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "source", "confidence")
 
 
+def admin_path_masks(spark, sf_dir):
+    """Places of one to five levels, one of each line of every order, masked with ordinals that a code's names share."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *(c.alias(n) for n, c in fixtures.admin_candidates(F.col("l_orderkey"), F.col("l_linenumber")).items()))
+    masked = admin_paths.mask_admin_places(lines, "l_orderkey")
+    return masked.select("l_orderkey", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "original", "masked", "level", "code")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
         placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, validated_names, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest, trusted_samples, sample_lookups,
-        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview, restored_word_files, redacted_workbooks, discovered_aliases, recogniser_verdicts,
+        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview, restored_word_files, redacted_workbooks, discovered_aliases, recogniser_verdicts, admin_path_masks,
     )
 }
