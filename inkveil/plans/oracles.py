@@ -456,3 +456,9 @@ def _admin_path_masks() -> str:
 
 
 ORACLES["admin_path_masks"] = _admin_path_masks()
+
+ORACLES["sample_store_batches"] = """
+select user_id, event_id, event_type, value, strftime(f, '%Y-%m-%d %H:%M:%S') as first_seen_at, strftime(l, '%Y-%m-%d %H:%M:%S') as last_seen_at
+from (select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value, min(ts) as f, max(ts) as l from events where user_id is not null group by user_id)
+where event_type <> 'error'
+"""

@@ -12,7 +12,9 @@ from inkveil.functions.ordinals import ordinal_text
 from inkveil.operators import admin_paths, aliases, audit, candidates, companies, components, detect, evaluation, gazetteer, postprocess, privacy, pseudonyms, registry, replace, reports, samples, trace
 from inkveil.plans import fixtures
 from inkveil.plans.redaction import redact_identifiers
+from inkveil.shared import shared_dir
 from inkveil.sources import office, office_write
+from inkveil.streaming import sample_store
 
 #: A literal map whose originals do not overlap one another.
 TERMS = ((0, "organization", "tion", "[A]"), (1, "location", "the", "[B]"), (2, "person", "qu", "[C]"))
@@ -396,12 +398,22 @@ def admin_path_masks(spark, sf_dir):
     return masked.select("l_orderkey", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "original", "masked", "level", "code")
 
 
+def sample_store_batches(spark, sf_dir):
+    """The store after three batches of all events, which come in any order of time, and the second of them once more."""
+    root = shared_dir(spark)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value", (F.col("event_type") == "error").alias("gone"))
+    for batch in (0, 1, 2, 1):
+        sample_store.merge_batch(events.where(F.col("event_id") % 3 == batch), batch, root, "user_id", ["ts", "event_id"], "ts", "gone")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return sample_store.read_store(spark, root).select("user_id", "event_id", "event_type", "value", text("first_seen_at"), text("last_seen_at"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_email_pages, detect_bank_account, detect_bank_account_pages, identifier_counts_by_type, detect_identifiers, redact_documents, redact_apply_longest_first, restore_roundtrip,
         placeholder_metric, leak_scan, html_escape_highlight, trace_first_positions, signature_lines, false_persons, false_organizations, false_places, cleaned_persons, cleaned_organizations, proposed_names, organization_masks, validated_names, candidate_dedupe, overlap_resolution, span_containment_antijoin, dictionary_substring_join,
         ordinal_masks_per_key, alias_components, gold_metrics, identity_errors, audit_categories, length_strata, scenario_label_counts, input_manifest, size_guard, sample_upsert_latest, trusted_samples, sample_lookups,
-        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview, restored_word_files, redacted_workbooks, discovered_aliases, recogniser_verdicts, admin_path_masks,
+        recent_errors_topk, best_group_with_ties, unique_binding_lookup, timing_ms_with_reason, benchmark_deltas, benchmark_recommendation, registry_names, repaired_payloads, division_terms, top_of_map, report_privacy, trace_coordinates, restore_preview, restored_word_files, redacted_workbooks, discovered_aliases, recogniser_verdicts, admin_path_masks, sample_store_batches,
     )
 }

@@ -33,7 +33,8 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
@@ -41,7 +42,7 @@ def _file_system(spark: SparkSession, path: str):
 def shared_dir(spark: SparkSession) -> str:
     """The name of a fresh folder there. What it holds is deleted when the session's JVM ends, also after ``stop()``."""
     path = f"{shared_root(spark).rstrip('/')}/inkveil-{uuid.uuid4().hex}"
-    system, target = _file_system(spark, path)
+    system, target = file_system(spark, path)
     system.mkdirs(target)
     system.deleteOnExit(target)
     return path + "/table"
@@ -49,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Delete a folder of :func:`shared_dir` once nothing reads it any more; the others stay."""
-    system, target = _file_system(spark, path.removesuffix("/table"))
+    system, target = file_system(spark, path.removesuffix("/table"))
     system.delete(target, True)
     system.cancelDeleteOnExit(target)
 
