@@ -65,9 +65,8 @@ def replace_marks(text: Column, entries: Column, key: str = "original", ordinal:
     return F.aggregate(ordered, _escaped(text), lambda t, x: F.replace(t, _escaped(x["key"]), _mark(x["i"]))), ordered
 
 
-def fill_marks(marked: Column, ordered: Column, value, between=lambda t: t) -> Column:
-    """The marked text with ``value`` of each mark's entry, and ``between`` of what stands between marks."""
-    parts = F.split(marked, OPEN)
+def fill_parts(parts: Column, ordered: Column, value, between=lambda t: t) -> Column:
+    """A marked text that is split at OPEN, with ``value`` of each mark's entry, and ``between`` of what stands between marks."""
 
     def one(p: Column) -> Column:
         i = F.translate(F.substring_index(p, CLOSE, 1), DIGITS, "0123456789").cast("int")
@@ -77,6 +76,23 @@ def fill_marks(marked: Column, ordered: Column, value, between=lambda t: t) -> C
     return F.concat(between(_unescaped(F.get(parts, F.lit(0)))), F.array_join(rest, ""))
 
 
+def fill_marks(marked: Column, ordered: Column, value, between=lambda t: t) -> Column:
+    """:func:`fill_parts` of a marked text."""
+    return fill_parts(F.split(marked, OPEN), ordered, value, between)
+
+
+def with_replaced(docs: DataFrame, text_col: str, entries: str, out: str, key: str = "original", value: str = "masked", ordinal: str = "ord") -> DataFrame:
+    """``docs`` with the keys of an array column of entries replaced in the text, longest key first, as :func:`replace_all`.
+
+    Marks and order are columns of their own, so that each is computed once a text, and not at all without entries.
+    """
+    marked, ordered = replace_marks(F.col(text_col), F.col(entries), key, ordinal)
+    some = F.size(entries) > 0
+    bound = docs.withColumns({"__parts": F.when(some, F.split(marked, OPEN)), "__ordered": F.when(some, ordered)})
+    done = F.when(some, fill_parts(F.col("__parts"), F.col("__ordered"), lambda m: m[value])).otherwise(F.col(text_col))
+    return bound.withColumn(out, done).drop("__parts", "__ordered")
+
+
 def replace_all(text: Column, entries: Column, key: str = "original", value: str = "masked", ordinal: str = "ord") -> Column:
     """``text`` with the keys of ``entries`` (array of structs) replaced by their values, longest key first."""
     marked, ordered = replace_marks(text, entries, key, ordinal)
@@ -203,11 +219,11 @@ def _applied(docs: DataFrame, mappings: DataFrame, text_col: str, on: str | None
     slim, rows = mapping_rows(mappings, on, guard, key, value)
     if on:
         joined = with_entries(docs, slim, on)
-        done = _spliced_by_row(F.col(text_col), F.col("__entries")) if guard else replace_all(F.col(text_col), F.col("__entries"), "k", "v", "o")
-        return joined.withColumn(out, done).drop("__entries")
+        done = joined.withColumn(out, _spliced_by_row(F.col(text_col), F.col("__entries"))) if guard else with_replaced(joined, text_col, "__entries", out, "k", "v", "o")
+        return done.drop("__entries")
     if len(rows) > JVM_ENTRIES or any(r["g"] for r in rows):
         return docs.withColumn(out, _spliced_by_shared(F.col(text_col), rows))
-    return with_entries(docs, slim).withColumn(out, replace_all(F.col(text_col), F.col("__entries"), "k", "v", "o")).drop("__entries")
+    return with_replaced(with_entries(docs, slim), text_col, "__entries", out, "k", "v", "o").drop("__entries")
 
 
 def apply_mappings(docs: DataFrame, mappings: DataFrame, text_col: str = "text", on: str | None = None, guard: bool = True, out: str = "redacted") -> DataFrame:

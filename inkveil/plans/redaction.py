@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import identifiers as I
 from inkveil.operators.detect import type_spans
-from inkveil.operators.replace import replace_all
+from inkveil.operators.replace import with_replaced
 
 
 def redact_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: tuple[str, ...] = tuple(I.DETECTORS), seed: int = 0) -> DataFrame:
@@ -22,7 +22,7 @@ def redact_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     numbered = found.withColumn("__all", F.transform("__found", lambda x, i: F.struct(i.alias("ord"), x["type"].alias("type"), x["text"].alias("original"), masked(x).alias("masked"))))
     firsts = lambda originals: F.filter("__all", lambda x, i: (F.array_position(originals, x["original"]) == i + 1) & (x["original"] != x["masked"]))
     mapped = numbered.withColumn("mappings", F.get(F.transform(F.array(F.transform("__all", lambda x: x["original"])), firsts), 0))
-    redacted = mapped.withColumn("redacted", I.strip_court_signatures(replace_all(text, F.col("mappings"))))
+    redacted = with_replaced(mapped, text_col, "mappings", "__replaced").withColumn("redacted", I.strip_court_signatures(F.col("__replaced")))
     again = F.concat(*(type_spans(F.col("redacted"), t) for t in I.DETECTORS if t in I.HIGH_RISK))
     leaks = F.filter(again, lambda x: ~x["text"].contains("某") & ~x["text"].contains("***"))
     return redacted.select(id_col, "redacted", "mappings", F.transform(leaks, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"))).alias("leaks"))

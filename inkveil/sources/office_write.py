@@ -9,13 +9,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkveil.operators.replace import mapping_rows, replaced_places, restore_lookup, splice, with_entries
 
@@ -379,47 +381,41 @@ def workbook_files(rows: DataFrame, cells: str = "cells", formulas: str = "formu
 _BROKEN = (zipfile.BadZipFile, KeyError, ValueError, IndexError, AttributeError, expat.ExpatError, NotImplementedError, RuntimeError)
 
 
-def restore_word_files(files: DataFrame, mappings: DataFrame, content: str = "content", on: str | None = None) -> DataFrame:
-    """``files`` with ``restored`` (the Word file) and ``n_restored``, or ``error``. Mappings are those of ``restore``."""
-    slim, rows = mapping_rows(restore_lookup(mappings, *([on] if on else [])), on, False, "masked", "original")
+def _each_file(files: DataFrame, entries: DataFrame | None, rows: list[dict], content: str, on: str | None, made: str, work: Callable[[bytes, list[dict]], tuple]) -> DataFrame:
+    """``files`` with the columns ``made`` (DDL), which ``work`` gives for a file and its map's rows, and ``error``."""
+    joined, own_columns = with_entries(files, entries, on) if on else files, files.columns
+    new = T.StructType.fromDDL(f"{made}, error string").fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = (None,) * (len(new) - 1)
+        for batch in batches:
+            out = []
+            for i, data in enumerate(batch.column(content).to_pylist()):
+                try:
+                    own = (batch.column("__entries")[i].as_py() or []) if on else rows
+                    out.append((*nothing, "no content") if data is None else (*work(data, own), None))
+                except _BROKEN as e:
+                    out.append((*nothing, type(e).__name__))
+            columns = [pa.array([row[k] for row in out], to_arrow_type(f.dataType)) for k, f in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), *columns], names=[*own_columns, *(f.name for f in new)])
+
+    schema = T.StructType([*files.schema.fields, *new])
+    return joined.mapInArrow(run, schema)
 
-    @F.arrow_udf("restored binary, n_restored bigint, error string")
-    def run(contents: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for data, own in zip(contents.to_pylist(), lists.to_pylist(), strict=True):
-            row = {"restored": None, "n_restored": None, "error": None if data is not None else "no content"}
-            try:
-                if data is not None:
-                    row["restored"], row["n_restored"] = restored_word_file(data, rows if not on else own or [])
-            except _BROKEN as e:
-                row["error"] = type(e).__name__
-            out.append(row)
-        return pa.array(out, pa.struct([("restored", pa.binary()), ("n_restored", pa.int64()), ("error", pa.string())]))
 
-    joined = with_entries(files, slim, on) if on else files.withColumn("__entries", F.lit(None).cast("array<int>"))
-    return joined.withColumn("__done", run(F.col(content), F.col("__entries"))).select(*files.columns, "__done.*")
+def restore_word_files(files: DataFrame, mappings: DataFrame, content: str = "content", on: str | None = None) -> DataFrame:
+    """``files`` with ``restored`` (the Word file) and ``n_restored``, or ``error``. Mappings are those of ``restore``.
+
+    Null contents and what is no Word file have an ``error`` and nothing else."""
+    slim, rows = mapping_rows(restore_lookup(mappings, *([on] if on else [])), on, False, "masked", "original")
+    return _each_file(files, slim, rows, content, on, "restored binary, n_restored bigint", restored_word_file)
 
 
 def redact_workbooks(files: DataFrame, mappings: DataFrame, content: str = "content", on: str | None = None, guard: bool = True) -> DataFrame:
     """``files`` with ``redacted`` (the workbook), ``formula_locations``, ``n_cells`` and ``error``.
 
     A workbook whose formulas hold an original is refused: it has no ``redacted`` and the places in ``formula_locations``.
-    Null contents and what is no workbook have an ``error``. Mappings are those of ``apply_mappings``.
+    Null contents and what is no workbook have an ``error`` and nothing else. Mappings are those of ``apply_mappings``.
     """
     slim, rows = mapping_rows(mappings, on, guard, "original", "masked")
-
-    @F.arrow_udf("redacted binary, formula_locations array<string>, n_cells bigint, error string")
-    def run(contents: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for data, own in zip(contents.to_pylist(), lists.to_pylist(), strict=True):
-            row = {"redacted": None, "formula_locations": [], "n_cells": 0, "error": None if data is not None else "no content"}
-            try:
-                if data is not None:
-                    row["redacted"], row["formula_locations"], row["n_cells"] = redacted_workbook(data, rows if not on else own or [])
-            except _BROKEN as e:
-                row["error"] = type(e).__name__
-            out.append(row)
-        return pa.array(out, pa.struct([("redacted", pa.binary()), ("formula_locations", pa.list_(pa.string())), ("n_cells", pa.int64()), ("error", pa.string())]))
-
-    joined = with_entries(files, slim, on) if on else files.withColumn("__entries", F.lit(None).cast("array<int>"))
-    return joined.withColumn("__done", run(F.col(content), F.col("__entries"))).select(*files.columns, "__done.*")
+    return _each_file(files, slim, rows, content, on, "redacted binary, formula_locations array<string>, n_cells bigint", redacted_workbook)
