@@ -32,6 +32,7 @@ SHIFT = 20  # a pair is (A id << SHIFT) | B id
 HOT_PAIRS = 1 << 19  # pairs that go to all tasks, at most
 MOVES = 1 << 17  # remembered at most
 BLOCK = 4096  # segments encoded in one call
+SEGMENT_BYTES, SLICE_BYTES = 36 << 20, 2 << 20  # of the memo of segments, in each of its generations; of texts at a time
 LONG_SEGMENT = 64  # characters from which a segment is not kept
 _CUT = re.compile(r"(?<=\S) ")
 _ACROSS = re.compile(f"[^{SPACE}]{SPACE}")
@@ -156,7 +157,7 @@ class Aligner:
         self.transducer = Transducer(a_bytes, b_bytes)
         #: no piece goes on into the white space after a word: then texts can be cut there
         self.cuttable = not any(_ACROSS.search(p) for p in pieces)
-        self.memo = Memo()
+        self.memo = Memo(SEGMENT_BYTES)
 
     def parts(self, text: str) -> list[str]:
         """Segments of space+text, each without the space that it begins with."""
@@ -215,7 +216,7 @@ def align_texts(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = kept_in_worker(Aligner, config)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE_BYTES):
             numbers, groups, keys, counts, sizes = [], [], [], [], [0]
             for found in aligner.align_batch(batch.column(text_col).to_pylist()):
                 if found is None:
