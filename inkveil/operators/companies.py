@@ -236,7 +236,7 @@ def mask_organizations(organizations: DataFrame, docs: DataFrame | None = None,
     if docs is None:
         grouped = grouped.withColumn("__text", F.lit(""))
     else:
-        grouped = grouped.join(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")), id_col)
+        grouped = grouped.join(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).hint("merge"), id_col)
     empty = F.array().cast("array<struct<n:int,original:string,masked:string>>")
     if locations is None:
         grouped = grouped.withColumn("places", empty)

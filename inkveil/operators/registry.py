@@ -80,7 +80,7 @@ def same_entity_edges(rows: DataFrame, id_col: str = "doc_id", payload: str = "p
 
 def materialise(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, type, name, start, end): the names' occurrences in their own text; names that do not occur give none."""
-    joined = docs.select(id_col, text_col).join(names, id_col).where(F.col(text_col).contains(F.col("name")))
+    joined = docs.select(id_col, text_col).hint("merge").join(names, id_col).where(F.col(text_col).contains(F.col("name")))
     found = joined.select(id_col, "type", "name", F.explode(occurrences(F.col(text_col), F.col("name"), overlapping=False)).alias("start"))
     return found.withColumn("end", F.col("start") + F.length("name"))
 
@@ -140,18 +140,20 @@ def identity_evidence(text: Column, left: Column, right: Column) -> Column:
 def validated(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Names (id, entity_id, type, name, nth) that stand in their text, with the entity's primary name (its first, or else
     the first that is left) and whether several entities of one type claim the name: such a name is only reviewed."""
-    present = names.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col).where(F.col("__text").contains(F.col("name"))).drop("__text")
+    texts = docs.select(id_col, F.col(text_col).alias("__text")).hint("merge")  # a text's size cannot be told from its source's: never broadcast
+    present = names.join(texts, id_col).where(F.col("__text").contains(F.col("name"))).drop("__text")
     once = present.groupBy(id_col, "entity_id", "type", "name").agg(F.min("nth").alias("nth"))
-    claims = once.groupBy(id_col, "type", "name").agg((F.count_distinct("entity_id") > 1).alias("conflict"))
-    primary = once.groupBy(id_col, "entity_id").agg(F.min_by("name", "nth").alias("primary_name"))
-    return once.join(claims, [id_col, "type", "name"]).join(primary, [id_col, "entity_id"])
+    claims, own = Window.partitionBy(id_col, "type", "name"), Window.partitionBy(id_col, "entity_id")
+    first = F.min(F.when(F.col("nth").isNotNull(), F.struct("nth", "name"))).over(own)["name"]
+    judged = once.withColumns({"conflict": F.count("entity_id").over(claims) > 1, "primary_name": first})
+    return judged.where("type IS NOT NULL AND entity_id IS NOT NULL").select(id_col, "type", "name", "entity_id", "nth", "conflict", "primary_name")
 
 
 def person_groups(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Names (id, entity_id, type, name, nth) with ``part``: 0 for all names of an entity that belong together, 1 and on for
     persons' names that no words of the text equate with one of the parts before."""
     grouped = names.groupBy(id_col, "entity_id", "type").agg(F.array_sort(F.collect_list(F.struct("nth", "name"))).alias("all"))
-    texts = grouped.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col)
+    texts = grouped.join(docs.select(id_col, F.col(text_col).alias("__text")).hint("merge"), id_col)
     start = F.array().cast("array<struct<nth:int,name:string,part:int>>")
 
     def step(kept: Column, x: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkveil.functions.organizations import alias_cores
 from inkveil.operators import audit, candidates, companies, components, evaluation, gazetteer, postprocess, pseudonyms, registry, reports, samples
 from inkveil.plans import fixtures
+from inkveil.plans.queries import QUERIES
 from inkveil.sources import files
 from inkveil.streaming.drops import redact_drops
 
@@ -313,3 +314,8 @@ def test_alias_links_connect_what_all_unblocked_pairs_do(spark):
         got = [(a, b) for k, a, b in edges if k == m]
         assert {tuple(sorted(p)) for p in got} <= set(free) and groups(got, group) == groups(free, group)
     assert groups([(a, b) for k, a, b in edges if k == "parent"], maps[0][1]) == {frozenset({"丙丁有限公司"}), frozenset({"丙丁集团", "河北丙丁有限公司"})}
+
+
+def test_texts_are_not_broadcast_to_their_names(spark):
+    plan = QUERIES["validated_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("MergeJoin") == 1
