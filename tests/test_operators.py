@@ -319,3 +319,13 @@ def test_alias_links_connect_what_all_unblocked_pairs_do(spark):
 def test_texts_are_not_broadcast_to_their_names(spark):
     plan = QUERIES["validated_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("MergeJoin") == 1
+
+
+def test_audit_takes_one_shuffle_and_any_text(spark):
+    schema = "doc_id bigint, start int, end int, text string, type string"
+    left = spark.createDataFrame([(1, 0, 4, None, "a"), (1, 6, 9, "x", "a"), (1, 20, 22, "y", "a"), (None, 1, 2, "z", "a")], schema)
+    right = spark.createDataFrame([(1, 0, 4, None, "a"), (1, 8, 12, "w", "a"), (2, 20, 22, "y", "a"), (None, 1, 2, "z", "b")], schema)
+    found = audit.audit(left, right)
+    got = {(r.doc_id, r.start, r.text): r.category for r in found.collect()}
+    assert got == {(1, 0, None): "agreed", (1, 6, "x"): "boundary_conflict", (1, 8, "w"): "boundary_conflict", (1, 20, "y"): "detector_only", (2, 20, "y"): "registry_only", (None, 1, "z"): "type_conflict"}
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
