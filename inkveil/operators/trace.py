@@ -7,12 +7,14 @@ marks that make the redacted text, by running sums, and a place is carried acros
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkveil.functions.pieces import each_row
 from inkveil.functions.scans import count_until, let, running_sum
 from inkveil.operators.replace import CLOSE, DIGITS, JVM_ENTRIES, OPEN, _unescaped, mapping_rows, replaced_places, replace_marks, restore, restore_lookup, with_entries
 from inkveil.operators.replace import trace_positions as occurrences_of
@@ -129,10 +131,9 @@ def _hunks(old: list[str], new: list[str]) -> list[str]:
 
 
 @F.arrow_udf(T.StringType())
-def unified_diff(old: pa.Array, new: pa.Array) -> pa.Array:
+def unified_diff(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     """Unified diff of two texts with three lines of context; empty for equal ones, null if one is null."""
-    rows = zip(old.to_pylist(), new.to_pylist(), strict=True)
-    return pa.array([None if a is None or b is None else "\n".join(_hunks(a.splitlines(), b.splitlines())) for a, b in rows], pa.string())
+    yield from each_row(batches, lambda a, b: None if a is None or b is None else "\n".join(_hunks(a.splitlines(), b.splitlines())), pa.string())
 
 
 def preview_restore(docs: DataFrame, mappings: DataFrame, text_col: str = "redacted", on: str | None = None) -> DataFrame:

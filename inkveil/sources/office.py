@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkveil.functions.pieces import each_row
+
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -46,17 +49,18 @@ def _xlsx(data: bytes) -> str:
     return "\n".join(x for x in out if x)
 
 
+def _office_row(data: bytes | None, suffix: str | None) -> dict:
+    reader = {"docx": _docx, "xlsx": _xlsx, "xlsm": _xlsx}.get(suffix)
+    try:
+        return {"text": reader(data), "error": None} if reader and data is not None else {"text": None, "error": "unsupported"}
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
+        return {"text": None, "error": type(e).__name__}
+
+
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
-def office_text(contents: pa.Array, suffixes: pa.Array) -> pa.Array:
+def office_text(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     """The text of docx, xlsx and xlsm files, or why there is none."""
-    rows = []
-    for data, suffix in zip(contents.to_pylist(), suffixes.to_pylist(), strict=True):
-        reader = {"docx": _docx, "xlsx": _xlsx, "xlsm": _xlsx}.get(suffix)
-        try:
-            rows.append({"text": reader(data), "error": None} if reader and data is not None else {"text": None, "error": "unsupported"})
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
-            rows.append({"text": None, "error": type(e).__name__})
-    return pa.array(rows, pa.struct([("text", pa.string()), ("error", pa.string())]))
+    yield from each_row(batches, _office_row, pa.struct([("text", pa.string()), ("error", pa.string())]))
 
 
 def read_office(spark: SparkSession, path: str) -> DataFrame:
