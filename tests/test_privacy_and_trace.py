@@ -149,3 +149,14 @@ def test_running_sums_and_search(spark):
     frame = spark.createDataFrame([(v, x) for v in lists for x in range(-1, 21)], "v array<int>, x int")
     for r in frame.select("v", "x", count_until(F.col("v"), F.col("x")).alias("n"), running_sum(F.col("v")).alias("s")).collect():
         assert r.n == sum(y <= r.x for y in r.v) and r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))]
+
+
+def test_all_spans_of_a_text_are_carried_as_single_ones(spark):
+    rows = [(1, "the qu tion\nthethe\n\nqu"), (2, "nothing\nhere"), (3, ""), (4, None), (5, "tion"), (6, "the\n" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    terms = spark.createDataFrame([(0, "person", "tion", "[LONG MASK]"), (1, "person", "the", ""), (2, "person", "qu", "é")], "ord int, type string, original string, masked string")
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.length("text")), lambda a: F.transform(F.sequence(a, F.length("text")), lambda b: F.struct(a.alias("start"), b.alias("end")))))
+    mapped = trace.with_coordinates(docs, terms, guard=False).withColumn("spans", F.when(F.length("text") < 40, every).otherwise(trace.line_spans(F.col("text"))))
+    for many, one in ((trace.all_to_redacted, trace.to_redacted), (trace.all_to_original, trace.to_original)):
+        got = mapped.select("doc_id", many(F.col("coordinates"), F.col("spans")).alias("all"), F.transform("spans", lambda s: one(F.col("coordinates"), s)).alias("each")).collect()
+        assert len(got) == len(rows) and all(r["all"] == r["each"] for r in got) and [r["all"] for r in got if r["doc_id"] == 4] == [None]
