@@ -7,13 +7,14 @@ it first appears, and every other name to its own core.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.ordinals import ordinal_text
 from inkveil.functions.places import location_core, masked_part
 from inkveil.operators.gazetteer import level_rank
-from inkveil.operators.pseudonyms import ordinals
 
 # Levels whose places are taken without being asked for, by source, and those that may overlap their like.
 REGIONAL_SOURCE = "hebei_admin_db"
@@ -28,6 +29,7 @@ PATH = (
     r"([一-龥]+?(?:街道|镇|乡))?"
     r"([一-龥]+?(?:居民委员会|居委会|村民委员会|村委会|社区|村))?$"
 )
+TASK_ROWS = 250_000
 CODE_DIGITS = 12
 CUTS = {1: 2, 2: 4, 3: 6, 4: 9, 5: 12}  # digits of a code that name its ancestor of a level
 
@@ -106,6 +108,12 @@ def accepted_places(candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return grouped.select(id_col, F.explode(kept).alias("k")).select(id_col, "k.c.*")
 
 
+def partitions_for(rows: DataFrame) -> int:
+    """As many partitions as keep TASK_ROWS of ``rows`` each, and no fewer than the session's: what a task holds does not grow
+    with the table."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / TASK_ROWS))
+
+
 def mask_admin_places(candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, end, original, masked, level, code, source) of the places that stay among ``candidates`` (id, type, text,
     start, end, level, code, canonical_name, source).
@@ -114,16 +122,18 @@ def mask_admin_places(candidates: DataFrame, id_col: str = "doc_id") -> DataFram
     share the ordinal. Ordinals run by place in the document. Null codes and canonical names are like empty ones; repeated
     rows stay once; documents without candidates give no rows.
     """
-    own = automatic(candidates.withColumns({"code": F.coalesce("code", F.lit("")), "canonical_name": F.coalesce("canonical_name", F.lit(""))})).dropDuplicates([id_col, "start", "end", "text", "code", "level"])
+    spread = candidates.repartition(partitions_for(candidates), id_col)
+    own = automatic(spread.withColumns({"code": F.coalesce("code", F.lit("")), "canonical_name": F.coalesce("canonical_name", F.lit(""))})).dropDuplicates([id_col, "start", "end", "text", "code", "level"])
     kept = accepted_places(own, id_col).withColumns({"parts": path_parts(F.col("text")), "suffix": mask_suffix(F.col("level"), F.col("text"), F.col("canonical_name"))})
     whole = (F.size("parts") <= 1) & (F.col("suffix") != "")
     pieces = kept.withColumn("whole", whole).withColumn("pieces", F.when(whole, F.array("text")).otherwise(F.col("parts"))).select("*", F.posexplode_outer("pieces").alias("nth", "piece"))
     asked = pieces.withColumns({"core": location_core(F.col("piece")), "own_code": F.when(F.col("whole") & (F.col("code") != ""), F.col("code")), "at": F.struct("start", F.col("end") - F.col("start"), "end", "text", "code", "nth")})
-    first = asked.where("own_code IS NOT NULL").groupBy(id_col, "own_code").agg(F.min_by("core", "at").alias("first_core"))
-    subjects = asked.join(first, [id_col, "own_code"], "left").withColumn("subject", F.coalesce("first_core", "core"))
-    numbered = ordinals(subjects.where("piece IS NOT NULL"), [id_col], "subject", "at").withColumn("prefix", ordinal_text(F.col("ordinal")))
-    shown = F.when(F.col("whole"), F.concat("prefix", "suffix")).otherwise(masked_part(F.col("piece"), F.col("prefix")))
+    first = F.first("core").over(Window.partitionBy(id_col, "own_code").orderBy("at"))  # no join: a document stays in its partition
+    subjects = asked.withColumn("subject", F.coalesce(F.when(F.col("own_code").isNotNull(), first), F.col("core")))
+    plain = F.col("piece").isNull()  # a place that is neither whole nor a path keeps its text, and takes no ordinal
+    began = subjects.withColumn("began", F.min("at").over(Window.partitionBy(id_col, "subject")))
+    numbered = began.withColumn("prefix", ordinal_text(F.dense_rank().over(Window.partitionBy(id_col).orderBy(plain, "began", "subject"))))
+    shown = F.when(plain, F.col("text")).when(F.col("whole"), F.concat("prefix", "suffix")).otherwise(masked_part(F.col("piece"), F.col("prefix")))
     keys = [id_col, "start", "end", "text", "level", "code", "source"]
     joined = numbered.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", shown.alias("m")))), lambda x: x["m"]), "").alias("masked"))
-    none = pieces.where("piece IS NULL").select(*keys, F.col("text").alias("masked"))
-    return joined.unionByName(none).select(id_col, "start", "end", F.col("text").alias("original"), "masked", "level", "code", "source")
+    return joined.select(id_col, "start", "end", F.col("text").alias("original"), "masked", "level", "code", "source")

@@ -97,3 +97,11 @@ def test_ancestors_are_the_intervals_that_hold_a_code(spark):
         full = (code or "").ljust(12, "0")
         assert ancestors == ([n for c, n in sorted((intervals[c][0], n) for c, n in names[1:] if intervals[c][0] <= full <= intervals[c][1])] if code else []), code
     assert len(got) == 7
+
+
+def test_a_task_holds_a_bounded_number_of_places(spark, monkeypatch):
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("location").alias("type"), F.lit("石家庄市").alias("text"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit("city").alias("level"), F.lit("").alias("canonical_name"), F.lit("1301").alias("code"), F.lit("hebei_admin_db").alias("source"))
+    masked = A.mask_admin_places(rows)
+    plan = masked._jdf.queryExecution().executedPlan().toString()
+    assert masked.rdd.getNumPartitions() == 10 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
