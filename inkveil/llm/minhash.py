@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.arrow_text import ranges, text_offsets
@@ -220,8 +220,8 @@ def similar_links(prints: DataFrame, docs: DataFrame, text_col: str, words: int,
     equal = sets.where(F.size("fps") > 1).select(F.col("fp").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))
     banded = sets.select("shingles", F.posexplode(keys).alias("nth", "band"))
-    bands = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("shingles").alias("hub")).where("n > 1")
-    members = materialize(banded.join(bands, "band"))
+    whole = Window.partitionBy("band")
+    members = materialize(banded.withColumns({"n": F.count("*").over(whole), "hub": F.min("shingles").over(whole)}).where("n > 1"))
 
     least = similarity - SLACK
     hubs = members.where("hub <> shingles").select(F.col("hub").alias("a"), F.col("shingles").alias("b")).distinct()

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.arrow_text import ranges, text_offsets
@@ -135,8 +135,8 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int
     keys, equal = _keys(F.col("fp"), segments, distance)
     keyed = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.mask", "k.key", "fp")
     on = ["part", "mask", "key"]
-    sized = keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
-    small = keyed.join(sized.where(F.col("n") <= most), on).groupBy(*on).agg(F.collect_list("fp").alias("fps"))
+    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy(*on))).where("n > 1")  # shuffled once, for both ways
+    small = sized.where(F.col("n") <= most).groupBy(*on).agg(F.collect_list("fp").alias("fps"))
     left = small.select("part", "mask", F.col("fps").alias("all"), F.explode("fps").alias("a"))
     begin = [sum(_widths(segments)[:i]) for i in range(segments)]
 
@@ -158,7 +158,7 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, segments: int
         return (b > F.col("a")) & (F.bit_count(diff) <= distance) & chain
 
     verified = left.select("a", F.explode(F.filter("all", linked)).alias("b"))
-    large = keyed.join(sized.where(F.col("n") > most), on, "left_semi").select("fp").distinct()
+    large = sized.where(F.col("n") > most).select("fp").distinct()
     return verified.unionByName(_point_links(large, distance)).distinct()
 
 
@@ -207,12 +207,22 @@ def first_of_groups(
     """The rows of ``docs`` that stand for their near-duplicate group: of each group, one row with the smallest id.
 
     Rows are told apart by a number of their own, not by their ids: different texts with one id are judged each by itself,
-    and of equal rows one stays. Rows without an id stay, all of them. Texts are written once, and shuffled once to be joined to the
-    numbers of the rows that stay.
+    and of equal rows one stays. Rows without an id stay, all of them. Texts are written once and not shuffled: the numbers of the
+    rows that stay go to them as bitmaps.
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
     rows = numbered.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
     prints, classes = _grouped(rows, words, distance, segments, most, similarity)
     firsts = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")).where("__row IS NOT NULL")
     stay = firsts.unionByName(prints.where("id IS NULL").select(F.col("row").alias("__row")))
-    return numbered.join(stay, "__row", "left_semi").select(*docs.columns)
+    return _with_rows(numbered, stay, "__row").select(*docs.columns)
+
+
+def _with_rows(numbered: DataFrame, stay: DataFrame, row: str) -> DataFrame:
+    """The rows of ``numbered`` whose number is among those of ``stay``, by bitmaps of 32768 numbers: as numbers run on within
+    a partition, all of them take little more than a bit for each row, and are broadcast."""
+    bits = stay.groupBy(F.bitmap_bucket_number(row).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias("__bits"))
+    joined = numbered.withColumn("__bucket", F.bitmap_bucket_number(row)).join(F.broadcast(bits), "__bucket")
+    place = F.bitmap_bit_position(row)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.where(F.get(F.array(*(byte.bitwiseAND(F.lit(1 << k)) for k in range(8))), (place % 8).cast("int")) != 0).drop("__bucket", "__bits")

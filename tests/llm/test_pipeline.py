@@ -112,3 +112,13 @@ def test_near_copies_of_brute_force_jaccard(spark, monkeypatch):
     for block, rows in ((minhash.BLOCK, minhash.BROADCAST_ROWS), (3, 0)):
         monkeypatch.setattr(minhash, "BLOCK", block), monkeypatch.setattr(minhash, "BROADCAST_ROWS", rows)
         assert {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()} == want
+
+
+def test_rows_that_stay_are_found_by_bitmaps_without_a_shuffle_of_texts(spark):
+    from inkveil.llm.simhash import _with_rows
+
+    rows = spark.range(0, 70_000, 1, 3).select(F.monotonically_increasing_id().alias("__row"), F.col("id"), F.lit("text").alias("text"))
+    stay = rows.where("id % 7 = 0 OR id IN (1, 32768, 69999)").select("__row")
+    found = _with_rows(rows, stay, "__row")
+    assert sorted(r.id for r in found.select("id").collect()) == sorted({*range(0, 70_000, 7), 1, 32768, 69999})
+    assert found.columns == rows.columns and "MergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
