@@ -50,13 +50,17 @@ def _without_narrative(name: Column) -> Column:
     """Verbs before an organization and "person and" go, again and again."""
     surface = any_of(L.ORG_SURFACES)
 
-    def step(s: Column, _: Column) -> Column:
+    def step(a: Column, _: Column) -> Column:
+        return F.when(a["done"], a).otherwise(_let(a["s"], lambda s: _let(once(s), lambda t: F.struct(t.alias("s"), (t == s).alias("done")))))
+
+    def once(s: Column) -> Column:
         stripped = F.btrim(F.regexp_replace(s, NARRATIVE, ""), F.lit(MARKS))
         person, rest = F.regexp_extract(s, WITH_PERSON, 1), F.btrim(F.regexp_extract(s, WITH_PERSON, 2), F.lit(MARKS))
-        joined = (person != "") & (rest != "") & ~person.rlike(surface) & rest.rlike(surface)
+        joined = s.rlike(WITH_PERSON) & (rest != "") & ~person.rlike(surface) & rest.rlike(surface)
         return F.when(stripped != s, stripped).when(joined, rest).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(name) + 1), name, step)
+    start = F.struct(name.alias("s"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(name) + 1), start, step, lambda a: a["s"])
 
 
 def clean_organization(name: Column) -> Column:

@@ -99,7 +99,7 @@ def explicit_aliases(text: Column, name: Column) -> Column:
     mention = F.concat(F.lit(rf"(?<!{_NAMED}\s{{0,9}})"), quoted(name), F.lit(r"(?=((?:[（(][^）)]*[）)])?+(?:(?![与及和])[^。！？；]{0,120})?))"))
     clauses = F.regexp_extract_all(text, mention, F.lit(1))
     found = F.transform(clauses, lambda c: F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in ALIAS_PATTERNS))))
-    return F.when(name != "", F.array_distinct(F.filter(F.flatten(found), lambda a: (a != "") & (a != name)))).otherwise(F.array().cast("array<string>"))
+    return F.when((name != "") & text.contains(name), F.array_distinct(F.filter(F.flatten(found), lambda a: (a != "") & (a != name)))).otherwise(F.array().cast("array<string>"))
 
 
 def institution_mask(name: Column) -> Column:

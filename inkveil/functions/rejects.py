@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,19 +33,28 @@ def is_false_person(name: Column, stop_words: tuple[str, ...] = L.NO_PERSON_WORD
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _has_action_verb(core: Column) -> Column:
     """A verb is in the core, unless it ends it as the name of a trade."""
-    verbs = F.array(*map(F.lit, L.ORG_ACTION_VERBS))
-    trade = F.array(*map(F.lit, L.INDUSTRY_CORE_SUFFIXES))
-    exempt = lambda v: F.array_contains(trade, v) & core.endswith(v) & (F.length(core) > F.length(v) + 1)
-    return F.exists(verbs, lambda v: core.contains(v) & ~exempt(v))
+    found = core.rlike(any_of(v for v in L.ORG_ACTION_VERBS if v not in L.INDUSTRY_CORE_SUFFIXES))
+    for v in L.ORG_ACTION_VERBS:
+        if v in L.INDUSTRY_CORE_SUFFIXES:
+            found = found | (core.contains(v) & ~(core.endswith(v) & (F.length(core) > len(v) + 1)))
+    return found
 
 
 def is_false_organization(name: Column) -> Column:
     """References to contracts, bare legal forms, odd brackets, sentences, pronouns, verbs, generic brands."""
-    core = F.regexp_extract(name, f"^(.+?){any_of(L.LEGAL_SUFFIXES)}$", 1)
+    return _let(name, lambda n: _let(F.regexp_extract(n, f"^(.+?){any_of(L.LEGAL_SUFFIXES)}$", 1), lambda core: _is_false(n, core)))
+
+
+def _is_false(name: Column, core: Column) -> Column:
     brackets = name.rlike("[（）()]") & ~name.rlike("^[一-龥A-Za-z0-9·]+[（(][一-龥A-Za-z0-9·]{2,12}[）)][一-龥A-Za-z0-9·]*(?:有限责任公司|股份有限公司|集团有限公司|有限公司|公司|集团)$")
-    generic_end = F.regexp_extract(core, f"^(.+?){any_of(L.NO_BRANDS)}$", 1)
+    generic = _let(F.regexp_extract(core, f"^(.+?){any_of(L.NO_BRANDS)}$", 1), lambda g: (g != "") & ((F.length(g) <= 2) | _has_action_verb(g)))
     false_core = (
         core.isin(*L.ORG_CORE_PRONOUNS)
         | (F.length(core) < 2)
@@ -54,7 +63,7 @@ def is_false_organization(name: Column) -> Column:
         | (core.rlike("^[一-龥]{2,3}$") & F.substring(core, 1, 1).rlike(f"[{L.COMMON_SURNAMES}]"))
         | _has_action_verb(core)
         | core.isin(*L.NO_BRANDS, *L.NO_ORG_CORES)
-        | ((generic_end != "") & ((F.length(generic_end) <= 2) | _has_action_verb(generic_end)))
+        | generic
     )
     bare = name.rlike(any_of(L.ORG_PRONOUNS)) | _has_action_verb(name)
     return (

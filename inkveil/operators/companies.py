@@ -90,15 +90,16 @@ def analysed(name: Column, source: Column, text: Column, places: Column) -> Colu
         known = _known_places(F.substring(v, F.lit(1), F.length(v) - F.length(legal)), places)
 
         def named(k: Column) -> Column:
-            body = without_place_notes(k["rest"])
-            own = F.when(k["mask"] == "", without_leading_place(body)).otherwise(body)
-            keyed = without_leading_place(F.regexp_replace(without_place_notes(F.substring(v, F.lit(1), F.length(v) - F.length(legal))), "^" + any_of([p + e for p in L.PROVINCE_NAMES for e in ("省", "")]) + "(?=..)", ""))
-            return F.struct(k["mask"].alias("place"), own.alias("body"), brand_of(keyed).alias("key"))
+            whole = without_place_notes(F.substring(v, F.lit(1), F.length(v) - F.length(legal)))
+            keyed = _let(F.regexp_replace(whole, "^" + any_of([p + e for p in L.PROVINCE_NAMES for e in ("省", "")]) + "(?=..)", ""), without_leading_place)
+            own = _let(without_place_notes(k["rest"]), lambda body: F.when(k["mask"] == "", without_leading_place(body)).otherwise(body))
+            return _let(own, lambda o: F.struct(k["mask"].alias("place"), o.alias("body"), brand_of(o).alias("brand"), brand_of(keyed).alias("key")))
 
         def shown(b: Column) -> Column:
-            brand = brand_of(b["body"])
-            short = F.regexp_like(text, F.concat(F.lit(rf"(?:以下简称|简称为|简称|下称)\s*{_QUOTE}\s*\Q"), brand, F.lit(r"\E")))
-            bare = F.regexp_like(text, F.concat(F.lit(rf"(?:以下简称|简称|下称){_QUOTE}\s*\Q"), brand, F.lit(r"\E(?!公司|集团)")))
+            brand = b["brand"]
+            called = text.contains(brand) & text.rlike("简称|下称")
+            short = called & F.regexp_like(text, F.concat(F.lit(rf"(?:以下简称|简称为|简称|下称)\s*{_QUOTE}\s*\Q"), brand, F.lit(r"\E")))
+            bare = called & F.regexp_like(text, F.concat(F.lit(rf"(?:以下简称|简称|下称){_QUOTE}\s*\Q"), brand, F.lit(r"\E(?!公司|集团)")))
             doubtful = legal.isin("公司", "集团") & is_false_organization(F.concat(brand, F.lit("公司"))) & ~short & ~bare
             return F.struct(
                 v.alias("value"), legal.alias("legal"), simple_legal_suffix(legal).alias("form"), b["place"].alias("place"), industry_of(b["body"]).alias("industry"), brand.alias("brand"), b["key"].alias("key"),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.functions import cleaners, noise
+from inkveil.functions import cleaners, noise, rejects
 from inkveil.operators import companies, pseudonyms
 
 
@@ -79,3 +79,22 @@ def test_surfaces_and_cleaning(spark):
     people = {"（张三及": "张三", "王五辩称": "王五", "和": "和", "【李四": "李四", "李·四）": "李·四"}
     got = spark.createDataFrame([(k,) for k in people], "t string").select("t", cleaners.clean_person(F.col("t")).alias("c")).collect()
     assert {r.t: r.c for r in got} == people
+
+
+def test_a_part_of_a_name_is_worked_out_once(spark):
+    """The size of the expressions is what a name costs; their parts are bound, not written out at each use."""
+    count = lambda c: c._jc.toString().count("regexp_extract")
+    assert count(rejects.is_false_organization(F.col("name"))) == 2
+    texts = [F.col(c) for c in ("name", "source", "text")]
+    assert count(companies.analysed(*texts, F.col("places"))) < 60
+
+
+def test_verbs_and_narrative_by_their_places(spark):
+    """Verbs that are trades count unless they end a core of some length; narrative goes again and again."""
+    names = ["星河建设公司", "建设公司", "建设星河公司", "星河开发", "甲开发", "张三与李四与设立河北星河建设有限公司", "原河北星河建设有限公司", "张三与河北星河建设有限公司", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [tuple(r) for r in df.select(rejects.is_false_organization(F.col("name")), cleaners.clean_organization(F.col("name"))).collect()]
+    assert got == [
+        (True, "星河建设公司"), (True, "建设公司"), (False, "建设星河公司"), (False, "星河开发"), (False, "甲开发"), (True, "河北星河建设有限公司"),
+        (False, "河北星河建设有限公司"), (False, "河北星河建设有限公司"), (None, None),
+    ]
