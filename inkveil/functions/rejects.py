@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkveil.functions import lexicon as L
+from inkveil.functions.scans import let
 
 PLACE_SUFFIX = "(?:自治区|自治州|街道|社区|省|市|盟|区|县|旗|镇|乡|村)"
 
@@ -33,11 +34,6 @@ def is_false_person(name: Column, stop_words: tuple[str, ...] = L.NO_PERSON_WORD
     )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _has_action_verb(core: Column) -> Column:
     """A verb is in the core, unless it ends it as the name of a trade."""
     found = core.rlike(any_of(v for v in L.ORG_ACTION_VERBS if v not in L.INDUSTRY_CORE_SUFFIXES))
@@ -49,12 +45,12 @@ def _has_action_verb(core: Column) -> Column:
 
 def is_false_organization(name: Column) -> Column:
     """References to contracts, bare legal forms, odd brackets, sentences, pronouns, verbs, generic brands."""
-    return _let(name, lambda n: _let(F.regexp_extract(n, f"^(.+?){any_of(L.LEGAL_SUFFIXES)}$", 1), lambda core: _is_false(n, core)))
+    return let(name, lambda n: let(F.regexp_extract(n, f"^(.+?){any_of(L.LEGAL_SUFFIXES)}$", 1), lambda core: _is_false(n, core)))
 
 
 def _is_false(name: Column, core: Column) -> Column:
     brackets = name.rlike("[（）()]") & ~name.rlike("^[一-龥A-Za-z0-9·]+[（(][一-龥A-Za-z0-9·]{2,12}[）)][一-龥A-Za-z0-9·]*(?:有限责任公司|股份有限公司|集团有限公司|有限公司|公司|集团)$")
-    generic = _let(F.regexp_extract(core, f"^(.+?){any_of(L.NO_BRANDS)}$", 1), lambda g: (g != "") & ((F.length(g) <= 2) | _has_action_verb(g)))
+    generic = let(F.regexp_extract(core, f"^(.+?){any_of(L.NO_BRANDS)}$", 1), lambda g: (g != "") & ((F.length(g) <= 2) | _has_action_verb(g)))
     false_core = (
         core.isin(*L.ORG_CORE_PRONOUNS)
         | (F.length(core) < 2)

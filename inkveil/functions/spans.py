@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkveil.functions.scans import let, running_sum
+
+FEW = 512
 SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -32,13 +35,18 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def _sums(values: Column) -> Column:
+    """Running sums: appending copies the sums before it, so that of many values they are taken by doubling."""
+    appended = F.aggregate(values, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n), lambda a: F.slice(a, 2, F.size(a)))
+    return F.when(F.size(values) <= FEW, appended).otherwise(running_sum(values))
+
+
 def occurrences(text: Column, term: Column, overlapping: bool = True) -> Column:
     """Starts of a term's occurrences, overlapping ones included or not. An empty or null term has none."""
     pattern = F.concat(F.lit("(?="), quoted(term), F.lit(")")) if overlapping else quoted(term)
-    pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     gap = F.lit(0) if overlapping else F.length(term)
-    ends = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.array(F.lit(0)).cast("array<int>"), lambda a, n: F.array_append(a, F.element_at(a, -1) + n + F.when(F.size(a) > 1, gap).otherwise(0)))
-    starts = F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0)))
+    pieces = F.transform(F.split(text, pattern, -1), lambda x, i: F.length(x) + F.when(i > 0, gap).otherwise(0))
+    starts = let(let(pieces, lambda p: F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))), _sums)
     if overlapping:  # a zero-width match at the very beginning makes no piece
         starts = F.when(text.startswith(term), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
     return F.when(text.contains(term) & (term != ""), starts).otherwise(F.array().cast("array<int>"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions.organizations import explicit_aliases
+from inkveil.functions.spans import FEW, occurrences
 from inkveil.operators import aliases, companies
 from inkveil.operators import postprocess as P
 from inkveil.plans.queries import QUERIES
@@ -83,3 +84,24 @@ def test_places_that_hold_two_sampled_names_across_blocks(spark):
     rows = [(0, "location", "河北甲乙丙丁戊己区", "rule"), (1, "person", "甲乙", P.SAMPLED + "x"), (2, "person", "丙丁", P.SAMPLED + "x"), (3, "location", "己区", "rule")]
     maps = spark.createDataFrame([(*r[:3], "m", r[3]) for r in rows], "ord int, type string, original string, masked string, source string")
     assert {r.original for r in P.inside_trusted_samples(docs, maps).collect()} == {"河北甲乙丙丁戊己区"}
+
+
+def test_verdicts_in_a_long_text_across_its_pieces(spark):
+    """Places are what a search in the whole text gives, wherever the text is cut and whatever a character's size."""
+    text = "".join(("𠮷" if i % 3 else "。") * (i % 97) + "甲乙" + ("丙" if i % 2 else "丁") for i in range(600))
+    starts = [i for i in range(len(text)) if text.startswith("甲乙", i)]
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    cands = spark.createDataFrame([(1, s, "organization", "甲乙", s, s + 2, "rule", 0.5) for s in starts], "doc_id int, ord int, type string, text string, start int, end int, source string, confidence double")
+    verdicts = spark.createDataFrame([(1, [], {"甲乙": "甲乙丙"})], "doc_id int, reject array<string>, calibrate map<string,string>")
+    got = {r.ord: r.start for r in aliases.apply_verdicts(docs, cands, verdicts).collect()}
+    want = {s: max(0, s - 80) + text[max(0, s - 80) : s + 82].find("甲乙丙") if "甲乙丙" in text[max(0, s - 80) : s + 82] else s for s in starts}
+    assert got == want
+    for overlapping in (True, False):  # more places than running sums are appended for
+        found = docs.select(occurrences(F.col("text"), F.lit("甲乙"), overlapping)).first()[0]
+        assert found == starts and len(starts) > FEW
+
+
+def test_places_are_found_once_for_verdicts(spark):
+    """No filter repeats the search for the places that are then exploded."""
+    plan = QUERIES["recogniser_verdicts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter " in line and "split(" in line]
