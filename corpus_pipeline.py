@@ -22,6 +22,14 @@ from inkveil.llm.toxicity import score_toxicity, train_toxicity
 #: Differing bits of 64 at which documents are near copies here: a changed word or two in a text of some length.
 NEAR_BITS, MOST_IN_KEY = 3, 48
 
+#: Of the rows that an executor gives a Python worker at once; Spark's 64 MB are held several times over by both.
+BATCH_BYTES = "4m"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For the session from here on, since a plan takes its batches' size when it runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and their host's verdict keep."""
@@ -31,6 +39,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on this stage's labelled documents, does not reject."""
+    _small_batches(spark)
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_toxicity(docs, model, score="__score", predicted="__predicted")
     return scored.where("__predicted = 0").select(*docs.columns)
@@ -38,6 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row with the smallest id of each near-duplicate group; rows without an id stay."""
+    _small_batches(spark)
     return first_of_groups(docs, distance=NEAR_BITS, most=MOST_IN_KEY, similarity=SIMILARITY)
 
 
@@ -50,6 +60,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 1024 places: a row for each piece of a document, with its tokens."""
+    _small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

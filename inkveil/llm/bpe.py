@@ -102,6 +102,8 @@ class SpaceSegments:
     a vocabulary that it cannot represent, and every text that needs care, goes through the tokenizers library.
     """
 
+    memo_bytes = MEMO_BYTES
+
     def __init__(self, config: str):
         self.tok = _plain(config)
         parsed = json.loads(config)
@@ -112,7 +114,7 @@ class SpaceSegments:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.starts[i] = token.startswith("Ġ")
-        self.memo = Memo()
+        self.memo = Memo(self.memo_bytes)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_pack(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]

@@ -22,6 +22,12 @@ OPEN_BINS = 8192
 END_ID = 2
 
 
+class PackedSegments(SpaceSegments):
+    """With a memo that leaves a worker room beside an executor that earlier stages have filled."""
+
+    memo_bytes = 16 << 20
+
+
 class OpenBins:
     """Bounded-space online best fit.
 
@@ -82,7 +88,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = kept_in_worker(SpaceSegments, config), OpenBins(capacity, open_bins)
+        encoder, bins = kept_in_worker(PackedSegments, config), OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 33
         for batch in slices(batches, text_col):
             ids = batch.column(id_col)

@@ -4,9 +4,11 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inkveil.llm import minhash, quality_rules, secrets, simhash
+from inkveil.llm import bpe, minhash, packing, quality_rules, secrets, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -122,3 +124,17 @@ def test_rows_that_stay_are_found_by_bitmaps_without_a_shuffle_of_texts(spark):
     found = _with_rows(rows, stay, "__row")
     assert sorted(r.id for r in found.select("id").collect()) == sorted({*range(0, 70_000, 7), 1, 32768, 69999})
     assert found.columns == rows.columns and "MergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_gets_texts_in_batches_of_few_mb(spark):
+    """Batches were bounded by 10,000 rows and 64 MB, of which an executor beside its Python workers has no room."""
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 4000).alias("text"))
+    corpus_pipeline.pack(spark, docs, SF)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert max(got) < 6 << 20 < sum(got)
+    assert packing.PackedSegments.memo_bytes < bpe.MEMO_BYTES and packing.PackedSegments(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).memo.most_bytes == 16 << 20
