@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.packing import pack_documents
+from inkveil.llm.packing import SmallSegments, pack_documents
 from inkveil.llm.quality_rules import quality_rules
 from inkveil.llm.secrets import find_secrets, labelled_samples, redact, train_markov
 from inkveil.llm.simhash import SIMILARITY, first_of_groups
@@ -61,7 +61,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 1024 places: a row for each piece of a document, with its tokens."""
     _small_batches(spark)
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), segments=SmallSegments)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

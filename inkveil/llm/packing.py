@@ -22,7 +22,7 @@ OPEN_BINS = 8192
 END_ID = 2
 
 
-class PackedSegments(SpaceSegments):
+class SmallSegments(SpaceSegments):
     """With a memo that leaves a worker room beside an executor that earlier stages have filled."""
 
     memo_bytes = 16 << 20
@@ -74,6 +74,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     end_id: int = END_ID,
+    segments: type[SpaceSegments] = SpaceSegments,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, tokens (little-endian unsigned 32-bit), sequence_id, offset.
 
@@ -88,7 +89,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = kept_in_worker(PackedSegments, config), OpenBins(capacity, open_bins)
+        encoder, bins = kept_in_worker(segments, config), OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 33
         for batch in slices(batches, text_col):
             ids = batch.column(id_col)

@@ -137,4 +137,4 @@ def test_a_worker_gets_texts_in_batches_of_few_mb(spark):
 
     got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
     assert max(got) < 6 << 20 < sum(got)
-    assert packing.PackedSegments.memo_bytes < bpe.MEMO_BYTES and packing.PackedSegments(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).memo.most_bytes == 16 << 20
+    assert packing.SmallSegments.memo_bytes < bpe.MEMO_BYTES and packing.SmallSegments(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).memo.most_bytes == 16 << 20
