@@ -15,11 +15,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer, normalizers
 
+from inkveil.llm.arrow_text import SLICE_BYTES, ranges
+
 MEMO_BYTES = 64 << 20
 ENTRY_BYTES = 200  # of a key, its value and its place in the table, besides what they hold
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value of the byte-level pre-tokeniser
@@ -103,19 +107,25 @@ class SpaceSegments:
     """
 
     memo_bytes = MEMO_BYTES
+    batch_bytes = SLICE_BYTES  # of texts that are cut into segments at once
 
     def __init__(self, config: str):
-        self.tok = _plain(config)
+        self.config = config
         parsed = json.loads(config)
         self.specials = [t["content"] for t in parsed["added_tokens"]]
         ranks = _ranks(parsed)
         self.fast = ranks and tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        vocab = self.tok.get_vocab()
+        vocab = parsed["model"]["vocab"] | {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.starts[i] = token.startswith("Ġ")
         self.memo = Memo(self.memo_bytes)
 
+    @cached_property
+    def tok(self) -> Tokenizer:
+        """Some 40 MB, which few texts ask for."""
+        return _plain(self.config)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_pack(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
@@ -136,6 +146,10 @@ class SpaceSegments:
             raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
             self.memo.put((s, raw[a:b]) for s, a, b in zip(block, (cuts * 4).tolist(), ends, strict=True))
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """:meth:`encode_batch` of as many texts at a time as ``batch_bytes`` holds; null texts are empty."""
+        return [ids for lo, hi in ranges(texts, self.batch_bytes) for ids in self.encode_batch([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """What encoding each whole text gives, special tokens in the text included.
 

@@ -23,9 +23,10 @@ END_ID = 2
 
 
 class SmallSegments(SpaceSegments):
-    """With a memo that leaves a worker room beside an executor that earlier stages have filled."""
+    """With a memo and batches that leave a worker room beside an executor that earlier stages have filled."""
 
     memo_bytes = 16 << 20
+    batch_bytes = 1 << 20
 
 
 class OpenBins:
@@ -93,7 +94,7 @@ def pack_documents(
         base = TaskContext.get().partitionId() << 33
         for batch in slices(batches, text_col):
             ids = batch.column(id_col)
-            packed = encoder.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
+            packed = encoder.encode(batch.column(text_col))
             row, piece, start, length, tokens = [], [], [], [], []
             for i, raw in enumerate(packed):
                 raw += end

@@ -22,6 +22,8 @@ from inkveil.llm.storage import id_bucket
 BITS = 17
 DIMENSIONS = 8
 ORDERS = (3, 4, 5)
+#: Of texts that are scored at once: the arrays over their places take some sixty times as much.
+SCORE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -115,14 +117,19 @@ def logits(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(mean, base[:-1]) + model.bias if len(mean) else mean
 
 
+def probabilities(model: Model, texts: pa.Array) -> pa.Array:
+    """A probability for each text, taken in slices of bounded bytes."""
+    parts = [logits(model, *text_bytes(texts.slice(lo, hi - lo))) for lo, hi in ranges(texts, SCORE_BYTES)]
+    z = np.concatenate(parts) if parts else np.empty(0)
+    return pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
+
+
 def score_column(model: Model, text: Column) -> Column:
-    """A probability for each text; an Arrow function over texts in slices of bounded bytes."""
+    """:func:`probabilities` as an Arrow function."""
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [logits(model, *text_bytes(texts.slice(lo, hi - lo))) for lo, hi in ranges(texts)]
-        z = np.concatenate(parts) if parts else np.empty(0)
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
+        return probabilities(model, texts)
 
     return score(F.coalesce(text, F.lit("")))
 

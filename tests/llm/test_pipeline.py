@@ -4,11 +4,12 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, minhash, packing, quality_rules, secrets, simhash
+from inkveil.llm import bpe, minhash, packing, quality_rules, secrets, simhash, subword_model, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -138,3 +139,23 @@ def test_a_worker_gets_texts_in_batches_of_few_mb(spark):
     got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
     assert max(got) < 6 << 20 < sum(got)
     assert packing.SmallSegments.memo_bytes < bpe.MEMO_BYTES and packing.SmallSegments(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).memo.most_bytes == 16 << 20
+
+
+def test_workers_take_texts_of_one_mb_at_a_time(monkeypatch):
+    """Both took 4 MB at once, in arrays or strings of many times that; packing also built a second tokenizer that no text asked for."""
+    texts = pa.array([f"word{i} and  so on <s> {i}\n" * 400 if i % 50 == 0 else f"word{i} and so on " * 400 for i in range(900)] + [None, ""])
+    config = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    small, plain = packing.SmallSegments(config), bpe.SpaceSegments(config)
+    assert "tok" not in vars(small)
+    seen = []
+    monkeypatch.setattr(small, "encode_batch", lambda part: seen.append(sum(map(len, part))) or plain.encode_batch(part))
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.tok.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+    assert small.encode(texts) == want and max(seen) <= 1 << 20 < sum(seen)
+    vocab = plain.tok.get_vocab()
+    assert {i for t, i in vocab.items() if t.startswith("\u0120")} == set(np.flatnonzero(small.starts).tolist()) and len(small.starts) == max(vocab.values()) + 1
+
+    model = subword_model.Model(np.random.default_rng(1).normal(size=1 << subword_model.BITS).astype(np.float32), 0.0, toxicity.SETTINGS)
+    texts = texts.fill_null("")
+    whole, sizes, logits = [subword_model.probabilities(model, texts.slice(i, 1))[0].as_py() for i in range(len(texts))], [], subword_model.logits
+    monkeypatch.setattr(subword_model, "logits", lambda m, raw, offsets: sizes.append(len(raw)) or logits(m, raw, offsets))
+    assert subword_model.probabilities(model, texts).to_pylist() == whole and max(sizes) <= 1 << 20 < sum(sizes)
