@@ -15,18 +15,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from inkveil.llm.arrow_text import slices
-from inkveil.llm.bpe import SpaceSegments, kept_in_worker, read_vocabulary
+from inkveil.llm.bpe import SpaceSegments, give_back, kept_in_worker, read_vocabulary
 
 CAPACITY = 1024
 OPEN_BINS = 8192
 END_ID = 2
+GIVEN_IDS = 1 << 18  # of pieces that leave a worker at once
 
 
 class SmallSegments(SpaceSegments):
-    """With a memo and batches that leave a worker room beside an executor that earlier stages have filled."""
+    """With a memo and batches that leave a worker room beside an executor that earlier stages have filled. It goes when
+    its task ends: workers live on through the stages that follow, which would have to do without its memory."""
 
     memo_bytes = 16 << 20
-    batch_bytes = 1 << 20
+    batch_bytes = 1 << 18
+    stays = False
 
 
 class OpenBins:
@@ -89,28 +92,35 @@ def pack_documents(
     schema = f"`{id_col}` {id_type}, piece int, start bigint, length bigint, tokens binary, sequence_id bigint, offset bigint"
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = kept_in_worker(segments, config), OpenBins(capacity, open_bins)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept_in_worker(segments, config) if segments.stays else segments(config)
+        bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 33
         for batch in slices(batches, text_col):
-            ids = batch.column(id_col)
-            packed = encoder.encode(batch.column(text_col))
-            row, piece, start, length, tokens = [], [], [], [], []
+            ids, packed = batch.column(id_col), encoder.encode(batch.column(text_col))
+            row, piece, start, length = [], [], [], []
             for i, raw in enumerate(packed):
-                raw += end
-                n, at, k = len(raw) // 4, 0, 0
+                n, at, k = len(raw) // 4 + 1, 0, 0
                 while at < n:
                     size = (n - at) % capacity or capacity
                     row.append(i), piece.append(k), start.append(at), length.append(size)
-                    tokens.append(raw[at * 4 : (at + size) * 4])
                     at, k = at + size, k + 1
             sequence, offset = [0] * len(row), [0] * len(row)
             for j in np.argsort(-np.array(length), kind="stable").tolist():  # large pieces first within what is at hand
                 sequence[j], offset[j] = bins.place(length[j])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length)),
-                 pa.array(tokens, pa.binary()), pa.array([base + s for s in sequence], pa.int64()), pa.array(offset, pa.int64())],
-                names=[id_col, "piece", "start", "length", "tokens", "sequence_id", "offset"],
-            )
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(length) // GIVEN_IDS)) + 1).tolist(), len(row)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                tokens = [packed[i][at * 4 : (at + size) * 4] for i, at, size in zip(row[lo:hi], start[lo:hi], length[lo:hi], strict=True)]
+                tokens = [t if len(t) == 4 * size else t + end for t, size in zip(tokens, length[lo:hi], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row[lo:hi], pa.int64())), pa.array(piece[lo:hi], pa.int32()), pa.array(start[lo:hi], pa.int64()), pa.array(length[lo:hi], pa.int64()),
+                     pa.array(tokens, pa.binary()), pa.array([base + s for s in sequence[lo:hi]], pa.int64()), pa.array(offset[lo:hi], pa.int64())],
+                    names=[id_col, "piece", "start", "length", "tokens", "sequence_id", "offset"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pieces(batches)
+        if not segments.stays:
+            give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ def sample_texts(rows: DataFrame, picked: DataFrame, most_bytes: int) -> list[tu
             wanted.append((label, nth))
     if not wanted:
         return []
-    names = held.sparkSession.createDataFrame(wanted, held.select("label", "nth").schema)
+    schema = held.select("label", "nth").schema
+    labels, nths = zip(*wanted, strict=True)
+    names = held.sparkSession.createDataFrame(pa.table({"label": pa.array(labels), "nth": pa.array(nths, pa.int32())}), schema)  # of a list it would be made by Python workers
     got = held.join(F.broadcast(names), ["label", "nth"], "left_semi").orderBy("label", "nth").collect()
     return [(r["text"], r["label"]) for r in got]

@@ -8,8 +8,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkveil.llm import bpe, minhash, packing, quality_rules, secrets, simhash, subword_model, toxicity
+from inkveil.llm import bpe, minhash, packing, quality_rules, sampling, secrets, simhash, subword_model, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -159,3 +160,62 @@ def test_workers_take_texts_of_one_mb_at_a_time(monkeypatch):
     whole, sizes, logits = [subword_model.probabilities(model, texts.slice(i, 1))[0].as_py() for i in range(len(texts))], [], subword_model.logits
     monkeypatch.setattr(subword_model, "logits", lambda m, raw, offsets: sizes.append(len(raw)) or logits(m, raw, offsets))
     assert subword_model.probabilities(model, texts).to_pylist() == whole and max(sizes) <= 1 << 20 < sum(sizes)
+
+
+def test_packing_leaves_its_encoder_with_no_worker(spark):
+    """Idle workers held it through all stages of a later run, beside an executor with a full heap."""
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 50).alias("text"))
+    assert corpus_pipeline.pack(spark, docs, SF).count() == 400
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(k[0].__name__ == "SmallSegments" for k in bpe._KEPT)], pa.int64())], ["n"])
+
+    assert {r.n for r in docs.mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_pieces_leave_a_worker_one_mb_at_a_time(monkeypatch):
+    """All pieces of 4 MB of text were in memory four times over; a long text's pieces, too, are now given in parts."""
+
+    class Docs:
+        schema = T.StructType([T.StructField("doc_id", T.LongType())])
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)})))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in [120_000, *[600] * 400]] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    given = list(packing.pack_documents(Docs(), path, segments=packing.SmallSegments)(iter([batch])))
+    assert max(b.column("tokens").nbytes for b in given) < 1.2 * (1 << 20) and sum(b.column("tokens").nbytes for b in given) > 4 << 20
+    rows = pa.Table.from_batches(given).to_pylist()
+    assert all(r["length"] * 4 == len(r["tokens"]) for r in rows)
+    tokens, sequences = defaultdict(bytes), defaultdict(list)
+    for r in rows:
+        assert r["start"] * 4 == len(tokens[r["doc_id"]])
+        tokens[r["doc_id"]] += r["tokens"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    want = bpe.SpaceSegments(bpe.read_vocabulary(path)).tok.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [tokens[i] for i in range(len(texts))] == [np.array([*e.ids, 2], "<u4").tobytes() for e in want]
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_samples_are_named_without_python_workers(spark, monkeypatch):
+    """A list of rows is made a table by Python workers of their own, which an executor then held beside the others."""
+    rows = spark.createDataFrame([(i, "xy"[i % 2], f"text {i}") for i in range(20)], "id long, label string, text string")
+    numbers = spark.createDataFrame([(i, i % 2, f"text {i}") for i in range(20)], "id long, label int, text string")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: 1 / 0)
+    for table, names in ((rows, {"x", "y"}), (numbers, {0, 1})):
+        got = sampling.sample_texts(table, sampling.pick_ids(table.select("id", "label"), 4), 1000)
+        assert len(got) == 8 and {y for _, y in got} == names
+        assert set(got) <= {(r.text, r.label) for r in table.collect()} and len(set(got)) == 8
