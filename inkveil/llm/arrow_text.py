@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,3 +47,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
     raw = np.frombuffer(data, dtype=np.uint8)[lo:hi] if data is not None and hi > lo else np.empty(0, np.uint8)
     return raw, offsets - lo
+
+
+def give_back() -> None:
+    """Return memory that is free to the system, which else stays with a Python process for as long as it lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not a function of every C library
+        pass

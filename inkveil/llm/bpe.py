@@ -12,8 +12,6 @@ the younger one is full.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import json
 import re
 from collections.abc import Iterable
@@ -90,16 +88,6 @@ def kept_in_worker(kind: type, config: str):
     return _KEPT[kind, config]
 
 
-def give_back() -> None:
-    """Return memory that is free to the system, which else stays with a Python worker for as long as it lives."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not a function of every C library
-        pass
-
-
 def _ranks(config: dict) -> dict[bytes, int] | None:
     """The vocabulary as byte ranks, if its ids are in the order of its merges (then the lowest id merges first)."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from inkveil.llm.arrow_text import slices
-from inkveil.llm.bpe import SpaceSegments, give_back, kept_in_worker, read_vocabulary
+from inkveil.llm.arrow_text import give_back, slices
+from inkveil.llm.bpe import SpaceSegments, kept_in_worker, read_vocabulary
 
 CAPACITY = 1024
 OPEN_BINS = 8192

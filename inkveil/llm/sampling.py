@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +51,9 @@ def sample_texts(rows: DataFrame, picked: DataFrame, most_bytes: int) -> list[tu
             wanted.append((label, nth))
     if not wanted:
         return []
-    schema = held.select("label", "nth").schema
-    labels, nths = zip(*wanted, strict=True)
-    names = held.sparkSession.createDataFrame(pa.table({"label": pa.array(labels), "nth": pa.array(nths, pa.int32())}), schema)  # of a list it would be made by Python workers
-    got = held.join(F.broadcast(names), ["label", "nth"], "left_semi").orderBy("label", "nth").collect()
+    chosen = F.lit(False)
+    for label in used:  # a list of rows would be made a table by Python workers, and be broadcast
+        nths = F.split(F.lit(",".join(str(n) for x, n in wanted if x == label)), ",").cast("array<int>")
+        chosen = chosen | ((F.col("label") == F.lit(label)) & F.array_contains(nths, F.col("nth")))
+    got = held.where(chosen).orderBy("label", "nth").collect()
     return [(r["text"], r["label"]) for r in got]

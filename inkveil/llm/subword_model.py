@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import ngrams
-from inkveil.llm.arrow_text import ranges, text_bytes
+from inkveil.llm.arrow_text import give_back, ranges, text_bytes
 from inkveil.llm.sampling import pick_ids, sample_texts
 from inkveil.llm.storage import id_bucket
 
@@ -215,5 +215,6 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, label: str, settings: Setti
     if not n0 or not n1:
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if n0 == n1 else (40.0 if n1 else -40.0), settings)
     model = fit(texts, ys, settings)
+    give_back()  # the bags of all texts are some 100 MB that the driver would keep
     shift = np.log(share[1] / share[0]) - np.log(n1 / n0)
     return Model(model.table, model.bias + float(shift), settings)
