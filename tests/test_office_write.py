@@ -116,6 +116,16 @@ JOINED = {
 }
 
 
+def test_a_pattern_replaces_as_places_do():
+    maps = [[{"k": "[A]", "v": "tion"}, {"k": "[BB]", "v": "乙"}, {"k": "[B", "v": ""}, {"k": "[A]", "v": "no"}], [{"k": "aa", "v": "b"}, {"k": "xa", "v": "c"}]]
+    for k, rows in enumerate(maps):
+        for text in ("[A]y[BB]z[B]", "[[A]][A", "xaaaa", "[A]", "no masks", "é[BB]é"):
+            data = office_write.word_file(text, 2)
+            joined = office_write.restored_word_file(data, rows)
+            with mock.patch.object(office_write, "_swap", lambda *x: None):
+                assert (parts_of(joined[0]), joined[1]) == (lambda d, n: (parts_of(d), n))(*office_write.restored_word_file(data, rows)), (k, text)
+
+
 @pytest.mark.parametrize("name", JOINED)
 def test_joined_runs_are_as_those_parsed_one_by_one(name):
     data = package({"word/document.xml": f"<w:document {W}><w:body>{JOINED[name]}</w:body></w:document>"})
