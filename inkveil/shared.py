@@ -1,4 +1,4 @@
-"""Folders that the driver and all executors share, for tables that cut a plan's lineage."""
+"""Folders that the driver and all executors share, for tables that cut a plan's lineage; rows spread over tasks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -62,3 +63,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by a key if fewer tasks than there are cores would have any, as with a file of a few row groups.
+
+    Tasks with rows are counted first, which takes no column.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if rows.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return rows
+    return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

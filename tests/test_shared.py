@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil import shared
 
@@ -48,3 +49,13 @@ def test_a_cluster_must_name_a_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_root(Cluster)
+
+
+def test_rows_of_few_tasks_are_spread(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))  # one row group, whatever a split's size
+    spark.range(0, 1000, 1, 8).write.parquet(str(tmp_path / "eight"))
+    tasks = lambda rows: rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    one, eight = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "eight"))
+    assert tasks(one) == 1 and tasks(shared.spread(one, "id")) == 4 and shared.spread(one, "id").count() == 1000
+    wide = one.repartition(5)
+    assert shared.spread(wide, "id") is wide and shared.spread(eight.limit(0), "id").count() == 0
